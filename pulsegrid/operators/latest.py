@@ -91,6 +91,17 @@ def earliest_without_baseline(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter(open_).join(first, ["company_id", "captured_at"], "left_semi")
 
 
+def lists_up_to(rows: DataFrame, keys: Sequence[str], entry: Column, limit: int, name: str) -> DataFrame:
+    """Sorted lists of ``entry`` per key, for keys with at most ``limit`` rows.
+
+    Longer keys have no list here; their rows stay available as rows. They are dropped
+    before anything is gathered.
+    """
+    short = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") <= limit).select(*keys)
+    kept = rows.join(short, list(keys), "left_semi")
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(name))
+
+
 def current_status(statuses: DataFrame) -> DataFrame:
     """Each company's latest status row (largest id)."""
     return latest_per_key(statuses, ["company_id"], ["id"])
