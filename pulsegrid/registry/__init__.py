@@ -1 +1,7 @@
 """Checked queries over the test tables, with their SQL."""
+
+from __future__ import annotations
+
+from . import boards, versions
+
+CASES = {**versions.CASES, **boards.CASES}
