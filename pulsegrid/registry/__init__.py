@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import boards, versions
+from . import boards, signals, versions
 
-CASES = {**versions.CASES, **boards.CASES}
+CASES = {**versions.CASES, **boards.CASES, **signals.CASES}

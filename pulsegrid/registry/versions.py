@@ -86,8 +86,8 @@ CASES = {
     "stale_logos": Case(
         lambda b: L.stale_logos(b["companies"], b["company_logos"], CAPTURES_AS_OF, 3).select("id", "name"),
         with_tables("companies company_logos", """SELECT c.id, c.name FROM companies c LEFT JOIN (SELECT company_id,
-            max(extracted_at) AS at FROM company_logos GROUP BY company_id) l ON c.id = l.company_id
-            WHERE at IS NULL OR at < TIMESTAMP '2024-01-28 00:00:00'""")),
+            max(extracted_at) AS newest FROM company_logos GROUP BY company_id) l ON c.id = l.company_id
+            WHERE newest IS NULL OR newest < TIMESTAMP '2024-01-28 00:00:00'""")),
     "without_significance": Case(
         lambda b: L.without_significance(pending(b)).select("id", stamp("detected_at")),
         with_tables("change_records", f"""SELECT id, {time_sql('detected_at')} FROM change_records
