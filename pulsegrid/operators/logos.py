@@ -19,14 +19,28 @@ def _bands(count: int) -> list[tuple[int, int]]:
     return [(low, high - low) for low, high in zip(edges, edges[1:])]
 
 
-def _keys(bits: Column, bands: list[tuple[int, int]], agreeing: int) -> Column:
-    """For every choice of ``agreeing`` bands, the hash with all other bits cleared."""
-    masks = [sum(((1 << width) - 1) << low for low, width in chosen) for chosen in combinations(bands, agreeing)]
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    return F.array(*[
-        F.struct(F.lit(i).alias("choice"), bits.bitwiseAND(F.lit(m).cast("bigint")).alias("bits"))
-        for i, m in enumerate(signed)
-    ])
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
+def _choices(masks: list[int], agreeing: int) -> str:
+    """SQL array of all choices of ``agreeing`` bands: their numbers as bits, and their bits."""
+    rows = (
+        f"named_struct('chosen', {sum(1 << i for i in picked)}, 'mask', {_signed(sum(masks[i] for i in picked))}L)"
+        for picked in combinations(range(len(masks)), agreeing)
+    )
+    return f"array({', '.join(rows)})"
+
+
+def _first_agreeing(apart: Column, masks: list[int], agreeing: int) -> Column:
+    """The lowest ``agreeing`` bands without a differing bit, as bits."""
+    rest = sum((F.when(apart.bitwiseAND(F.lit(_signed(m)).cast("bigint")) == 0, 1 << i).otherwise(0)
+                for i, m in enumerate(masks)), F.lit(0))
+    first = F.lit(0)
+    for _ in range(agreeing):
+        lowest = rest.bitwiseAND(-rest)
+        first, rest = first.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
+    return first
 
 
 def similar_logos(
@@ -42,20 +56,22 @@ def similar_logos(
     differing = floor((1 - threshold) * BITS + 1e-9)
     if bands <= differing:
         bands = differing + 1
-    layout, agreeing = _bands(bands), bands - differing
+    masks = [((1 << width) - 1) << low for low, width in _bands(bands)]
+    agreeing = bands - differing
 
-    def side(df: DataFrame, name: str) -> DataFrame:
+    def keyed(df: DataFrame, name: str) -> DataFrame:
         if known_bad is not None:
             df = df.join(known_bad.select(column).distinct(), column, "left_anti")
         counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"hash_{name}")).agg(
-            F.count("*").alias(f"logos_{name}"))
-        return counted.withColumn(f"bits_{name}", hash_bits(f"hash_{name}"))
-
-    left, right = side(a, "a"), side(b, "b")
-    keyed_left = left.select("hash_a", "bits_a", F.explode(_keys(F.col("bits_a"), layout, agreeing)).alias("key"))
-    keyed_right = right.select("hash_b", "bits_b", F.explode(_keys(F.col("bits_b"), layout, agreeing)).alias("key"))
-    apart = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b")))
-    near = keyed_left.join(keyed_right, (keyed_left["key"] == keyed_right["key"]) & (apart <= differing)).select(
-        "hash_a", "hash_b", (F.lit(1.0) - apart / F.lit(float(BITS))).alias("similarity")).distinct()
-    return near.join(left.select("hash_a", "logos_a"), "hash_a").join(right.select("hash_b", "logos_b"), "hash_b").select(
-        "hash_a", "hash_b", "similarity", "logos_a", "logos_b")
+            F.count("*").alias(f"logos_{name}")).withColumn(f"bits_{name}", hash_bits(f"hash_{name}"))
+        return counted.select("*", F.explode(F.expr(_choices(masks, agreeing))).alias("c")).select(
+            f"hash_{name}", f"logos_{name}", f"bits_{name}", F.col("c.chosen").alias("chosen"),
+            F.col(f"bits_{name}").bitwiseAND(F.col("c.mask")).alias("key"))
+
+    met = keyed(a, "a").join(keyed(b, "b"), ["chosen", "key"])
+    near = met.withColumn("apart", F.col("bits_a").bitwiseXOR(F.col("bits_b"))).filter(F.bit_count("apart") <= differing)
+    # A pair may agree on several choices; it is taken at the first of them alone.
+    once = near.filter(F.col("chosen") == _first_agreeing(F.col("apart"), masks, agreeing))
+    return once.select(
+        "hash_a", "hash_b", (F.lit(1.0) - F.bit_count("apart") / F.lit(float(BITS))).alias("similarity"),
+        "logos_a", "logos_b")

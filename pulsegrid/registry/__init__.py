@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import boards, signals, versions
+from . import boards, links, signals, stories, versions
 
-CASES = {**versions.CASES, **boards.CASES, **signals.CASES}
+CASES = {**versions.CASES, **boards.CASES, **signals.CASES, **links.CASES, **stories.CASES}

@@ -16,6 +16,7 @@ NEWS_AS_OF = "2001-11-05 00:00:00"
 
 FIRST = "CASE {k} % 7 WHEN 0 THEN 'Anna' WHEN 1 THEN 'Bert' WHEN 2 THEN 'Clara' WHEN 3 THEN 'David' WHEN 4 THEN 'Emma' WHEN 5 THEN 'Frank' ELSE 'Grace' END"
 LAST = "CASE {k} % 11 WHEN 0 THEN 'Adams' WHEN 1 THEN 'Brown' WHEN 2 THEN 'Clark' WHEN 3 THEN 'Davis' WHEN 4 THEN 'Evans' WHEN 5 THEN 'Fisher' WHEN 6 THEN 'Green' WHEN 7 THEN 'Harris' WHEN 8 THEN 'Irving' WHEN 9 THEN 'Jones' ELSE 'King' END"
+LINE_ID = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey % 1000"
 CAPTURED = "TIMESTAMP '2024-01-31 00:00:00' - (doc_id % 720) * INTERVAL '1' HOUR"
 HOMEPAGE = "CASE WHEN c_custkey % 10 = 9 THEN NULL ELSE concat('https://', lower(replace(c_name, '#', '-')), '.example.com') END"
 LEADER_TITLE = "CASE {k} % 6 WHEN 0 THEN 'CEO' WHEN 1 THEN 'Founder' WHEN 2 THEN 'CTO' WHEN 3 THEN 'COO' WHEN 4 THEN 'CFO' ELSE 'VP of Product' END"
@@ -95,7 +96,7 @@ MAPPINGS: dict[str, tuple[str, tuple[str, ...]]] = {
         "o_orderpriority = '1-URGENT' AS is_manual_override",
     )),
     "news_articles": ("lineitem JOIN orders ON l_orderkey = o_orderkey", (
-        "l_orderkey * 10 + l_linenumber AS id", "o_custkey AS company_id",
+        f"{LINE_ID} AS id", "o_custkey AS company_id",
         "concat('https://s', CAST(l_suppkey AS VARCHAR(20)), '.example.org/', CAST(l_orderkey AS VARCHAR(20)), '/', CAST(l_linenumber AS VARCHAR(20))) AS content_url",
         "concat('Item ', CAST(l_partkey AS VARCHAR(20))) AS title",
         "concat('s', CAST(l_suppkey AS VARCHAR(20)), '.example.org') AS source",
@@ -129,7 +130,7 @@ MAPPINGS: dict[str, tuple[str, tuple[str, ...]]] = {
         "CAST(1 + o_orderkey % 4 AS INT) AS priority", "CAST(o_orderkey % 10 AS DOUBLE) / 10 AS confidence",
     )),
     "linkedin_snapshots": ("lineitem", (
-        "l_orderkey * 10 + l_linenumber AS id", "l_suppkey % 25 AS company_id",
+        f"{LINE_ID} AS id", "l_suppkey % 25 AS company_id",
         "concat('https://linkedin.com/in/supplier-', lpad(CAST(l_suppkey AS VARCHAR(20)), 9, '0')) AS linkedin_url",
         "CASE WHEN l_linenumber % 3 = 0 THEN 'company' ELSE 'person' END AS url_type",
         "concat('v', CAST(l_partkey AS VARCHAR(20))) AS vision_data_json", "l_shipdate AS captured_at",
@@ -151,7 +152,7 @@ MAPPINGS: dict[str, tuple[str, tuple[str, ...]]] = {
         f"{CAPTURED} AS extracted_at",
     )),
     "search_hits": ("lineitem JOIN orders ON l_orderkey = o_orderkey", (
-        "l_orderkey * 10 + l_linenumber AS id", "o_custkey AS company_id",
+        f"{LINE_ID} AS id", "o_custkey AS company_id",
         "concat('Story ', CAST(l_partkey AS VARCHAR(20)), CASE l_linenumber % 3 WHEN 0 THEN ' about a data breach and a lawsuit' ELSE ' about nothing' END) AS title",
         "CASE l_linenumber % 5 "
         "WHEN 0 THEN concat('https://customer-', lpad(CAST(o_custkey AS VARCHAR(20)), 9, '0'), '.example.com/press/', CAST(l_orderkey AS VARCHAR(20))) "
