@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 from math import floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_bits
@@ -24,23 +24,15 @@ def _signed(mask: int) -> int:
 
 
 def _choices(masks: list[int], agreeing: int) -> str:
-    """SQL array of all choices of ``agreeing`` bands: their numbers as bits, and their bits."""
-    rows = (
-        f"named_struct('chosen', {sum(1 << i for i in picked)}, 'mask', {_signed(sum(masks[i] for i in picked))}L)"
-        for picked in combinations(range(len(masks)), agreeing)
-    )
-    return f"array({', '.join(rows)})"
+    """SQL array of all choices of ``agreeing`` bands: number, bits kept, and the bands passed over."""
 
+    def row(number: int, picked: tuple[int, ...]) -> str:
+        passed = ", ".join(f"{_signed(masks[i])}L" for i in range(max(picked)) if i not in picked)
+        return (f"named_struct('number', {number}, 'mask', {_signed(sum(masks[i] for i in picked))}L, "
+                f"'passed', cast(array({passed}) as array<bigint>))")
 
-def _first_agreeing(apart: Column, masks: list[int], agreeing: int) -> Column:
-    """The lowest ``agreeing`` bands without a differing bit, as bits."""
-    rest = sum((F.when(apart.bitwiseAND(F.lit(_signed(m)).cast("bigint")) == 0, 1 << i).otherwise(0)
-                for i, m in enumerate(masks)), F.lit(0))
-    first = F.lit(0)
-    for _ in range(agreeing):
-        lowest = rest.bitwiseAND(-rest)
-        first, rest = first.bitwiseOR(lowest), rest.bitwiseXOR(lowest)
-    return first
+    every = combinations(range(len(masks)), agreeing)
+    return f"array({', '.join(row(n, picked) for n, picked in enumerate(every))})"
 
 
 def similar_logos(
@@ -57,21 +49,21 @@ def similar_logos(
     if bands <= differing:
         bands = differing + 1
     masks = [((1 << width) - 1) << low for low, width in _bands(bands)]
-    agreeing = bands - differing
+    choices = _choices(masks, bands - differing)
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         if known_bad is not None:
             df = df.join(known_bad.select(column).distinct(), column, "left_anti")
         counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"hash_{name}")).agg(
             F.count("*").alias(f"logos_{name}")).withColumn(f"bits_{name}", hash_bits(f"hash_{name}"))
-        return counted.select("*", F.explode(F.expr(_choices(masks, agreeing))).alias("c")).select(
-            f"hash_{name}", f"logos_{name}", f"bits_{name}", F.col("c.chosen").alias("chosen"),
-            F.col(f"bits_{name}").bitwiseAND(F.col("c.mask")).alias("key"))
-
-    met = keyed(a, "a").join(keyed(b, "b"), ["chosen", "key"])
-    near = met.withColumn("apart", F.col("bits_a").bitwiseXOR(F.col("bits_b"))).filter(F.bit_count("apart") <= differing)
-    # A pair may agree on several choices; it is taken at the first of them alone.
-    once = near.filter(F.col("chosen") == _first_agreeing(F.col("apart"), masks, agreeing))
-    return once.select(
-        "hash_a", "hash_b", (F.lit(1.0) - F.bit_count("apart") / F.lit(float(BITS))).alias("similarity"),
+        return counted.select("*", F.explode(F.expr(choices)).alias("c")).select(
+            f"hash_{name}", f"logos_{name}", f"bits_{name}", F.col("c.number").alias("choice"),
+            F.col(f"bits_{name}").bitwiseAND(F.col("c.mask")).alias("key"), F.col("c.passed").alias("passed"))
+
+    met = keyed(a, "a").join(keyed(b, "b").drop("passed"), ["choice", "key"])
+    apart = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    # A pair may agree on several choices; it is taken at the one of its lowest agreeing bands.
+    lowest = ~F.exists("passed", lambda m: apart.bitwiseAND(m) == 0)
+    return met.filter((F.bit_count(apart) <= differing) & lowest).select(
+        "hash_a", "hash_b", (F.lit(1.0) - F.bit_count(apart) / F.lit(float(BITS))).alias("similarity"),
         "logos_a", "logos_b")
