@@ -10,15 +10,12 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from .common import ColumnOrName, col, let, lookup, strip
+from .text import snippet
 
 TITLE = "(?i:" + "|".join(re.escape(t) for t in fixed.MENTION_TITLES) + ")"
 TITLES = rf"(?:{TITLE}(?:\s+(?:and|&)\s+{TITLE})*)"
 NAME = fixed.PERSON_NAME
 FOUNDED = r"\b(?i:(?:co-?)?founded\s+by)"
-# Text around a match is taken up to one character beyond what is shown, to see whether it goes on.
-AROUND = 30
-BEFORE = rf"(?s:(?<=(\A.{{0,{AROUND}}}|.{{{AROUND + 1}}})))"
-AFTER = rf"(?s:(?=(.{{0,{AROUND + 1}}})))"
 
 
 class Form(NamedTuple):
@@ -58,32 +55,32 @@ def canonical_title(title: Column) -> Column:
     return F.array_join(F.transform(F.split(strip(title), r"(?iU)\s+(?:and|&)\s+"), one), " and ")
 
 
-def _of_form(text: Column, form: Form) -> Column:
-    pattern = "(?U)" + form.pattern
-    around = f"(?U){BEFORE}(?:{form.pattern}){AFTER}"
-    groups = form.pattern.count("(") - form.pattern.count("(?") - form.pattern.count(r"\(")
+def _spans(text: Column, pattern: str) -> Column:
+    """Every match with its 0-based start: matches and the pieces between them alternate."""
     whole = F.regexp_extract_all(text, F.lit(pattern), 0)
-    before = F.regexp_extract_all(text, F.lit(around), 1)
-    after = F.regexp_extract_all(text, F.lit(around), groups + 2)
-    matches = F.arrays_zip(whole.alias("whole"), before.alias("before"), after.alias("after"))
+    pieces = F.split(text, pattern, -1)
+    pairs = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"))
+    empty = F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<start:int,whole:string>>)").alias("spans"))
+    step = lambda acc, p: F.struct(
+        (acc["end"] + F.length(p["gap"]) + F.length(p["whole"])).alias("end"),
+        F.concat(acc["spans"], F.array(F.struct(
+            (acc["end"] + F.length(p["gap"])).alias("start"), p["whole"].alias("whole")))).alias("spans"))
+    return F.aggregate(pairs, empty, step, lambda acc: acc["spans"])
+
 
-    def shown(m: Column) -> Column:
-        cut_left, cut_right = F.length(m["before"]) > AROUND, F.length(m["after"]) > AROUND
-        body = strip(F.concat(
-            F.when(cut_left, F.substring(m["before"], 2, AROUND)).otherwise(m["before"]), m["whole"],
-            F.substring(m["after"], 1, AROUND)))
-        return F.concat(F.when(cut_left, "...").otherwise(""), body, F.when(cut_right, "...").otherwise(""))
+def _of_form(text: Column, form: Form) -> Column:
+    pattern = "(?U)" + form.pattern
 
     def named(m: Column) -> Column:
-        title = (
-            canonical_title(F.regexp_extract(m["whole"], pattern, form.title)) if form.title else F.lit("Founder"))
+        title = canonical_title(F.regexp_extract(m["whole"], pattern, form.title)) if form.title else F.lit("Founder")
+        shown = snippet(text, m["start"], m["start"] + F.length(m["whole"]))
         return F.array(*[
             F.struct(strip(F.regexp_extract(m["whole"], pattern, g)).alias("person_name"), title.alias("title_context"),
-                     F.lit(form.priority).alias("priority"), shown(m).alias("snippet"))
+                     F.lit(form.priority).alias("priority"), shown.alias("snippet"))
             for g in form.names
         ])
 
-    return F.flatten(F.transform(matches, named))
+    return F.flatten(F.transform(_spans(text, pattern), named))
 
 
 def leadership_mentions(markdown: ColumnOrName) -> Column:

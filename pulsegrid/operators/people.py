@@ -56,22 +56,24 @@ def profile_url(text: str | Column) -> Column:
 def parse_profiles(results: DataFrame) -> DataFrame:
     """Search results (title, snippet, url) with ``name``, ``person_title`` and ``profile_url``;
     results without a profile or a name are dropped."""
-    title = F.coalesce("title", F.lit(""))
-    own = F.when(F.col("url").rlike("^" + PROFILE), F.regexp_replace(F.substring_index("url", "?", 1), "/+$", ""))
     shape = r"(?i)^([^-|]+?)\s*[-|]\s*(.+?)(?:\s*[-|]\s*.+)?(?:\s*\|\s*LinkedIn)?$"
-    shaped = title.rlike(shape)
-    head = F.split(strip(F.substring_index(title, "|", 1)), "-")
-    dashed = F.split(title, "-")
+    own = F.when(F.col("url").rlike("^" + PROFILE), F.regexp_replace(F.substring_index("url", "?", 1), "/+$", ""))
     part = lambda a, i: F.coalesce(strip(F.get(a, F.lit(i))), F.lit(""))
-    first_name = F.when(shaped, strip(F.regexp_extract(title, shape, 1))).otherwise(part(head, 0))
-    first_title = F.when(shaped, strip(F.regexp_extract(title, shape, 2))).otherwise(part(head, 1))
-    usable = (first_name != "") & F.coalesce(own, profile_url("snippet")).isNotNull()
-    parsed = results.withColumn(
-        "profile_url", F.when(usable, F.coalesce(own, profile_url("snippet"))).otherwise(
-            F.coalesce(profile_url("snippet"), profile_url("url")))
-    ).withColumn("name", F.when(usable, first_name).otherwise(part(dashed, 0))).withColumn(
-        "person_title", F.when(usable, first_title).otherwise(part(dashed, 1)))
-    return parsed.filter((F.col("name") != "") & F.col("profile_url").isNotNull())
+    title = F.col("__title")
+    head, dashed = F.split(strip(F.substring_index(title, "|", 1)), "-"), F.split(title, "-")
+    shaped = F.when(title.rlike(shape), F.struct(
+        strip(F.regexp_extract(title, shape, 1)).alias("name"), strip(F.regexp_extract(title, shape, 2)).alias("title")))
+    plain = F.struct(part(head, 0).alias("name"), part(head, 1).alias("title"))
+    loose = F.struct(part(dashed, 0).alias("name"), part(dashed, 1).alias("title"))
+    staged = results.withColumn("__title", F.coalesce("title", F.lit(""))).withColumn(
+        "__profile", F.coalesce(own, profile_url("snippet"))).withColumn("__first", F.coalesce(shaped, plain))
+    usable = F.col("__profile").isNotNull() & (F.col("__first.name") != "")
+    person = F.when(usable, F.col("__first")).otherwise(loose)
+    found = staged.withColumn("__person", person).withColumn(
+        "profile_url", F.when(usable, F.col("__profile")).otherwise(
+            F.coalesce(profile_url("snippet"), profile_url("url"))))
+    return found.filter((F.col("__person.name") != "") & F.col("profile_url").isNotNull()).select(
+        *results.columns, F.col("__person.name").alias("name"), F.col("__person.title").alias("person_title"), "profile_url")
 
 
 def parse_cards(cards: DataFrame, html: str = "card_html") -> DataFrame:

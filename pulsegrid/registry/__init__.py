@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import boards, links, signals, stories, versions
+from . import boards, flows, links, roster, signals, stores, stories, versions
 
-CASES = {**versions.CASES, **boards.CASES, **signals.CASES, **links.CASES, **stories.CASES}
+CASES = {**versions.CASES, **boards.CASES, **signals.CASES, **links.CASES, **stories.CASES, **roster.CASES, **stores.CASES, **flows.CASES}
