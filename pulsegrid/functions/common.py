@@ -86,3 +86,13 @@ def quoted(c: Column) -> Column:
 
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
+
+
+def once(value: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Generator giving a struct's fields as columns, for rows where ``keep`` holds.
+
+    Unlike a projected column, its result is not substituted into later filters, so a
+    costly expression runs once per row however often its fields are used.
+    """
+    row = F.array(value)
+    return F.inline(row if keep is None else F.filter(row, keep))

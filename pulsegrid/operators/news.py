@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.common import col, let, moment, on_or_after, quoted
+from ..functions.common import col, let, moment, on_or_after, once, quoted
 from ..functions.keywords import Term, _occurrences
 from ..functions.urls import url_domain
 from .significance import VERDICT_COLUMNS, classify_significance, overlay_verdicts
@@ -58,6 +58,7 @@ def competing_domain(url: str | Column, domain: str | Column) -> Column:
 def match_articles(
     articles: DataFrame, companies: DataFrame, verdicts: DataFrame | None = None,
     weights: dict[str, float] = fixed.MATCH_WEIGHTS, threshold: float = fixed.MATCH_THRESHOLD,
+    only_matches: bool = False,
 ) -> DataFrame:
     """Articles (company_id, title, url, snippet, ...) with ``match_confidence``, ``match_evidence``
     and ``is_match``.
@@ -69,33 +70,33 @@ def match_articles(
         F.col("id").alias("company_id"), F.col("name").alias("__name"),
         F.coalesce(url_domain("homepage_url"), F.lit("")).alias("__domain"))
     joined = articles.join(own, "company_id")
-    snippet = F.coalesce("snippet", F.lit(""))
-    by_domain = domain_match("url", "__domain") | domain_match(snippet, "__domain")
-    signals = joined.withColumn("__by_domain", by_domain).withColumn(
-        "__by_context", name_in_context("snippet", "__name")).withColumn(
-        "__competing", ~F.col("__by_domain") & competing_domain("url", "__domain"))
-    base = (
-        F.when(F.col("__by_domain"), 1.0).when(F.col("__competing"), fixed.COMPETING_DOMAIN_VALUE).otherwise(0.0)
-        * weights["domain"] + F.when(F.col("__by_context"), 1.0).otherwise(0.0) * weights["context"]
-    )
-    signals = signals.withColumn("__base", base)
     if verdicts is not None:
         asked = verdicts.select("company_id", "url", F.col("is_match").alias("__said"), F.col("reasoning").alias("__why"))
-        signals = signals.join(asked, ["company_id", "url"], "left")
+        joined = joined.join(asked, ["company_id", "url"], "left")
+        said, why = F.coalesce("__said", F.lit(False)), F.coalesce("__why", F.lit(""))
     else:
-        signals = signals.withColumn("__said", F.lit(None).cast("boolean")).withColumn("__why", F.lit(None).cast("string"))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__base")))
-    confirmed = F.coalesce((clamped < threshold) & F.col("__said"), F.lit(False))
-    total = F.col("__base") + F.when(confirmed, weights["verdict"]).otherwise(0.0)
-    evidence = F.array_compact(F.array(
-        F.when(F.col("__by_domain"), F.concat(F.lit("Domain match: "), "__domain")),
-        F.when(F.col("__by_context"), F.concat(F.lit("Name in business context: "), "__name")),
-        F.when(confirmed, F.concat(F.lit("LLM verification: "), F.coalesce("__why", F.lit("")))),
-    ))
-    scored = signals.withColumn("match_confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
-    return scored.withColumn("match_evidence", evidence).withColumn(
-        "is_match", F.col("match_confidence") >= threshold).select(
-        *articles.columns, "match_confidence", "match_evidence", "is_match")
+        said, why = F.lit(False), F.lit("")
+    name, domain = F.col("__name"), F.col("__domain")
+
+    def rated(s: Column) -> Column:
+        site = F.when(s["by_domain"], 1.0).when(s["competing"], fixed.COMPETING_DOMAIN_VALUE).otherwise(0.0)
+        base = site * weights["domain"] + F.when(s["by_context"], 1.0).otherwise(0.0) * weights["context"]
+        confirmed = (F.greatest(F.lit(0.0), base) < threshold) & said
+        total = F.greatest(F.lit(0.0), F.least(F.lit(1.0), base + F.when(confirmed, weights["verdict"]).otherwise(0.0)))
+        evidence = F.array_compact(F.array(
+            F.when(s["by_domain"], F.concat(F.lit("Domain match: "), domain)),
+            F.when(s["by_context"], F.concat(F.lit("Name in business context: "), name)),
+            F.when(confirmed, F.concat(F.lit("LLM verification: "), why)),
+        ))
+        return let(F.struct(total.alias("t"), evidence.alias("e")), lambda r: F.struct(
+            r["t"].alias("match_confidence"), r["e"].alias("match_evidence"), (r["t"] >= threshold).alias("is_match")))
+
+    by_domain = domain_match("url", domain) | domain_match(F.coalesce("snippet", F.lit("")), domain)
+    signals = let(by_domain, lambda hit: F.struct(
+        hit.alias("by_domain"), (~hit & competing_domain("url", domain)).alias("competing"),
+        name_in_context("snippet", name).alias("by_context")))
+    keep = (lambda m: m["is_match"]) if only_matches else None
+    return joined.select(*articles.columns, once(let(signals, rated), keep))
 
 
 def ingest_news(
@@ -110,7 +111,7 @@ def ingest_news(
     """
     known = existing.select(F.col("content_url").alias("url")).distinct()
     fresh = articles.join(known, "url", "left_anti")
-    matched = match_articles(fresh, companies, match_verdicts).filter("is_match")
+    matched = match_articles(fresh, companies, match_verdicts, only_matches=True)
     subject = F.concat(F.coalesce("snippet", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
     judged = classify_significance(matched.withColumn("__subject", subject), "__subject", "minor", (), terms)
     if class_verdicts is not None:

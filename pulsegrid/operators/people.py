@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.common import blank_to_null, col, moment, on_or_after, strip
+from ..functions.common import blank_to_null, col, let, moment, on_or_after, once, strip
 from ..functions.mentions import leadership_mentions
 from ..functions.titles import (
     arrival_type,
@@ -59,21 +59,23 @@ def parse_profiles(results: DataFrame) -> DataFrame:
     shape = r"(?i)^([^-|]+?)\s*[-|]\s*(.+?)(?:\s*[-|]\s*.+)?(?:\s*\|\s*LinkedIn)?$"
     own = F.when(F.col("url").rlike("^" + PROFILE), F.regexp_replace(F.substring_index("url", "?", 1), "/+$", ""))
     part = lambda a, i: F.coalesce(strip(F.get(a, F.lit(i))), F.lit(""))
-    title = F.col("__title")
-    head, dashed = F.split(strip(F.substring_index(title, "|", 1)), "-"), F.split(title, "-")
-    shaped = F.when(title.rlike(shape), F.struct(
-        strip(F.regexp_extract(title, shape, 1)).alias("name"), strip(F.regexp_extract(title, shape, 2)).alias("title")))
-    plain = F.struct(part(head, 0).alias("name"), part(head, 1).alias("title"))
-    loose = F.struct(part(dashed, 0).alias("name"), part(dashed, 1).alias("title"))
-    staged = results.withColumn("__title", F.coalesce("title", F.lit(""))).withColumn(
-        "__profile", F.coalesce(own, profile_url("snippet"))).withColumn("__first", F.coalesce(shaped, plain))
-    usable = F.col("__profile").isNotNull() & (F.col("__first.name") != "")
-    person = F.when(usable, F.col("__first")).otherwise(loose)
-    found = staged.withColumn("__person", person).withColumn(
-        "profile_url", F.when(usable, F.col("__profile")).otherwise(
-            F.coalesce(profile_url("snippet"), profile_url("url"))))
-    return found.filter((F.col("__person.name") != "") & F.col("profile_url").isNotNull()).select(
-        *results.columns, F.col("__person.name").alias("name"), F.col("__person.title").alias("person_title"), "profile_url")
+
+    def person(r: Column) -> Column:
+        title = r["title"]
+        head, dashed = F.split(strip(F.substring_index(title, "|", 1)), "-"), F.split(title, "-")
+        shaped = F.when(title.rlike(shape), F.struct(
+            strip(F.regexp_extract(title, shape, 1)).alias("name"), strip(F.regexp_extract(title, shape, 2)).alias("person_title")))
+        plain = F.struct(part(head, 0).alias("name"), part(head, 1).alias("person_title"))
+        loose = F.struct(part(dashed, 0).alias("name"), part(dashed, 1).alias("person_title"))
+        return let(F.coalesce(shaped, plain), lambda first: F.when(
+            F.coalesce(r["own"], r["named"]).isNotNull() & (first["name"] != ""),
+            first.withField("profile_url", F.coalesce(r["own"], r["named"])),
+        ).otherwise(loose.withField("profile_url", F.coalesce(r["named"], r["anywhere"]))))
+
+    row = F.struct(F.coalesce("title", F.lit("")).alias("title"), own.alias("own"),
+                   profile_url("snippet").alias("named"), profile_url("url").alias("anywhere"))
+    kept = lambda p: (p["name"] != "") & p["profile_url"].isNotNull()
+    return results.select("*", once(let(row, person), kept))
 
 
 def parse_cards(cards: DataFrame, html: str = "card_html") -> DataFrame:

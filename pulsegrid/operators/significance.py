@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.common import let, once
 from ..functions.keywords import Term, default_terms, keyword_hits, significance
 
 VERDICT_COLUMNS = (
@@ -30,9 +31,11 @@ def keyword_matches(
     return docs.select(*ids, F.explode(hits).alias("hit")).select(*ids, "hit.*")
 
 
-def verdict_columns(verdict: str) -> list[Column]:
+def verdict(text: str | Column, level: str | Column, terms: Sequence[Term], **options) -> Column:
+    """``significance`` of a text's hits, with the stored column names."""
     fields = ("classification", "sentiment", "confidence", "keywords", "categories", "notes", "evidence")
-    return [F.col(f"{verdict}.{f}").alias(c) for f, c in zip(fields, VERDICT_COLUMNS)]
+    found = significance(keyword_hits(text, terms, **options), level)
+    return let(found, lambda v: F.struct(*[v[f].alias(c) for f, c in zip(fields, VERDICT_COLUMNS)]))
 
 
 def classify_significance(
@@ -51,9 +54,7 @@ def classify_significance(
     dropped = set(exclude_categories)
     lexicon = default_terms(dropped) if terms is None else [
         t for t in terms if not (t.polarity == "negative" and t.category in dropped)]
-    scored = docs.withColumn("__hits", keyword_hits(text, lexicon, **options))
-    judged = scored.withColumn("__verdict", significance(F.col("__hits"), level))
-    return judged.select(*docs.columns, *verdict_columns("__verdict"))
+    return docs.select("*", once(verdict(text, level, lexicon, **options)))
 
 
 def is_obvious(decisive: Sequence[str] = fixed.DECISIVE_CATEGORIES) -> Column:

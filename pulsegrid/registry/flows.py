@@ -78,6 +78,7 @@ def scanned(b):
     tables = b.tables("companies", "company_statuses", "news_articles", "social_media_snapshots", "leadership_changes", "search_hits")
     tables["snapshots"] = b["snapshots"].drop("baseline_classification", "baseline_sentiment")
     tables["change_records"] = b["change_records"]
+    tables["news_articles"] = tables["news_articles"].withColumn("matched_categories", T.json_array("matched_categories"))
     tables["scrapes"] = b["scrapes"].withColumn("metadata", F.create_map(F.lit("last-modified"), F.col("last_modified")))
     return full_scan(tables, CAPTURES_AS_OF)[1].select("stage", "outcome", "rows")
 
