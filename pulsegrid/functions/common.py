@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -58,8 +59,13 @@ def on_or_after(c: ColumnOrName, as_of: dt.datetime | str | Column, days: int) -
     return F.to_date(col(c)) >= days_before(as_of, days)
 
 
+def literal(value: object, schema: str) -> Column:
+    """A nested constant as one expression, which the optimizer folds to a literal."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def text_array(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    return literal(list(values), "array<string>")
 
 
 def lookup(table: Mapping[str, object], key: Column) -> Column:

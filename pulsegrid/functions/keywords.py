@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .common import ColumnOrName, col, let, strip, text_array
+from .common import ColumnOrName, col, let, literal, strip, text_array
 
 
 class Term(NamedTuple):
@@ -41,23 +41,19 @@ def default_terms(exclude_categories: Iterable[str] = ()) -> list[Term]:
     ]
 
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _anchor(keyword: str) -> str:
     """The longest word of a term. A whole-word match of the term has it as a whole word."""
     return max(re.findall(r"[a-z0-9_]+", keyword.lower()), key=len, default="")
 
 
+TERM = "struct<keyword:string,category:string,polarity:string,anchor:string,pattern:string>"
+
+
 def _terms_column(terms: Sequence[Term]) -> Column:
-    rows = (
-        f"named_struct('keyword', {_sql_text(t.keyword)}, 'category', {_sql_text(t.category)}, "
-        f"'polarity', {_sql_text(t.polarity)}, 'rank', {rank}, 'anchor', {_sql_text(_anchor(t.keyword))}, "
-        f"'pattern', {_sql_text(chr(92) + 'b' + chr(92) + 'Q' + t.keyword + chr(92) + 'E' + chr(92) + 'b')})"
-        for rank, t in enumerate(terms)
-    )
-    return F.expr(f"array({', '.join(rows)})")
+    rows = [
+        {**t._asdict(), "anchor": _anchor(t.keyword), "pattern": rf"\b\Q{t.keyword}\E\b"} for t in terms
+    ]
+    return literal(rows, f"array<{TERM}>")
 
 
 def _starts(low: Column, term: Column) -> Column:
