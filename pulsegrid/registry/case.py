@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.testbed import domain, mapping_sql
+from ..sources.testbed import domain, mapping_sql, raw
 
 
 class Bed:
@@ -24,7 +24,7 @@ class Bed:
         return {n: self[n] for n in names}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return raw(self.spark, self.sf_dir, name)
 
 
 class Case(NamedTuple):
