@@ -128,31 +128,45 @@ def leadership_indicators(changes: DataFrame, as_of) -> DataFrame:
         F.when(left, "negative").otherwise("positive")))
 
 
-def error_pattern(snapshots: DataFrame) -> DataFrame:
-    """Companies with at least three failed captures among their last five."""
-    slim = snapshots.select("company_id", "id", "captured_at", "error_message")
-    last = latest_per_key(slim, ["company_id"], ["captured_at", "id"], n=5, rank="place")
-    failed = has_text("error_message")
-    grouped = last.groupBy("company_id").agg(
-        F.count("*").alias("n"), F.count_if(failed).alias("bad"),
-        F.min_by("error_message", F.when(failed, F.col("place"))).alias("error")).filter("bad >= 3")
+def capture_history(snapshots: DataFrame) -> DataFrame:
+    """One row per company from its last 50 captures, without their texts: the newest one's id,
+    failures among the last five, and the sentiment at both ends."""
+    mood = strip("baseline_sentiment") if "baseline_sentiment" in snapshots.columns else F.lit(None).cast("string")
+    slim = snapshots.select("company_id", "id", "captured_at", "error_message", mood.alias("mood"))
+    last = latest_per_key(slim, ["company_id"], ["captured_at", "id"], n=50, rank="place")
+    place, five = F.col("place"), F.col("place") <= 5
+    failed = five & has_text("error_message")
+    # Moods as structs, so that a missing one is not skipped.
+    return last.groupBy("company_id").agg(
+        F.min_by("id", "place").alias("newest_id"), F.count_if(five).alias("n"), F.count_if(failed).alias("bad"),
+        F.min_by("error_message", F.when(failed, place)).alias("error"),
+        F.max(F.struct("place", "mood")).alias("oldest"), F.min(F.struct("place", "mood")).alias("newest"))
+
+
+def history_indicators(history: DataFrame) -> DataFrame:
+    """At least three failed captures among the last five; sentiment turned from positive to negative."""
     value = F.concat(F.col("bad").cast("string"), F.lit("/"), F.col("n").cast("string"),
                      F.lit(" recent snapshots failed: "), F.substring("error", 1, 120))
-    return grouped.select(*_indicator(5, F.lit(0), F.lit("error_pattern"), value, F.lit("negative")))
+    turned = ((F.col("oldest.place") >= 2) & (F.col("oldest.mood") == "positive") & (F.col("newest.mood") == "negative"))
+
+    def entry(hit: Column, origin: int, kind: str, text: Column, signal: str) -> Column:
+        return F.when(hit, F.struct(F.lit(origin).alias("origin"), F.lit("0").alias("place"), F.lit(kind).alias("type"),
+                                    text.alias("value"), F.lit(signal).alias("signal")))
+
+    found = F.array_compact(F.array(
+        entry(F.col("bad") >= 3, 5, "error_pattern", value, "negative"),
+        entry(turned, 6, "baseline_drift", F.lit("sentiment flipped positive -> negative since first snapshot"), "neutral")))
+    return history.select("company_id", F.inline(found))
+
+
+def error_pattern(snapshots: DataFrame) -> DataFrame:
+    """Companies with at least three failed captures among their last five."""
+    return history_indicators(capture_history(snapshots)).filter("type = 'error_pattern'")
 
 
 def baseline_drift(snapshots: DataFrame) -> DataFrame:
     """Companies whose baseline sentiment turned from positive to negative within 50 captures."""
-    slim = snapshots.select("company_id", "id", "captured_at", strip("baseline_sentiment").alias("mood"))
-    last = latest_per_key(slim, ["company_id"], ["captured_at", "id"], n=50, rank="place")
-    # As structs, so that a missing sentiment is not skipped by min_by/max_by.
-    ends = last.groupBy("company_id").agg(
-        F.max(F.struct("place", "mood")).alias("oldest"), F.min(F.struct("place", "mood")).alias("newest"))
-    turned = ends.filter((F.col("oldest.place") >= 2) & (F.col("oldest.mood") == "positive")
-                         & (F.col("newest.mood") == "negative"))
-    return turned.select(*_indicator(
-        6, F.lit(0), F.lit("baseline_drift"),
-        F.lit("sentiment flipped positive -> negative since first snapshot"), F.lit("neutral")))
+    return history_indicators(capture_history(snapshots)).filter("type = 'baseline_drift'")
 
 
 def count_signals(indicators: DataFrame) -> DataFrame:
@@ -215,7 +229,9 @@ def analyze_status(
     """
     latest = current_status(statuses.select("id", "company_id", "status", "is_manual_override")).select(
         "company_id", "status", F.coalesce("is_manual_override", F.lit(False)).alias("manual"))
-    pages = newest_texts(snapshots).filter(F.coalesce("content_markdown", F.lit("")) != "")
+    history = capture_history(snapshots)
+    newest = history.select(F.col("newest_id").alias("id"))
+    pages = snapshots.join(newest, "id", "left_semi").filter(F.coalesce("content_markdown", F.lit("")) != "")
     if "http_last_modified" not in pages.columns:
         pages = pages.withColumn("http_last_modified", F.lit(None).cast("timestamp_ntz"))
     subjects = (
@@ -233,9 +249,7 @@ def analyze_status(
         signals = signals.unionByName(news_indicators(news, as_of))
     if leadership_changes is not None:
         signals = signals.unionByName(leadership_indicators(leadership_changes, as_of))
-    signals = signals.unionByName(error_pattern(snapshots))
-    if "baseline_sentiment" in snapshots.columns:
-        signals = signals.unionByName(baseline_drift(snapshots))
+    signals = signals.unionByName(history_indicators(history))
 
     counts = count_signals(signals)
     n = {s: F.coalesce(f"{s}_count", F.lit(0)) for s in fixed.SIGNALS}
