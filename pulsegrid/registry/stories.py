@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import company_description
 from ..operators import news as N
+from ..operators.tables import first_per_key
 from ..sources.feeds import prepare_articles
 from ..sources.testbed import NEWS_AS_OF
 from .case import Case, joined, stamp, time_sql, with_tables
@@ -43,20 +44,20 @@ def articles(b):
 
 
 
-def matched(b):
-    # One verdict per article: those of ids divisible by three say yes.
-    said = articles(b).select("company_id", "url", "id")
-    votes = said.groupBy("company_id", "url").agg(F.min("id").alias("id")).select(
-        "company_id", "url", (F.col("id") % 3 == 0).alias("is_match"), F.lit("because").alias("reasoning"))
-    first = said.groupBy("company_id", "url").agg(F.min("id").alias("id"))
-    return N.match_articles(articles(b).join(first, ["company_id", "url", "id"], "left_semi"), b["companies"], votes)
+def first_articles(b):
+    """One article per company and URL, and a verdict on each."""
+    every = first_per_key(articles(b), ["company_id", "url"], ["id"])
+    votes = every.select("company_id", "url", (F.col("id") % 3 == 0).alias("is_match"), F.lit("because").alias("reasoning"))
+    return every, votes
 
 
+def matched(b):
+    every, votes = first_articles(b)
+    return N.match_articles(every, b["companies"], votes)
+
 
 def ingested(b):
-    first = articles(b).groupBy("company_id", "url").agg(F.min("id").alias("id"))
-    every = articles(b).join(first, ["company_id", "url", "id"], "left_semi")
-    votes = every.select("company_id", "url", (F.col("id") % 3 == 0).alias("is_match"), F.lit("because").alias("reasoning"))
+    every, votes = first_articles(b)
     existing = b["news_articles"].limit(0).unionByName(
         articles(b).filter("id % 11 = 0").select(F.col("url").alias("content_url")), allowMissingColumns=True)
     return N.ingest_news(every, b["companies"], existing, NEWS_AS_OF, votes)
