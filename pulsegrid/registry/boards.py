@@ -101,7 +101,7 @@ def feed_columns(df):
 
 
 def social_changes(b):
-    return b["change_records"].filter("id % 3 = 0").withColumn("source_type", F.lit("blog"))
+    return b["change_records"].withColumn("source_type", F.lit("blog"))
 
 
 SUMMARY_SQL = """SELECT section, count(*) AS records FROM (
@@ -246,7 +246,7 @@ CASES = {
         lambda b: G.change_timeline(b["change_records"], social_changes(b)).withColumn("detected_at", stamp("detected_at")),
         with_tables("change_records", f"""SELECT source, company_id, id, {time_sql('detected_at')}, has_changed, change_magnitude,
             significance_classification, significance_sentiment FROM (SELECT 'HOMEPAGE' AS source, * FROM change_records
-            UNION ALL SELECT 'BLOG', * FROM change_records WHERE id % 3 = 0)""")),
+            UNION ALL SELECT 'BLOG', * FROM change_records)""")),
     "related_news": Case(
         lambda b: G.related_news(b["news_articles"], 7).select("id", stamp("published_at"), "title"),
         with_tables("news_articles", f"""SELECT id, {time_sql('published_at')}, title FROM (SELECT * FROM news_articles WHERE company_id = 7

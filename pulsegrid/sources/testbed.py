@@ -178,7 +178,7 @@ MAPPINGS: dict[str, tuple[str, tuple[str, ...]]] = {
     )),
     "scrapes": ("pages", (
         "page_id AS id", "page_id % 50 AS company_id", "url",
-        "CASE WHEN page_id % 6 = 0 THEN '' ELSE substr(html, 1, 400) END AS markdown", "html",
+        "CASE WHEN page_id % 6 = 0 THEN '' ELSE html END AS markdown", "html",
         "CAST(200 + page_id % 5 AS INT) AS status_code",
         "CASE WHEN page_id % 6 = 0 THEN 'timeout' END AS error",
         "CASE page_id % 4 WHEN 0 THEN 'Wed, 21 Oct 2015 07:28:00 GMT' WHEN 1 THEN 'rubbish' WHEN 2 THEN NULL ELSE '1 Mar 2020 00:00:01 +0000' END AS last_modified",
