@@ -22,16 +22,23 @@ def json_array(c: ColumnOrName) -> Column:
     return F.coalesce(F.from_json(col(c), "array<string>"), empty_strings())
 
 
+def _utc(instant: Column) -> Column:
+    """An instant as UTC wall time, whatever the session's zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def parse_iso(c: ColumnOrName) -> Column:
     """ISO-8601 text to UTC, NULL when malformed; without an offset it is UTC already."""
-    return F.try_to_timestamp(strip(c)).cast("timestamp_ntz")
+    text = strip(c)
+    zoned = text.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$")
+    return F.when(zoned, _utc(F.try_to_timestamp(text))).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def parse_http_date(c: ColumnOrName) -> Column:
     """An RFC 2822 date such as ``Last-Modified`` to UTC, NULL when malformed."""
     bare = F.regexp_replace(strip(c), r"^[A-Za-z]{3},\s*", "")
-    forms = ("d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss")
-    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in forms]).cast("timestamp_ntz")
+    zoned = [_utc(F.try_to_timestamp(bare, F.lit(f"d MMM yyyy HH:mm:ss {z}"))) for z in ("z", "Z")]
+    return F.coalesce(*zoned, F.try_to_timestamp(bare, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz"))
 
 
 def header(headers: ColumnOrName, name: str) -> Column:
