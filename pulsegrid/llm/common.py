@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
@@ -123,3 +124,33 @@ def byte_class(keep) -> np.ndarray:
 #: Bytes of words between white space, and of words of letters and digits (of lower-cased text).
 NOT_BLANK = byte_class(lambda b: b != 0x20 and not 0x09 <= b <= 0x0D)
 LETTER_DIGIT = byte_class(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
+
+
+# ---- filters of a fixed size ----------------------------------------------------------------
+
+#: Bits of a filter, whatever it holds. It only spares work: what passes it is joined exactly, and
+#: a fuller one lets more through.
+FILTER_BITS = 1 << 24
+
+
+def filter_slots(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in a filter of ``size`` bits for each 64-bit value."""
+    size = np.uint64(size)
+    return (values % size).astype(np.int64), ((values >> np.uint64(32)) % size).astype(np.int64)
+
+
+def seed_filter(values: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """A filter of the long column ``seed`` of ``values``, for the tasks of a scan: ``size`` flags.
+
+    What comes to the driver are bitmaps of ``size`` bits together, not values.
+    """
+    seed = F.col("seed")
+    # Unsigned remainders: the low bits of the two halves.
+    low, high = seed.bitwiseAND(size - 1), F.shiftrightunsigned(seed, 32).bitwiseAND(size - 1)
+    places = values.select(F.explode(F.array(low, high)).alias("place"))
+    maps = places.groupBy(F.floor(F.col("place") / 32768).alias("n")).agg(
+        F.bitmap_construct_agg(F.pmod("place", F.lit(32768))).alias("bits")).collect()
+    flags = np.zeros(max(size, 32768), bool)
+    for row in maps:
+        flags[row.n * 32768:(row.n + 1) * 32768] = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little").astype(bool)
+    return flags[:size]

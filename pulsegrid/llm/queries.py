@@ -7,9 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .language_mixture import identify_held_out
+from .license_scan import license_labels, license_sql
+from .passage_chaining import repeated_passages
 from .piece_encoding import encoding_digests
 from .pii_boosting import KINDS, find_personal_data, written
 from .quality_bands import quality_report
+from .radix_windows import repeat_digests
 from .simhash_index import near_duplicate_classes
 from .string_tiling import leaked_items
 from .token_transducer import token_counts
@@ -17,14 +21,26 @@ from .token_transducer import token_counts
 MODEL = "piece_bpe_32k.model"
 
 
+def op1_passage_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir))
+
+
 def op2_simhash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir))
+
+
 def op4_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir))
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir))
+
+
 def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = leaked_items(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "n_words", "n_covered", "coverage", F.size("tiles").cast("long").alias("n_tiles"))
@@ -34,6 +50,10 @@ def op7_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir), public_tokenizers.path(MODEL))
 
 
+def op8_radix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir))
+
+
 def op9_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir))
 
@@ -48,5 +68,7 @@ def op10_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_simhash_index, op4_quality_bands, op6_string_tiling, op7_piece_encoding, op9_pii_boosting, op10_token_transducer)}
-SQL: dict[str, str] = {}
+    op1_passage_chaining, op2_simhash_index, op3_license_scan, op4_quality_bands, op5_language_mixture, op6_string_tiling,
+    op7_piece_encoding, op8_radix_windows, op9_pii_boosting, op10_token_transducer)}
+#: The others have no SQL form (hashes, compression, fitted models, piece tables) and are tested by brute force.
+SQL = {"op3_license_scan": license_sql()}
