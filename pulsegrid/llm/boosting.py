@@ -76,11 +76,16 @@ def fit(x: np.ndarray, positive: np.ndarray, negative: np.ndarray, rounds: int =
 
 
 def threshold(raw: np.ndarray, positive: np.ndarray, negative: np.ndarray, precision: float) -> float:
-    """The lowest score from which on at least ``precision`` of the counted rows are positive (infinite: none)."""
+    """The lowest score from which on at least ``precision`` of the counted rows are positive (infinite: none).
+
+    It lies half-way to the next lower score that was counted, so that patterns close to the
+    selected ones, but not counted here, are judged by the nearer side.
+    """
     best, seen_p, seen_n = float("inf"), 0.0, 0.0
     for s in sorted(set(raw.tolist()), reverse=True):
         here = raw == s
         seen_p, seen_n = seen_p + positive[here].sum(), seen_n + negative[here].sum()
         if seen_p > 0 and seen_p >= precision * (seen_p + seen_n):
             best = s
-    return best
+    lower = raw[raw < best]
+    return float((best + lower.max()) / 2) if np.isfinite(best) and len(lower) else best
