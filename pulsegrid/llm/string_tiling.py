@@ -16,12 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTER_DIGIT, Runs, Words, bytes_of, packs, stored
+from .common import LETTER_DIGIT, Runs, Words, bytes_of, filter_slots, packs, seed_filter, stored
 
 SEED_WORDS, COVERAGE = 5, 0.5
-#: Bits of the seed filter: a fixed size, whatever the size of the benchmark. It only spares
-#: work; a fuller filter lets more seeds through to the exact join.
-FILTER_BITS = 1 << 24
 
 
 def seeds_of(texts: list[bytes], k: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -34,29 +31,24 @@ def seeds_of(texts: list[bytes], k: int) -> Iterator[tuple[int, int, np.ndarray]
             yield start + i, len(own), Runs(own).windows(k)
 
 
-def _slots(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the filter for each seed."""
-    size = np.uint64(FILTER_BITS)
-    return (seeds % size).astype(np.int64), ((seeds >> np.uint64(32)) % size).astype(np.int64)
-
-
 def _item_rows(parts: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
     for df in parts:
         rows = [(n, s.view(np.int64)) for _, n, s in seeds_of(bytes_of(df.text), k)]
-        yield pd.DataFrame({"item_id": df.item_id, "n_words": [r[0] for r in rows], "seeds": [r[1] for r in rows]})
+        if rows:
+            yield pd.DataFrame({"item_id": df.item_id, "n_words": [r[0] for r in rows], "seeds": [r[1] for r in rows]})
 
 
 def _seed_rows(parts: Iterator[pd.DataFrame], k: int, bits: np.ndarray) -> Iterator[pd.DataFrame]:
     for df in parts:
         rows = []
         for i, _, seeds in seeds_of(bytes_of(df.text), k):
-            a, b = _slots(seeds)
+            a, b = filter_slots(seeds, len(bits))
             at = np.flatnonzero(bits[a] & bits[b])
             if len(at):
                 rows.append((i, at, seeds[at].view(np.int64)))
-        yield pd.DataFrame({
-            "doc_id": df.doc_id.iloc[[r[0] for r in rows]].to_numpy(), "copy": df["copy"].iloc[[r[0] for r in rows]].to_numpy(),
-            "at": [r[1] for r in rows], "seed": [r[2] for r in rows]})
+        if rows:
+            own = df.iloc[[r[0] for r in rows]]
+            yield pd.DataFrame({"doc_id": own.doc_id.to_numpy(), "copy": own["copy"].to_numpy(), "at": [r[1] for r in rows], "seed": [r[2] for r in rows]})
 
 
 class _Side:
@@ -142,36 +134,24 @@ def leaked_items(docs: DataFrame, items: DataFrame, k: int = SEED_WORDS, coverag
     ``k`` words leak nothing. Rows of one item id with several texts are items of their own.
     Columns other than those named aren't read.
     """
-    spark = docs.sparkSession
     id_type, item_type = (d.schema[c].dataType.simpleString() for d, c in ((docs, id_col), (items, item_col)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct()
     tests = stored(tests.mapInPandas(partial(_item_rows, k=k), f"item_id {item_type}, n_words long, seeds array<long>")
                    .where(F.size("seeds") > 0).withColumn("item", F.monotonically_increasing_id()))
-    index = stored(tests.select("item", F.explode(F.array_distinct("seeds")).alias("seed")))
-
-    # The filter: at most FILTER_BITS places, gathered as bitmaps.
-    seed = F.col("seed")
-    low, high = F.pmod(seed, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(seed, 32), F.lit(FILTER_BITS))
-    places = index.select(F.explode(F.array(low, high)).alias("place"))
-    maps = places.groupBy(F.bitmap_bucket_number("place").alias("n")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS + (1 << 16), bool)
-    for row in maps:
-        own = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little").astype(bool)
-        start = (row.n - 1) * len(own) + 1  # buckets count from 1, and the first bit of one is place 1
-        bits[start:start + len(own)] = own
-        if row.n == 0:
-            bits[0] |= own.any()
+    index = stored(tests.select("item", F.explode("seeds").alias("seed")).groupBy("item", "seed").agg(F.count("*").alias("times")))
 
+    bits = seed_filter(index.select("seed"))
     found = texts.mapInPandas(partial(_seed_rows, k=k, bits=bits), f"doc_id {id_type}, copy long, at array<int>, seed array<long>")
     seeds = stored(found.distinct()).select("doc_id", "copy", F.inline(F.arrays_zip("at", "seed")))
     pairs = (seeds.join(index, "seed").groupBy("doc_id", "copy", "item")
-             .agg(F.collect_list(F.struct("at", "seed")).alias("hits")))
+             .agg(F.collect_list(F.struct("at", "seed", "times")).alias("hits")))
     schema = (f"doc_id {id_type}, copy long, item_id {item_type}, n_words long, n_covered long, coverage double, "
               "tiles array<struct<item_start:int,doc_start:int,words:int>>")
     # A pair's seeds bound what its tiles can cover.
-    enough = F.size(F.array_distinct(F.transform("hits", lambda h: h.seed))) * k >= coverage * F.col("n_words")
+    own = F.array_distinct(F.transform("hits", lambda h: F.struct(h["seed"], h["times"])))
+    places = F.aggregate(own, F.lit(0).cast("long"), lambda total, h: total + h["times"])
+    enough = places * k >= coverage * F.col("n_words")
     return pairs.join(tests, "item").where(enough).mapInPandas(partial(_tile_rows, k=k, coverage=coverage), schema)
 
 
