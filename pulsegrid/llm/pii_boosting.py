@@ -199,12 +199,12 @@ def fit_scorer(found: DataFrame, precision: float = PRECISION) -> Scorer:
 
 
 def _selected(candidates: Column, base: Column, scorer: Scorer) -> Column:
-    """Candidates the trees select that don't overlap a base span, as spans; of overlapping ones, those that begin first."""
+    """Candidates the trees select that no base span holds, as spans; of overlapping ones, those that begin first."""
     def chosen(c: Column) -> Column:
         marks = F.array(*(F.lit(1 << (len(FEATURES) + k)) for k in range(len(KINDS))))
         packed = c["bits"].bitwiseOR(F.element_at(marks, c["kind"] + 1))
         enough = F.element_at(F.array(*(F.lit(float(t)) for t in scorer.thresholds)), c["kind"] + 1)
-        return (scorer.model.column(packed) >= enough) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+        return (scorer.model.column(packed) >= enough) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
 
     picked = F.array_sort(F.transform(F.filter(candidates, chosen), lambda c: F.struct(c["start"], c["kind"], c["end"])))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
