@@ -101,17 +101,18 @@ def hamming_links(prints: DataFrame) -> DataFrame:
     probes = homes.select("space", "seg", F.explode(_ball(F.col("v"))).alias("p"), "v", "fp", "rest").select(
         "space", "seg", F.col("p").alias("v"), "fp", "rest", (F.col("p") != F.col("v")).alias("visit"))
     few = homes.join(crowded, key, "left_anti").select(*key, F.col("fp").alias("other"))
-    near = probes.join(few, key).where(
+    # Merge joins by hint: the size of the stored fingerprints says nothing of their exploded balls.
+    near = probes.join(few.hint("merge"), key).where(
         (F.col("visit") | (F.col("fp") < F.col("other"))) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE))
     direct = near.select("space", F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
     # A value that is shared: hubs in the other half. One bit is spent on a visit's own half.
-    busy = probes.join(crowded, key)
+    busy = probes.join(crowded.hint("merge"), key)
     hubs = busy.where(~F.col("visit")).select(*key, "fp", F.lit(False).alias("visit"), F.inline(_within(F.col("rest"), 2)))
     hubs = hubs.union(busy.where("visit").select(*key, "fp", F.lit(True).alias("visit"), F.inline(_within(F.col("rest"), 1))))
     at = [*key, "hub"]
     centre = hubs.where(~F.col("visit") & (F.col("d") <= 1)).groupBy(*at).agg(F.min("fp").alias("centre"))
-    star = hubs.join(centre, at).where("fp <> centre").select(
+    star = hubs.join(centre.hint("merge"), at).where("fp <> centre").select(
         "space", F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
     return direct.union(star).distinct()
 
