@@ -44,8 +44,10 @@ def latest_post_date(text: ColumnOrName, as_of) -> Column:
 
 def days_since(date: ColumnOrName, as_of) -> Column:
     """Whole days from ``date`` to ``as_of`` (24-hour days, rounded down)."""
-    seconds = F.unix_seconds(moment(as_of).cast("timestamp")) - F.unix_seconds(col(date).cast("timestamp"))
-    return F.floor(seconds / 86400).cast("int")
+    end, start = moment(as_of), col(date).cast("timestamp_ntz")
+    # Dates and clock times of zone-less values: no session zone or clock change comes in.
+    clock = lambda t: F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
+    return F.date_diff(F.to_date(end), F.to_date(start)) - F.when(clock(end) < clock(start), 1).otherwise(0)
 
 
 def is_inactive(date: ColumnOrName, as_of, threshold_days: int = 365) -> Column:

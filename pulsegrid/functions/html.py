@@ -1,7 +1,7 @@
 """Links and tags in HTML by regular expression (native, inside the row).
 
-Comments and script bodies are removed first. On badly broken markup the parsed form in
-``operators.html`` is the exact one.
+Comments and script bodies are removed first. Badly broken markup is read as it stands, not
+repaired as a browser would.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .common import ColumnOrName, col, empty_strings, let, strip
+from .common import ColumnOrName, col, empty_strings, first_match, let, lookup, strip
 from .urls import url_host, url_scheme
 
 INSIDE_TAG = r"(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+"
@@ -149,3 +149,46 @@ def drop_tweet_embeds(urls: ColumnOrName, trusted: ColumnOrName) -> Column:
     urls, trusted = col(urls), col(trusted)
     cleaned = F.filter(urls, lambda u: ~u.rlike(TWEET) & (~u.rlike(TWITTER) | F.array_contains(trusted, u)))
     return F.when(F.exists(urls, lambda u: u.rlike(TWEET)), cleaned).otherwise(urls)
+
+
+# Elements that have no end tag.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def _own_region(tag: Column, name: Column) -> Column:
+    """The region an opening tag begins: by element, by role, by words in class or id; else NULL."""
+    words = F.lower(F.concat_ws(" ", attribute(tag, "class"), attribute(tag, "id")))
+    by_word = [(F.exists(F.array(*(F.lit(w) for w in listed)), lambda w: F.contains(words, w)), region)
+               for region, listed in fixed.REGION_WORDS]
+    return F.coalesce(lookup(fixed.REGION_TAGS, name), lookup(fixed.REGION_ROLES, F.lower(attribute(tag, "role"))),
+                      first_match(by_word, F.lit(None).cast("string")))
+
+
+def link_regions(html: ColumnOrName) -> Column:
+    """``array<struct<href, region>>``: each link with the nearest region around it, ``unknown`` if none.
+
+    One fold over the page's tags keeps the open elements, each with the region that holds in it.
+    An end tag closes the last open element of its name and all opened since.
+    """
+    every = F.regexp_extract_all(visible_markup(html), F.lit(rf"</?[a-zA-Z][a-zA-Z0-9]*{INSIDE_TAG}>"), 0)
+
+    def read(tag: Column) -> Column:
+        return let(F.lower(F.regexp_extract(tag, "^</?([a-zA-Z0-9]+)", 1)), lambda name: F.struct(
+            name.alias("name"), tag.startswith("</").alias("closes"), (name.isin(*VOID) | tag.endswith("/>")).alias("void"),
+            F.when(~tag.startswith("</"), _own_region(tag, name)).alias("region"),
+            F.when(name == "a", attribute(tag, "href")).alias("href")))
+
+    start = F.struct(F.expr("cast(array() as array<struct<name:string,region:string>>)").alias("open"),
+                     F.expr("cast(array() as array<struct<href:string,region:string>>)").alias("links"))
+
+    def step(acc: Column, t: Column) -> Column:
+        around = F.coalesce(t["region"], F.get(acc["open"], F.size(acc["open"]) - 1)["region"])
+        opened = F.concat(acc["open"], F.array(F.struct(t["name"].alias("name"), around.alias("region"))))
+        from_end = F.array_position(F.reverse(F.transform(acc["open"], lambda x: x["name"])), t["name"]).cast("int")
+        closed = F.when(from_end > 0, F.slice(acc["open"], F.lit(1), F.size(acc["open"]) - from_end)).otherwise(acc["open"])
+        link = F.array(F.struct(t["href"].alias("href"), F.coalesce(around, F.lit("unknown")).alias("region")))
+        return F.struct(
+            F.when(t["closes"], closed).when(t["void"], acc["open"]).otherwise(opened).alias("open"),
+            F.when(~t["closes"] & t["href"].isNotNull(), F.concat(acc["links"], link)).otherwise(acc["links"]).alias("links"))
+
+    return F.aggregate(F.transform(every, read), start, step, lambda acc: acc["links"])

@@ -12,11 +12,6 @@ from .. import fixed
 from .common import ColumnOrName, col, let, lookup, strip
 from .text import snippet
 
-TITLE = "(?i:" + "|".join(re.escape(t) for t in fixed.MENTION_TITLES) + ")"
-TITLES = rf"(?:{TITLE}(?:\s+(?:and|&)\s+{TITLE})*)"
-NAME = fixed.PERSON_NAME
-FOUNDED = r"\b(?i:(?:co-?)?founded\s+by)"
-
 
 class Form(NamedTuple):
     """One way of naming a leader: pattern, groups of its names and title, priority (1 = surest)."""
@@ -27,22 +22,21 @@ class Form(NamedTuple):
     priority: int
 
 
-FORMS = (
-    Form(rf"\b({TITLES})\s*[,:]\s*({NAME})", (2,), 1, 1),
-    Form(rf"\b[Oo]ur\s+({TITLES})[,\s]+({NAME})", (2,), 1, 1),
-    Form(rf"({NAME})\s*[,\-]\s*({TITLES})\b", (1,), 2, 2),
-    Form(rf"({NAME})\s*\(\s*({TITLES})\s*\)", (1,), 2, 2),
-    Form(rf"({NAME})\s+(?i:is\s+the)\s+({TITLES})\b", (1,), 2, 3),
-    Form(rf"{FOUNDED}\s+({NAME})\s+(?i:and)\s+({NAME})", (1, 2), 0, 4),
-    Form(rf"{FOUNDED}\s+(?!{NAME}\s+(?i:and)\s+{NAME})({NAME})", (1,), 0, 4),
-)
-ANY_FORM = r"(?i)founder|founded|ceo|chief executive officer|president"
+def _forms() -> tuple[Form, ...]:
+    """The fixed patterns with the titles and names filled in; titles may be joined, in any case."""
+    alternatives = "|".join(map(re.escape, fixed.MENTION_TITLES))
+    titles = rf"(?:(?i:{alternatives})(?:\s+{fixed.TITLE_JOINERS}\s+(?i:{alternatives}))*)"
+    fill = lambda p: p.replace("{titles}", titles).replace("{name}", fixed.PERSON_NAME)
+    return tuple(Form(fill(pattern), *rest) for pattern, *rest in fixed.MENTION_PATTERNS)
+
+
+FORMS = _forms()
 
 
 def plain_markdown(text: ColumnOrName) -> Column:
     """Markdown links as their text, emphasis and code marks removed."""
-    linked = F.regexp_replace(col(text), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return F.regexp_replace(linked, r"[*_`\[\]]+", "")
+    linked = F.regexp_replace(col(text), fixed.MARKDOWN_LINK, "$1")
+    return F.regexp_replace(linked, fixed.MARKDOWN_MARKS, "")
 
 
 def canonical_title(title: Column) -> Column:
@@ -52,7 +46,7 @@ def canonical_title(title: Column) -> Column:
     def one(t: Column) -> Column:
         return F.coalesce(lookup(table, F.lower(strip(t))), strip(t))
 
-    return F.array_join(F.transform(F.split(strip(title), r"(?iU)\s+(?:and|&)\s+"), one), " and ")
+    return F.array_join(F.transform(F.split(strip(title), rf"(?iU)\s+{fixed.TITLE_JOINERS}\s+"), one), " and ")
 
 
 def _spans(text: Column, pattern: str) -> Column:
@@ -88,4 +82,4 @@ def leadership_mentions(markdown: ColumnOrName) -> Column:
     none = F.expr("cast(array() as array<struct<person_name:string,title_context:string,priority:int,snippet:string>>)")
     text = F.coalesce(col(markdown), F.lit(""))
     found = let(plain_markdown(text), lambda t: F.concat(*[_of_form(t, f) for f in FORMS]))
-    return F.when(text.rlike(ANY_FORM), found).otherwise(none)
+    return F.when(text.rlike(fixed.MENTION_HINT), found).otherwise(none)

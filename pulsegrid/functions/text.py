@@ -23,8 +23,9 @@ def json_array(c: ColumnOrName) -> Column:
 
 
 def _utc(instant: Column) -> Column:
-    """An instant as UTC wall time, whatever the session's zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+    """An instant as UTC wall time, whatever the session's zone: microseconds counted from a zone-less 1970."""
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def parse_iso(c: ColumnOrName) -> Column:
@@ -84,8 +85,8 @@ def magnitude(similarity: ColumnOrName) -> Column:
 
 
 def hash_bits(c: ColumnOrName) -> Column:
-    """A 16-digit hexadecimal hash as a 64-bit integer."""
-    return F.conv(col(c), 16, -10).cast("bigint")
+    """A 16-digit hexadecimal hash as a 64-bit integer; anything else is NULL."""
+    return F.when(col(c).rlike("^[0-9a-fA-F]{16}$"), F.conv(col(c), 16, -10).cast("bigint"))
 
 
 def hash_similarity(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -97,8 +98,8 @@ def lines(text: ColumnOrName) -> Column:
     return F.split(col(text), LINE_BREAK, -1)
 
 
-def company_description(markdown: ColumnOrName, limit: int = 500) -> Column:
-    """The first ``limit`` characters of a page's running text, menu lines left out."""
+def company_description(markdown: ColumnOrName, limit: int | None = None) -> Column:
+    """A page's running text, menu lines left out; with ``limit`` its first characters."""
 
     def keep(line: Column) -> Column:
         heading = strip(F.regexp_extract(line, r"^#{1,6}\s+(.*)", 1))
@@ -110,7 +111,8 @@ def company_description(markdown: ColumnOrName, limit: int = 500) -> Column:
         )
 
     kept = F.filter(F.transform(lines(F.coalesce(col(markdown), F.lit(""))), strip), keep)
-    return strip(F.substring(F.array_join(kept, " "), 1, limit))
+    running = F.array_join(kept, " ")
+    return strip(running if limit is None else F.substring(running, 1, limit))
 
 
 def copyright_year(text: ColumnOrName) -> Column:

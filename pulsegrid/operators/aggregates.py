@@ -76,19 +76,22 @@ def changes_since_last_scan(snapshots: DataFrame, changes: DataFrame) -> DataFra
 
 
 def alerts_summary(changes: DataFrame, companies: DataFrame, as_of, days: int = 30, shown: int = 5) -> DataFrame:
-    """Recent negative and uncertain changes, the first flagged companies by name, and their total."""
+    """Recent negative and uncertain changes, all flagged companies counted, and the first ``shown`` of them by name."""
     verdict = F.col("significance_classification")
     recent = changes.filter(on_or_after("detected_at", as_of, days)).agg(
         F.count_if((verdict == "significant") & (F.col("significance_sentiment") == "negative"))
         .alias("negative_significant_count"),
         F.count_if(verdict == "uncertain").alias("uncertain_count"),
     )
-    top = companies.filter("flagged_for_review").select("name", "id").orderBy("name", "id").limit(shown)
-    flagged = top.agg(F.array_sort(F.collect_list(F.struct("name", "id"))).alias("flagged_companies"))
-    both = _one_row(changes.sparkSession, recent=recent, flagged=flagged)
+    marked = companies.filter("flagged_for_review")
+    reason = F.col("flag_reason") if "flag_reason" in companies.columns else F.lit(None).cast("string")
+    top = marked.select("name", "id", reason.alias("flag_reason")).orderBy("name", "id").limit(shown)
+    flagged = top.agg(F.array_sort(F.collect_list(F.struct("name", "id", "flag_reason"))).alias("flagged_companies"))
+    counted = marked.agg(F.count("*").alias("flagged_count"))
+    both = _one_row(changes.sparkSession, recent=recent, flagged=flagged, counted=counted)
     return both.withColumn(
         "total_alerts",
-        F.col("negative_significant_count") + F.col("uncertain_count") + F.size("flagged_companies"))
+        F.col("negative_significant_count") + F.col("uncertain_count") + F.col("flagged_count"))
 
 
 def weekly_trend(changes: DataFrame, news: DataFrame, leaders: DataFrame, as_of, weeks: int = 12) -> DataFrame:
@@ -175,7 +178,7 @@ def change_rate_anomalies(changes: DataFrame, companies: DataFrame, as_of, days:
         "company_id", "company_name", "recent_count", "baseline_count",
         F.round("__expected", 2).alias("expected_count"), F.round("__ratio", 2).alias("ratio"),
         F.when(F.col("__ratio") >= 2.0, "spike").otherwise("drought").alias("direction"),
-    ).orderBy(F.abs(F.col("ratio") - 1).desc(), "company_id")
+    )
 
 
 # Fixed buckets of a run report; other breakdowns list what occurs.
@@ -189,8 +192,9 @@ REPORT_BUCKETS = {
 def breakdowns(results: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Several counters over a run's rows in one pass: ``breakdown, value, n``.
 
-    ``columns`` maps a breakdown to its column. Breakdowns with fixed buckets show 0 and
-    hide other values; the rest show every value, a missing one as ``unknown``.
+    ``columns`` maps a breakdown to its column. Breakdowns with fixed buckets show 0 for an empty
+    one and count all other values as ``other``, if there are any; the rest show every value, a
+    missing one as ``unknown``.
     """
     pairs = [
         F.struct(F.lit(name).alias("breakdown"), F.coalesce(F.col(c), F.lit("unknown")).alias("value"))
@@ -208,30 +212,26 @@ def breakdowns(results: DataFrame, columns: Mapping[str, str]) -> DataFrame:
         [(name, value) for name in fixed_names for value in REPORT_BUCKETS[name]], "breakdown string, value string")
     filled = spine.join(counted, ["breakdown", "value"], "left").select(
         "breakdown", "value", F.coalesce("n", F.lit(0)).alias("n"))
-    return filled.unionByName(free)
-
+    known = F.lit(False)
+    for name in fixed_names:
+        known = known | ((F.col("breakdown") == name) & F.col("value").isin(*REPORT_BUCKETS[name]))
+    others = counted.filter(F.col("breakdown").isin(*fixed_names) & ~known).groupBy("breakdown").agg(
+        F.sum("n").alias("n")).select("breakdown", F.lit("other").alias("value"), "n")
+    return filled.unionByName(others).unionByName(free)
 
-def run_summary(results: DataFrame, by: Sequence[str] = (), shown: int = 10) -> DataFrame:
-    """Processed, successful, failed and skipped items (``outcome``), and the first errors shown.
 
-    All errors stay in ``results``; ``errors`` is the list a report prints.
-    """
-    counts = results.groupBy(*by).agg(
+def run_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Processed, successful, failed and skipped items (``outcome``). The errors are ``run_errors``."""
+    return results.groupBy(*by).agg(
         F.count("*").alias("processed"),
         *[F.count_if(F.col("outcome") == o).alias(name) for o, name in (
             ("success", "successful"), ("failure", "failed"), ("skip", "skipped"))],
     )
-    failures = results.filter(F.col("outcome") == "failure")
-    if by:
-        from .latest import latest_per_key
-
-        first = latest_per_key(failures.select(*by, "error"), by, [F.col("error").asc()], n=shown)
-        lists = first.groupBy(*by).agg(F.array_sort(F.collect_list("error")).alias("errors"))
-        joined = counts.join(lists, list(by), "left")
-        return joined.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
-    first = failures.select("error").orderBy("error").limit(shown)
-    lists = first.agg(F.array_sort(F.collect_list("error")).alias("errors"))
-    return _one_row(results.sparkSession, counts=counts, lists=lists)
+
+
+def run_errors(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Every error of a run, a row each."""
+    return results.filter(F.col("outcome") == "failure").select(*by, "error")
 
 
 def merge_summaries(summaries: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.text import magnitude
 from .latest import earliest_without_baseline, snapshot_pairs, without_significance
 from .significance import VERDICT_COLUMNS, classify_significance
 from .tables import update_by_key
-from .text_diff import exact_added_lines, exact_change, exact_similarity, line_added, line_similarity
+from .text_diff import line_added, line_similarity
 
 
 @dataclass(frozen=True)
@@ -69,30 +69,16 @@ def detect_changes(pairs: DataFrame, similarity: Column, policy: Policy = HOMEPA
     return judged.withColumn("similarity", score).withColumn("change_magnitude", level)
 
 
-def similarity(old: str, new: str, method: str = "ratio") -> Column:
-    """``ratio``: exact matching blocks (Arrow UDF). ``lines``: shared lines (native)."""
-    if method == "ratio":
-        return exact_similarity(old, new)
-    if method == "lines":
-        return line_similarity(old, new)
-    raise ValueError(f"unknown similarity method {method!r}")
-
-
-def added_lines(old: str, new: str, method: str = "ratio") -> Column:
-    """Lines added or modified; exact diff with ``ratio``, lines not seen before with ``lines``."""
-    return exact_added_lines(old, new) if method == "ratio" else line_added(old, new)
-
-
 def error_transition(old_error: Column, new_error: Column, old_checksum: Column, new_checksum: Column) -> Column:
     """What happened to the capture itself: it broke, recovered, or failed otherwise than before."""
     before, after = old_checksum.isNotNull(), new_checksum.isNotNull()
     old_text, new_text = strip(F.coalesce(old_error, F.lit(""))), strip(F.coalesce(new_error, F.lit("")))
-    cause = F.substring(F.coalesce(blank_to_null(new_error), F.lit("unknown")), 1, 200)
+    cause = F.coalesce(blank_to_null(new_error), F.lit("unknown"))
     return (
         F.when(before & ~after, F.concat(F.lit("Content recovery -> error: "), cause))
         .when(~before & after, "Site recovered from previous error")
         .when(~before & ~after & (old_text != new_text) & (new_text != ""),
-              F.concat(F.lit("Error state changed: "), F.substring(new_text, 1, 200)))
+              F.concat(F.lit("Error state changed: "), new_text))
     )
 
 
@@ -112,15 +98,15 @@ def _constant_verdict(label: Column, confidence: Column, notes: Column) -> list[
 def with_texts(pairs: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pairs with ``old_text`` and ``new_text``.
 
-    The page texts are read once and only the wanted ones are shuffled on, as the narrow
-    list of wanted ids meets them in a join Spark sizes itself.
+    Texts belong to a company and an id. The page texts are read once and only the wanted ones
+    are shuffled on, as the narrow list of wanted ids meets them in a join Spark sizes itself.
     """
     columns = pairs.columns
-    wanted = pairs.select(F.struct(*columns).alias("pair"), F.explode(F.array(
+    wanted = pairs.select("company_id", F.struct(*columns).alias("pair"), F.explode(F.array(
         F.struct(F.col("old_id").alias("__id"), F.lit(0).alias("side")),
-        F.struct(F.col("new_id").alias("__id"), F.lit(1).alias("side")))).alias("w")).select("pair", "w.*")
-    texts = snapshots.select(F.col("id").alias("__id"), F.col("content_markdown").alias("__text"))
-    met = wanted.join(texts, "__id", "left")
+        F.struct(F.col("new_id").alias("__id"), F.lit(1).alias("side")))).alias("w")).select("company_id", "pair", "w.*")
+    texts = snapshots.select("company_id", F.col("id").alias("__id"), F.col("content_markdown").alias("__text"))
+    met = wanted.join(texts, ["company_id", "__id"], "left")
     side = lambda n: F.max(F.when(F.col("side") == n, F.col("__text")))
     grouped = met.groupBy(*[F.col(f"pair.{k}").alias(k) for k in keys]).agg(
         F.first("pair").alias("pair"), side(0).alias("old_text"), side(1).alias("new_text"))
@@ -132,7 +118,6 @@ def change_records(
     as_of,
     exclude: DataFrame | None = None,
     policy: Policy = HOMEPAGE,
-    method: str = "ratio",
     terms: Sequence[Term] | None = None,
     pairing: str = "latest",
     pairs: DataFrame | None = None,
@@ -163,7 +148,7 @@ def change_records(
         "checksum_old", "checksum_new", "has_changed",
     ]
     stamp = moment(as_of).alias("detected_at")
-    error_note = F.concat(F.lit("Snapshot capture failed: "), F.substring(strip("new_error_message"), 1, 300))
+    error_note = F.concat(F.lit("Snapshot capture failed: "), strip("new_error_message"))
 
     settled = judged.filter(~read_text)
     broken = F.col("has_changed") & failed
@@ -178,11 +163,7 @@ def change_records(
 
     pair_keys = keys if pairing == "latest" else [*keys, "new_id"]
     texts = with_texts(judged.filter(read_text), source, pair_keys)
-    if method == "ratio":
-        texts = texts.withColumn("__change", exact_change("old_text", "new_text"))
-        score, added = F.col("__change.similarity"), F.col("__change.added")
-    else:
-        score, added = line_similarity("old_text", "new_text"), line_added("old_text", "new_text")
+    score, added = line_similarity("old_text", "new_text"), line_added("old_text", "new_text")
     subject = added if policy.additions_only else F.coalesce(
         blank_to_null(strip(added)), blank_to_null(strip("new_text")), strip("old_text"))
     measured = texts.withColumn(
@@ -202,14 +183,13 @@ def change_records(
     return plain.unionByName(full)
 
 
-def social_change_records(social_snapshots: DataFrame, as_of, method: str = "ratio", **options) -> DataFrame:
+def social_change_records(social_snapshots: DataFrame, as_of, **options) -> DataFrame:
     """The same per company and source page, judged by what was added alone."""
-    return change_records(social_snapshots, as_of, policy=SOCIAL, method=method, **options)
+    return change_records(social_snapshots, as_of, policy=SOCIAL, **options)
 
 
 def backfill_significance(
-    changes: DataFrame, snapshots: DataFrame, method: str = "ratio", terms: Sequence[Term] | None = None,
-    dry_run: bool = False,
+    changes: DataFrame, snapshots: DataFrame, terms: Sequence[Term] | None = None, dry_run: bool = False,
 ) -> DataFrame:
     """Classify changed rows that have no verdict yet, by their added lines.
 
@@ -217,9 +197,9 @@ def backfill_significance(
     version has no text, or with nothing added, stay as they are.
     """
     pending = without_significance(changes).select(
-        "id", F.col("snapshot_id_old").alias("old_id"), F.col("snapshot_id_new").alias("new_id"), "change_magnitude")
+        "id", "company_id", F.col("snapshot_id_old").alias("old_id"), F.col("snapshot_id_new").alias("new_id"), "change_magnitude")
     texts = with_texts(pending, snapshots, ["id"]).filter(F.coalesce(F.col("new_text"), F.lit("")) != "")
-    diffed = texts.withColumn("__subject", added_lines("old_text", "new_text", method)).filter(has_text("__subject"))
+    diffed = texts.withColumn("__subject", line_added("old_text", "new_text")).filter(has_text("__subject"))
     judged = classify_significance(
         diffed, "__subject", F.coalesce("change_magnitude", F.lit("minor")), fixed.SELF_REPORT_EXCLUDED, terms
     ).select("id", *VERDICT_COLUMNS)
@@ -246,18 +226,18 @@ def store_baseline(snapshots: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def significant_changes(changes: DataFrame, companies: DataFrame, as_of, days: int = 180, sentiment: str | None = None, min_confidence: float = 0.5) -> DataFrame:
-    """Recent significant changes with their company, newest first."""
+    """Recent significant changes with their company."""
     hits = changes.filter(
         (F.col("significance_classification") == "significant")
         & (F.col("significance_confidence") >= min_confidence) & on_or_after("detected_at", as_of, days))
     if sentiment:
         hits = hits.filter(F.col("significance_sentiment") == sentiment)
-    return with_company(hits, companies).orderBy(F.col("detected_at").desc(), F.col("id").desc())
+    return with_company(hits, companies)
 
 
-def uncertain_changes(changes: DataFrame, companies: DataFrame, limit: int = 50) -> DataFrame:
-    hits = changes.filter(F.col("significance_classification") == "uncertain")
-    return with_company(hits, companies).orderBy(F.col("detected_at").desc(), F.col("id").desc()).limit(limit)
+def uncertain_changes(changes: DataFrame, companies: DataFrame) -> DataFrame:
+    """Changes whose meaning is open, with their company."""
+    return with_company(changes.filter(F.col("significance_classification") == "uncertain"), companies)
 
 
 def with_company(rows: DataFrame, companies: DataFrame) -> DataFrame:

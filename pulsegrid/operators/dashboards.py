@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.common import on_or_after
 from .aggregates import change_rate_anomalies, freshness_tier
-from .latest import current_status, latest_per_key, lists_up_to, page
+from .latest import current_status, latest_per_key, page
 from .people import leadership_departures
 from .status import status_news_contradictions
 
@@ -63,13 +63,9 @@ def companies_list(
 
 def changes_by_company(
     tables: Tables, as_of, days: int = 180, classification: str | None = None, sentiment: str | None = None,
-    min_confidence: float = 0.0, number: int = 1, per_page: int = 50, listed: int = 1000,
+    min_confidence: float = 0.0, number: int = 1, per_page: int = 50,
 ) -> tuple[DataFrame, DataFrame]:
-    """A page of companies by newest change, and the change rows of those companies.
-
-    A company's ``changes`` array (newest first) is there for up to ``listed`` changes; the
-    second frame holds the changes of all of them as rows.
-    """
+    """A page of companies by newest change, and the change rows of those companies."""
     changes = tables["change_records"].filter(F.col("has_changed") & on_or_after("detected_at", as_of, days))
     if classification:
         changes = changes.filter(F.col("significance_classification") == classification)
@@ -83,23 +79,19 @@ def changes_by_company(
     groups = page(counted.join(names, "company_id"), [F.col("latest_change").desc(), F.col("company_id")], number, per_page)
     latest = current_status(tables["company_statuses"].select("id", "company_id", "status", "is_manual_override")).drop("id")
     rows = changes.join(groups.select("company_id"), "company_id", "left_semi")
-    order = F.unix_micros(F.col("detected_at").cast("timestamp"))
-    entry = F.struct((-order).alias("order"), F.struct(*changes.columns).alias("change"))
-    lists = lists_up_to(rows, ["company_id"], entry, listed, "l").select(
-        "company_id", F.transform("l", lambda x: x["change"]).alias("changes"))
-    headed = groups.join(latest, "company_id", "left").join(lists, "company_id", "left").select(
+    headed = groups.join(latest, "company_id", "left").select(
         "company_id", "company_name", F.coalesce("status", F.lit("unknown")).alias("company_status"),
         F.coalesce("is_manual_override", F.lit(False)).alias("company_status_manual"),
-        "latest_change", "change_count", "changes")
+        "latest_change", "change_count")
     return headed, rows
 
 
-# Sections of a company page: table, order, most rows shown (None: all).
+# Sections of a company page: table, order, rows (1: the latest one; None: all).
 SUMMARY_SECTIONS = (
     ("status", "company_statuses", ("-id",), 1),
-    ("changes", "change_records", ("-detected_at", "-id"), 20),
+    ("changes", "change_records", ("-detected_at", "-id"), None),
     ("social_links", "social_media_links", ("platform", "profile_url"), None),
-    ("news", "news_articles", ("-published_at", "-id"), 20),
+    ("news", "news_articles", ("-published_at", "-id"), None),
     ("leadership", "company_leadership", ("-is_current", "title", "id"), None),
     ("latest_snapshot", "snapshots", ("-captured_at", "-id"), 1),
 )
@@ -130,10 +122,8 @@ def company_summary(tables: Tables, company_id: int) -> DataFrame:
 
 
 def company_summaries(tables: Tables) -> DataFrame:
-    """The same for all companies at once: ``company_id, section, record``; capped sections
-    keep their newest rows per company."""
-    keys = {"change_records": ("detected_at", "id"), "news_articles": ("published_at", "id"),
-            "company_statuses": ("id",), "snapshots": ("captured_at", "id")}
+    """The same for all companies at once: ``company_id, section, record``."""
+    keys = {"company_statuses": ("id",), "snapshots": ("captured_at", "id")}
 
     def section(name: str, df: DataFrame, owner: str) -> DataFrame:
         return df.select(F.col(owner).alias("company_id"), F.lit(name).alias("section"),

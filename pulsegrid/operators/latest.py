@@ -91,17 +91,6 @@ def earliest_without_baseline(snapshots: DataFrame) -> DataFrame:
     return snapshots.filter(open_).join(first, ["company_id", "captured_at"], "left_semi")
 
 
-def lists_up_to(rows: DataFrame, keys: Sequence[str], entry: Column, limit: int, name: str) -> DataFrame:
-    """Sorted lists of ``entry`` per key, for keys with at most ``limit`` rows.
-
-    Longer keys have no list here; their rows stay available as rows. They are dropped
-    before anything is gathered.
-    """
-    short = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") <= limit).select(*keys)
-    kept = rows.join(short, list(keys), "left_semi")
-    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias(name))
-
-
 def current_status(statuses: DataFrame) -> DataFrame:
     """Each company's latest status row (largest id)."""
     return latest_per_key(statuses, ["company_id"], ["id"])
@@ -150,9 +139,8 @@ def stale_logos(companies: DataFrame, logos: DataFrame, as_of, days: int = 30, f
 
 
 def without_significance(changes: DataFrame) -> DataFrame:
-    """Changed rows not classified yet, oldest first."""
-    pending = changes.filter(F.col("has_changed") & F.col("significance_classification").isNull())
-    return pending.orderBy("detected_at", "id")
+    """Changed rows not classified yet."""
+    return changes.filter(F.col("has_changed") & F.col("significance_classification").isNull())
 
 
 def news_between(news: DataFrame, start, end, company_id: int | None = None) -> DataFrame:
@@ -186,7 +174,7 @@ def search_window(snapshots: DataFrame, companies: DataFrame, as_of, days: int =
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct().orderBy(column)
+    return df.select(column).distinct()
 
 
 def page(df: DataFrame, order: Sequence[str | Column], number: int = 1, per_page: int = 50) -> DataFrame:

@@ -112,7 +112,7 @@ def company_links(links: DataFrame, blogs: DataFrame, company_id: int) -> DataFr
         F.lit("social").alias("kind"), F.col("platform").alias("type"), F.col("profile_url").alias("link"))
     posts = blogs.filter(own).select(
         F.lit("blog").alias("kind"), F.col("blog_type").alias("type"), F.col("blog_url").alias("link"))
-    return social.unionByName(posts).orderBy(F.col("kind").desc(), "type", "link")
+    return social.unionByName(posts)
 
 
 def links_by_platform(links: DataFrame, platform: str) -> DataFrame:
@@ -120,7 +120,7 @@ def links_by_platform(links: DataFrame, platform: str) -> DataFrame:
 
 
 def active_blogs(blogs: DataFrame) -> DataFrame:
-    return blogs.filter("is_active").orderBy("company_id", "blog_url")
+    return blogs.filter("is_active")
 
 
 def latest_logo(logos: DataFrame) -> DataFrame:

@@ -1,69 +1,65 @@
-"""Similar logos by Hamming distance of their hashes."""
+"""Logos: look-alikes of a company by the Hamming distance of their hashes, and a branding record's logo."""
 
 from __future__ import annotations
 
-from itertools import combinations
 from math import floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed
+from ..functions.common import text_array
 from ..functions.text import hash_bits
 
 BITS = 64
 
 
-def _bands(count: int) -> list[tuple[int, int]]:
-    """``count`` runs of neighbouring bits as (shift, width)."""
-    edges = [round(i * BITS / count) for i in range(count + 1)]
-    return [(low, high - low) for low, high in zip(edges, edges[1:])]
-
-
-def _signed(mask: int) -> int:
-    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
-
-
-def _choices(masks: list[int], agreeing: int) -> str:
-    """SQL array of all choices of ``agreeing`` bands: number, bits kept, and the bands passed over."""
-
-    def row(number: int, picked: tuple[int, ...]) -> str:
-        passed = ", ".join(f"{_signed(masks[i])}L" for i in range(max(picked)) if i not in picked)
-        return (f"named_struct('number', {number}, 'mask', {_signed(sum(masks[i] for i in picked))}L, "
-                f"'passed', cast(array({passed}) as array<bigint>))")
-
-    every = combinations(range(len(masks)), agreeing)
-    return f"array({', '.join(row(n, picked) for n, picked in enumerate(every))})"
+def malformed_hashes(logos: DataFrame, column: str = "perceptual_hash") -> DataFrame:
+    """Logos whose hash is given but isn't 16 hexadecimal digits; they are compared with nothing."""
+    return logos.filter(F.col(column).isNotNull() & hash_bits(column).isNull())
 
 
 def similar_logos(
     a: DataFrame, b: DataFrame, threshold: float = 0.85, known_bad: DataFrame | None = None,
-    column: str = "perceptual_hash", bands: int = 12,
+    column: str = "perceptual_hash", owner: str = "company_id",
 ) -> DataFrame:
-    """Pairs of distinct hashes with similarity >= ``threshold``, and how many logos have each.
+    """Pairs of distinct hashes of one company with similarity >= ``threshold``, and how many logos have each.
 
-    Exact: hashes with at most r differing bits agree on at least ``bands - r`` bands, so
-    they meet under one of the choices of that many bands. Copies are counted first and
-    only distinct hashes are compared; the logos behind a pair follow by joining on the hash.
+    Exact: hashes with at most r differing bits agree on one of r + 1 runs of bits, so each hash
+    goes out once per run, with its company. Copies are counted first and only distinct hashes
+    of a company are compared; the logos behind a pair follow by joining on company and hash.
     """
     differing = floor((1 - threshold) * BITS + 1e-9)
-    if bands <= differing:
-        bands = differing + 1
-    masks = [((1 << width) - 1) << low for low, width in _bands(bands)]
-    choices = _choices(masks, bands - differing)
+    edges = [round(i * BITS / (differing + 1)) for i in range(differing + 2)]
+    masks = [((1 << (high - low)) - 1) << low for low, high in zip(edges, edges[1:])]
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
     def keyed(df: DataFrame, name: str) -> DataFrame:
         if known_bad is not None:
             df = df.join(known_bad.select(column).distinct(), column, "left_anti")
-        counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"hash_{name}")).agg(
-            F.count("*").alias(f"logos_{name}")).withColumn(f"bits_{name}", hash_bits(f"hash_{name}"))
-        return counted.select("*", F.explode(F.expr(choices)).alias("c")).select(
-            f"hash_{name}", f"logos_{name}", f"bits_{name}", F.col("c.number").alias("choice"),
-            F.col(f"bits_{name}").bitwiseAND(F.col("c.mask")).alias("key"), F.col("c.passed").alias("passed"))
+        bits = F.col(f"bits_{name}")
+        counted = df.withColumn(f"bits_{name}", hash_bits(column)).filter(bits.isNotNull()).groupBy(
+            owner, F.col(column).alias(f"hash_{name}"), f"bits_{name}").agg(F.count("*").alias(f"logos_{name}"))
+        return counted.select("*", F.posexplode(F.array(*(bits.bitwiseAND(F.lit(m)) for m in signed))).alias("run", "key"))
 
-    met = keyed(a, "a").join(keyed(b, "b").drop("passed"), ["choice", "key"])
+    met = keyed(a, "a").join(keyed(b, "b"), [owner, "run", "key"])
     apart = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
-    # A pair may agree on several choices; it is taken at the one of its lowest agreeing bands.
-    lowest = ~F.exists("passed", lambda m: apart.bitwiseAND(m) == 0)
+    # A pair may agree on several runs; it is taken at the lowest one.
+    agree = F.transform(F.array(*(F.lit(m) for m in signed)), lambda m: apart.bitwiseAND(m) == 0)
+    lowest = F.array_position(agree, F.lit(True)) == F.col("run") + 1
     return met.filter((F.bit_count(apart) <= differing) & lowest).select(
-        "hash_a", "hash_b", (F.lit(1.0) - F.bit_count(apart) / F.lit(float(BITS))).alias("similarity"),
+        owner, "hash_a", "hash_b", (F.lit(1.0) - F.bit_count(apart) / F.lit(float(BITS))).alias("similarity"),
         "logos_a", "logos_b")
+
+
+def branding_logo(branding: str = "branding") -> Column:
+    """The logo of a branding record: its logo, else the logo, card or icon among its images."""
+    own = F.col(f"{branding}.logo")
+    images = F.transform(text_array(("logo", "og_image", "favicon")),
+                         lambda k: F.try_element_at(F.col(f"{branding}.images"), k))
+
+    def good(url: Column) -> Column:
+        foreign = F.exists(text_array(fixed.FOREIGN_LOGO_URLS), lambda p: F.contains(F.lower(url), p))
+        return F.coalesce((F.trim(url) != "") & ~foreign, F.lit(False))
+
+    return F.get(F.filter(F.concat(F.array(own), F.coalesce(images, F.array().cast("array<string>"))), good), F.lit(0))

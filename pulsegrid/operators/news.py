@@ -122,7 +122,7 @@ def ingest_news(
         "company_id", F.coalesce("title", F.lit("")).alias("title"), F.col("url").alias("content_url"), "source",
         F.coalesce(F.col("published"), moment(as_of)).alias("published_at"), moment(as_of).alias("discovered_at"),
         "match_confidence", "match_evidence", F.lit(None).cast("double").alias("logo_similarity"),
-        F.substring(F.coalesce("snippet", F.lit("")), 1, 500).alias("company_match_snippet"),
+        F.coalesce("snippet", F.lit("")).alias("company_match_snippet"),
         *[c for c in VERDICT_COLUMNS if c != "evidence_snippets"])
     stored = new_rows(existing, rows, ["content_url"], ["company_id", "title"])
     per_company = lambda df, name: df.groupBy("company_id").agg(F.count("*").alias(name))
@@ -135,20 +135,20 @@ def ingest_news(
 
 
 def news_filtered(news: DataFrame, companies: DataFrame, as_of, days: int = 180, classification: str | None = None, sentiment: str | None = None) -> DataFrame:
-    """Recent articles with the company's name, newest first."""
+    """Recent articles with the company's name."""
     hits = news.filter(on_or_after("published_at", as_of, days))
     if classification:
         hits = hits.filter(F.col("significance_classification") == classification)
     if sentiment:
         hits = hits.filter(F.col("significance_sentiment") == sentiment)
     names = companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name"))
-    return hits.join(names, "company_id").orderBy(F.col("published_at").desc(), F.col("id").desc())
+    return hits.join(names, "company_id")
 
 
 def significant_news(news: DataFrame, companies: DataFrame, as_of, days: int = 90, sentiment: str | None = None) -> DataFrame:
     return news_filtered(news, companies, as_of, days, "significant", sentiment)
 
 
-def recent_by_company(news: DataFrame, company_id: int, limit: int = 50) -> DataFrame:
-    own = news.filter(F.col("company_id") == company_id)
-    return own.orderBy(F.col("published_at").desc(), F.col("id").desc()).limit(limit)
+def recent_by_company(news: DataFrame, company_id: int) -> DataFrame:
+    """All articles of a company; ``top_n`` shows the newest."""
+    return news.filter(F.col("company_id") == company_id)

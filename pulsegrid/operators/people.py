@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,9 @@ from ..functions.titles import (
 )
 from ..functions.urls import normalize_profile
 from .changes import with_company
-from .latest import latest_per_key, lists_up_to, top_n
+from .latest import latest_per_key
 from .tables import first_per_key, new_rows, update_by_key
 
-PROFILE = r"(?i)https?://(?:www\.)?linkedin\.com/in/[a-zA-Z0-9_-]+"
-
-
 def extract_mentions(snapshots: DataFrame, companies: DataFrame | None = None, text: str = "content_markdown") -> DataFrame:
     """Leaders named in page texts, once per snapshot, person and title, at the surest priority."""
     found = snapshots.select(
@@ -45,19 +44,19 @@ def filter_leaders(people: DataFrame, most_senior: int | None = None) -> DataFra
     unique = first_per_key(leaders, ["company_id", "profile_url"], ["position"]).withColumn("rank", title_rank("title"))
     if most_senior is not None:
         unique = unique.filter(F.col("rank") <= most_senior)
-    return unique.orderBy("company_id", "rank", "position")
+    return unique
 
 
 def profile_url(text: str | Column) -> Column:
     """The first personal profile URL in a text."""
-    return blank_to_null(F.regexp_extract(col(text), f"({PROFILE})", 1))
+    return blank_to_null(F.regexp_extract(col(text), f"({fixed.PROFILE_LINK})", 1))
 
 
 def parse_profiles(results: DataFrame) -> DataFrame:
     """Search results (title, snippet, url) with ``name``, ``person_title`` and ``profile_url``;
     results without a profile or a name are dropped."""
-    shape = r"(?i)^([^-|]+?)\s*[-|]\s*(.+?)(?:\s*[-|]\s*.+)?(?:\s*\|\s*LinkedIn)?$"
-    own = F.when(F.col("url").rlike("^" + PROFILE), F.regexp_replace(F.substring_index("url", "?", 1), "/+$", ""))
+    shape = fixed.RESULT_TITLE
+    own = F.when(F.col("url").rlike("^" + fixed.PROFILE_LINK), F.regexp_replace(F.substring_index("url", "?", 1), "/+$", ""))
     part = lambda a, i: F.coalesce(strip(F.get(a, F.lit(i))), F.lit(""))
 
     def person(r: Column) -> Column:
@@ -80,9 +79,9 @@ def parse_profiles(results: DataFrame) -> DataFrame:
 
 def parse_cards(cards: DataFrame, html: str = "card_html") -> DataFrame:
     """People cards (HTML fragments) with ``name``, ``person_title`` and ``profile_url``."""
-    path = F.regexp_extract(html, r'(?i)href="(/in/[a-zA-Z0-9_-]+)"', 1)
-    name = strip(F.regexp_extract(html, r'(?i)(?:profile-title|profile-name|card__title)["\s>]*([^<]+)', 1))
-    title = strip(F.regexp_extract(html, r'(?i)(?:subtitle|card__subtitle|profile-role)["\s>]*([^<]+)', 1))
+    path = F.regexp_extract(html, fixed.CARD_LINK, 1)
+    name = strip(F.regexp_extract(html, fixed.CARD_NAME, 1))
+    title = strip(F.regexp_extract(html, fixed.CARD_TITLE, 1))
     parsed = cards.withColumn("name", name).withColumn("person_title", title).withColumn("__path", path)
     return parsed.filter("name <> '' and __path <> ''").withColumn(
         "profile_url", F.concat(F.lit("https://www.linkedin.com"), "__path")).drop("__path")
@@ -111,8 +110,14 @@ def roster_events(previous: DataFrame, current: DataFrame, as_of, confidence: fl
         F.lit(method).alias("discovery_method"))
 
 
-def roster_change_summary(changes: DataFrame, listed: int = 1000) -> DataFrame:
-    """Per company the verdict on its roster changes; ``evidence`` for up to ``listed`` changes."""
+def roster_change_evidence(changes: DataFrame) -> DataFrame:
+    """The evidence behind ``roster_change_summary``, a row for each change."""
+    line = F.concat("person_name", F.lit(" ("), "title", F.lit(") - "), "change_type")
+    return changes.select("company_id", line.alias("evidence"))
+
+
+def roster_change_summary(changes: DataFrame) -> DataFrame:
+    """Per company the verdict on its roster changes."""
     kind = F.col("change_type")
     counted = changes.groupBy("company_id").agg(
         F.count_if(F.col("severity") == "critical").alias("critical"),
@@ -120,20 +125,18 @@ def roster_change_summary(changes: DataFrame, listed: int = 1000) -> DataFrame:
         F.max(kind.endswith("_departure")).alias("departures"), F.max(kind.startswith("new_")).alias("arrivals"),
         F.array_sort(F.collect_set("change_type")).alias("matched_keywords"),
         F.array_sort(F.collect_set("severity")).alias("matched_categories"))
-    line = F.concat("person_name", F.lit(" ("), "title", F.lit(") - "), "change_type")
-    evidence = lists_up_to(changes, ["company_id"], line, listed, "evidence")
     any_ = (F.col("critical") + F.col("notable")) > 0
     mood = (
         F.when(~any_, "neutral").when(F.col("departures") & F.col("arrivals"), "mixed")
         .when(F.col("departures"), "negative").when(F.col("arrivals"), "positive").otherwise("neutral"))
     note = lambda c, word: F.concat(F.col(c).cast("string"), F.lit(f" {word} leadership change(s) detected"))
-    return counted.join(evidence, "company_id", "left").select(
+    return counted.select(
         "company_id", F.when(any_, "significant").otherwise("insignificant").alias("classification"),
         mood.alias("sentiment"),
         F.when(F.col("critical") > 0, 0.95).when(F.col("notable") > 0, 0.80).otherwise(0.75).alias("confidence"),
         "matched_keywords", "matched_categories",
         F.when(F.col("critical") > 0, note("critical", "critical")).when(F.col("notable") > 0, note("notable", "notable"))
-        .otherwise("No significant leadership changes").alias("notes"), "evidence")
+        .otherwise("No significant leadership changes").alias("notes"))
 
 
 def apply_departures(leaders: DataFrame, changes: DataFrame, current: DataFrame, as_of) -> DataFrame:
@@ -208,52 +211,59 @@ def employment_status(profiles: DataFrame, companies: DataFrame) -> DataFrame:
                         evidence.alias("evidence"), title.alias("current_title"), employer.alias("current_employer"))
 
     empty = F.lit("")
-    from_verdict = lambda text: F.concat(F.lit(text), company, F.lit(". "), F.coalesce(v["evidence"], empty))
+    about = lambda text, *values: F.format_string(re.sub(r"\{\d\}", "%s", text), *values)
+    from_verdict = lambda text: F.concat(about(text, company), F.coalesce(v["evidence"], empty))
     v_title, v_employer = F.coalesce(v["current_title"], empty), F.coalesce(v["current_employer"], empty)
     result = (
         F.when(told & F.coalesce(v["never_employed"], F.lit(False)),
-               outcome("wrong_person", 0.85, from_verdict("Never employed at "), v_title, v_employer))
+               outcome("wrong_person", 0.85, from_verdict(fixed.EVIDENCE_NEVER), v_title, v_employer))
         .when(told & F.coalesce(v["is_employed"], F.lit(False)),
-              outcome("employed", 0.90, from_verdict("Currently employed at "), v_title, v_employer))
-        .when(told, outcome("departed", 0.85, from_verdict("No longer employed at "), v_title, v_employer))
-        .when(nothing, outcome("unknown", 0.0, F.lit("No data available from either DOM or Vision extraction"), empty, empty))
-        .when(in_headline, outcome("employed", 0.75, F.concat(F.lit("Company name found in headline: "), headline), headline, company))
+              outcome("employed", 0.90, from_verdict(fixed.EVIDENCE_NOW), v_title, v_employer))
+        .when(told, outcome("departed", 0.85, from_verdict(fixed.EVIDENCE_NO_LONGER), v_title, v_employer))
+        .when(nothing, outcome("unknown", 0.0, F.lit(fixed.EVIDENCE_NO_DATA), empty, empty))
+        .when(in_headline, outcome("employed", 0.75, F.concat(F.lit(fixed.EVIDENCE_HEADLINE), headline), headline, company))
         .when(now.isNotNull(), outcome(
-            "employed", 0.80, F.concat(F.lit("Current role at "), now["company"], F.lit(": "), now["title"],
+            "employed", 0.80, F.concat(F.lit(fixed.EVIDENCE_ROLE), now["company"], F.lit(": "), now["title"],
                                        F.lit(" ("), now["dates"], F.lit(")")), now["title"], now["company"]))
         .when(F.col("__here") > 0, outcome(
-            "departed", 0.70, F.lit("Company found in past experience but not as current role"), empty, empty))
+            "departed", 0.70, F.lit(fixed.EVIDENCE_PAST), empty, empty))
         .when(F.col("__jobs") > 0, outcome(
-            "wrong_person", 0.60, F.concat(F.lit("Company '"), company, F.lit("' not found in any of "),
-                                           F.col("__jobs").cast("string"), F.lit(" experience entries")), empty, empty))
-        .otherwise(outcome("unknown", 0.3, F.lit("Insufficient experience data to determine employment status"), empty, empty))
+            "wrong_person", 0.60, about(fixed.EVIDENCE_ABSENT, company, F.col("__jobs").cast("string")), empty, empty))
+        .otherwise(outcome("unknown", 0.3, F.lit(fixed.EVIDENCE_THIN), empty, empty))
     )
     return with_data.withColumn("__r", result).select(*profiles.columns, "__r.*")
 
 
-def _substrings(name: Column) -> Column:
-    """Every part of a name that begins and ends in a non-blank."""
+def _substrings(name: Column, lengths: Column) -> Column:
+    """Every part of a name that has one of ``lengths`` and begins and ends in a non-blank."""
     starts = F.sequence(F.lit(1), F.length(name))
     parts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(name) - i + 1), lambda n: F.substring(name, i, n))))
+        F.filter(lengths, lambda n: n <= F.length(name) - i + 1), lambda n: F.substring(name, i, n))))
     return F.when(F.length(name) > 0, F.array_distinct(F.filter(parts, lambda p: p == F.trim(p))))
 
 
+def _key_lengths(people: DataFrame) -> Column:
+    """The lengths that the names of a roster have: one small list."""
+    return people.agg(F.collect_set(F.length("__key")).alias("lengths")).scalar()
+
+
 def merge_people(primary: DataFrame, secondary: DataFrame) -> DataFrame:
     """Two extractions of one roster (company_id, position, name, title, profile_url) as one.
 
     The primary keeps its URLs; the first secondary person whose name equals, contains or
     is part of it fills an empty title and a shorter name. Secondary people not seen by
-    URL or name are added. Containment is an equality join on all parts of a name, each
-    part held by its first person only.
+    URL or name are added. Containment is an equality join on the parts of a name that are as
+    long as some name of the other side, each part held by its first person only.
     """
     key = F.lower(F.array_join(F.split(strip(F.coalesce("name", F.lit(""))), r"(?U)\s+"), " "))
     a = primary.withColumn("__key", key)
     b = secondary.withColumn("__key", key)
     first_b = b.filter("__key <> ''").groupBy("company_id", "__key").agg(F.min("position").alias("__b"))
-    part_of_a = a.select("company_id", "position", F.explode(_substrings(F.col("__key"))).alias("__key"))
+    part_of_a = a.withColumn("__lengths", _key_lengths(b)).select(
+        "company_id", "position", F.explode(_substrings(F.col("__key"), F.col("__lengths"))).alias("__key"))
     contained = part_of_a.join(first_b, ["company_id", "__key"]).select("company_id", "position", "__b")
-    parts_of_b = b.select("company_id", F.col("position").alias("__p"), F.explode(_substrings(F.col("__key"))).alias("__key"))
+    parts_of_b = b.withColumn("__lengths", _key_lengths(a)).select(
+        "company_id", F.col("position").alias("__p"), F.explode(_substrings(F.col("__key"), F.col("__lengths"))).alias("__key"))
     first_part = parts_of_b.groupBy("company_id", "__key").agg(F.min("__p").alias("__b"))
     containing = a.filter("__key <> ''").select("company_id", "position", "__key").join(
         first_part, ["company_id", "__key"]).select("company_id", "position", "__b")
@@ -329,57 +339,38 @@ def leadership_overview(leaders: DataFrame, companies: DataFrame, profile_snapsh
     ).select(F.col("linkedin_url").alias("linkedin_profile_url"), "company_id",
              F.col("captured_at").alias("last_snapshot_at"), F.col("vision_data_json").alias("latest_vision_data"))
     named = with_company(people, companies).drop("company_homepage")
-    return named.join(newest, ["linkedin_profile_url", "company_id"], "left").orderBy("company_name", "title", "id")
+    return named.join(newest, ["linkedin_profile_url", "company_id"], "left")
 
 
-def leadership_changes(changes: DataFrame, companies: DataFrame, as_of, days: int = 90, severity: str | None = None, company_id: int | None = None, limit: int | None = None) -> DataFrame:
+def leadership_changes(changes: DataFrame, companies: DataFrame, as_of, days: int = 90, severity: str | None = None, company_id: int | None = None) -> DataFrame:
     """The change log with companies, newest first."""
     hits = changes.filter(on_or_after("detected_at", as_of, days))
     if severity:
         hits = hits.filter(F.col("severity") == severity)
     if company_id is not None:
         hits = hits.filter(F.col("company_id") == company_id)
-    named = with_company(hits, companies)
-    order = [F.col("detected_at").desc(), F.col("company_id"), F.col("linkedin_profile_url")]
-    return named.orderBy(*order) if limit is None else top_n(named, order, limit)
+    return with_company(hits, companies)
 
 
-def leadership_departures(changes: DataFrame, companies: DataFrame, as_of, days: int = 90, limit: int | None = 50) -> DataFrame:
+def leadership_departures(changes: DataFrame, companies: DataFrame, as_of, days: int = 90) -> DataFrame:
     """Recent critical leadership changes."""
-    return leadership_changes(changes, companies, as_of, days, "critical", None, limit)
+    return leadership_changes(changes, companies, as_of, days, "critical")
 
 
-def leadership_digest(leaders: DataFrame, checks: DataFrame, shown: int = 5, checked: int = 10) -> DataFrame:
-    """Per company a text of up to ``shown`` current leaders and its newest verification rows.
+def leadership_digest(leaders: DataFrame, checks: DataFrame) -> DataFrame:
+    """Current leaders and verification rows for a reviewer: ``company_id, section, id, changed, line``.
 
     ``checks``: company_id, id, captured_at, person_name, title, status, confidence, evidence,
-    change_detected; the newest ``checked`` per company count.
+    change_detected. Every current leader and every check is a row; ``changed`` is NULL for leaders.
     """
-    current = leaders.filter("is_current")
-    totals = current.groupBy("company_id").agg(F.count("*").alias("n"))
-    top = latest_per_key(
-        current, ["company_id"], [F.col("title").asc(), F.col("id").asc()], n=shown, rank="place")
-    line = F.concat(
-        F.lit("  - "), F.coalesce("person_name", F.lit("Unknown")), F.lit(" ("), F.coalesce("title", F.lit("")),
-        F.lit(") [verified: "), F.coalesce(F.col("last_verified_at").cast("string"), F.lit("never")),
+    person = F.concat(F.coalesce("person_name", F.lit("Unknown")), F.lit(" ("), F.coalesce("title", F.lit("")), F.lit(")"))
+    known = F.concat(
+        person, F.lit(" [verified: "), F.coalesce(F.col("last_verified_at").cast("string"), F.lit("never")),
         F.lit(", method: "), F.coalesce("discovery_method", F.lit("unknown")), F.lit("]"))
-    people = top.groupBy("company_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("people"))
-    recent = latest_per_key(checks, ["company_id"], ["captured_at", "id"], n=checked, rank="place")
     verdict = F.concat(
-        F.lit("  - "), F.coalesce("person_name", F.lit("Unknown")), F.lit(" ("), F.coalesce("title", F.lit("")),
-        F.lit("): "), F.coalesce("status", F.lit("unknown")), F.lit(" [confidence: "),
+        person, F.lit(": "), F.coalesce("status", F.lit("unknown")), F.lit(" [confidence: "),
         F.format_number(F.coalesce("confidence", F.lit(0.0)), 2), F.lit("] "), F.coalesce("evidence", F.lit("")))
-    found = recent.groupBy("company_id").agg(
-        F.count("*").alias("checks"),
-        F.array_sort(F.collect_list(F.when(F.col("change_detected"), F.struct("place", verdict.alias("line"))))).alias("changes"))
-    lines = lambda c: F.transform(c, lambda x: x["line"])
-    changed = F.size("changes")
-    tail = (
-        F.when(F.col("checks").isNull(), F.array().cast("array<string>"))
-        .when(changed > 0, F.concat(F.array(F.concat(
-            F.lit("\nLinkedIn employment verification ("), changed.cast("string"), F.lit(" change(s)):"))), lines("changes")))
-        .otherwise(F.array(F.concat(F.lit("\nLinkedIn employment verification: All "), F.col("checks").cast("string"),
-                                    F.lit(" leaders confirmed current.")))))
-    head = F.array(F.concat(F.lit("Known leadership ("), F.col("n").cast("string"), F.lit(" current):")))
-    return totals.join(people, "company_id").join(found, "company_id", "left").select(
-        "company_id", F.array_join(F.concat(head, lines("people"), tail), "\n").alias("digest"))
+    shape = lambda df, section, changed, line: df.select(
+        "company_id", F.lit(section).alias("section"), "id", changed.alias("changed"), line.alias("line"))
+    return shape(leaders.filter("is_current"), "leader", F.lit(None).cast("boolean"), known).unionByName(
+        shape(checks, "check", F.coalesce("change_detected", F.lit(False)), verdict))

@@ -8,21 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.common import strip
 from .status import posting_activity
 
-SECTIONS_PER_PART = 50
 
+def social_digest(social_snapshots: DataFrame, as_of) -> DataFrame:
+    """A row for each source of a company: ``company_id, source_type, source_url, id, last_post, state, content``.
 
-def social_digest(social_snapshots: DataFrame, as_of, budget: int = 2000, per_part: int = SECTIONS_PER_PART) -> DataFrame:
-    """Per company a text with every source's state and an excerpt: ``company_id, part, parts, digest``.
-
-    Excerpts share ``budget`` characters, less 150 per source. A company with more than
-    ``per_part`` sources gets several parts, each with its own sources, so that no task
-    gathers an unbounded number of them.
+    ``content`` is the whole page text without blanks around it.
     """
     active = posting_activity(social_snapshots, as_of)
-    totals = active.groupBy("company_id").agg(F.count("*").alias("sources"))
-    joined = active.join(totals, "company_id")
-    parts = F.ceil(F.col("sources") / per_part).cast("int")
-    room = F.floor(F.greatest(F.lit(0), budget - 150 * F.col("sources")) / F.col("sources")).cast("int")
     days, quiet = F.col("days_since_post"), F.col("is_inactive")
     age = F.concat(days.cast("string"), F.lit(" days"))
     state = (
@@ -31,19 +23,6 @@ def social_digest(social_snapshots: DataFrame, as_of, budget: int = 2000, per_pa
     )
     date = F.coalesce(F.col("latest_post_date").cast("string"), F.lit("None detected"))
     date = F.when(~quiet & days.isNotNull(), F.concat(date, F.lit(" ("), age, F.lit(" ago)"))).otherwise(date)
-    text = F.coalesce("content_markdown", F.lit(""))
-    excerpt = F.concat(strip(F.substring(text, F.lit(1), F.col("__room"))),
-                       F.when(F.length(text) > F.col("__room"), "...").otherwise(""))
-    sections = joined.withColumn("__room", room).select(
-        "company_id", parts.alias("parts"),
-        F.pmod(F.xxhash64("source_url", "id"), parts).cast("int").alias("part"),
-        F.struct(
-            "source_type", "source_url", "id",
-            F.concat(F.lit("Source: "), "source_url", F.lit(" ("), "source_type", F.lit(")\nLast post: "), date,
-                     F.lit("\nStatus: "), state, F.lit("\nContent excerpt: "), excerpt).alias("body"),
-        ).alias("section"))
-    return sections.groupBy("company_id", "parts", "part").agg(
-        F.array_sort(F.collect_list("section")).alias("s")).select(
-        "company_id", "part", "parts",
-        F.concat(F.lit("--- Social Media Activity ---\n\n"),
-                 F.array_join(F.transform("s", lambda x: x["body"]), "\n\n"), F.lit("\n\n---")).alias("digest"))
+    return active.select(
+        "company_id", "source_type", "source_url", "id", date.alias("last_post"), state.alias("state"),
+        strip(F.coalesce("content_markdown", F.lit(""))).alias("content"))

@@ -11,7 +11,7 @@ from .. import fixed
 from ..functions.common import blank_to_null, has_text, moment, on_or_after, strip, text_array
 from ..functions.dates import days_since, is_inactive, latest_post_date
 from ..functions.text import acquisition_mention, copyright_year
-from .latest import current_status, latest_per_key, latest_with_ties, lists_up_to, top_n
+from .latest import current_status, latest_per_key, latest_with_ties
 from .tables import append_log
 
 LOOKBACK_DAYS = 90
@@ -98,7 +98,7 @@ def _age(column: str, as_of) -> Column:
 
 
 def _headline() -> Column:
-    return F.substring(F.coalesce("title", F.lit("")), 1, 120)
+    return F.coalesce("title", F.lit(""))
 
 
 def _outlet() -> Column:
@@ -129,25 +129,26 @@ def leadership_indicators(changes: DataFrame, as_of) -> DataFrame:
 
 
 def capture_history(snapshots: DataFrame) -> DataFrame:
-    """One row per company from its last 50 captures, without their texts: the newest one's id,
-    failures among the last five, and the sentiment at both ends."""
+    """One row per company from its captures, without their texts: the newest one's id, failures
+    among the last five, and the sentiment at both ends of the whole history."""
     mood = strip("baseline_sentiment") if "baseline_sentiment" in snapshots.columns else F.lit(None).cast("string")
     slim = snapshots.select("company_id", "id", "captured_at", "error_message", mood.alias("mood"))
-    last = latest_per_key(slim, ["company_id"], ["captured_at", "id"], n=50, rank="place")
-    place, five = F.col("place"), F.col("place") <= 5
-    failed = five & has_text("error_message")
-    # Moods as structs, so that a missing one is not skipped.
-    return last.groupBy("company_id").agg(
-        F.min_by("id", "place").alias("newest_id"), F.count_if(five).alias("n"), F.count_if(failed).alias("bad"),
-        F.min_by("error_message", F.when(failed, place)).alias("error"),
-        F.max(F.struct("place", "mood")).alias("oldest"), F.min(F.struct("place", "mood")).alias("newest"))
+    last = latest_per_key(slim, ["company_id"], ["captured_at", "id"], n=5, rank="place")
+    failed = has_text("error_message")
+    recent = last.groupBy("company_id").agg(
+        F.min_by("id", "place").alias("newest_id"), F.count("*").alias("n"), F.count_if(failed).alias("bad"),
+        F.min_by("error_message", F.when(failed, F.col("place"))).alias("error"))
+    # Moods in structs, so that a missing one is not skipped.
+    end = F.struct("captured_at", "id", "mood")
+    ends = slim.groupBy("company_id").agg(F.count("*").alias("captures"), F.min(end).alias("oldest"), F.max(end).alias("newest"))
+    return recent.join(ends, "company_id")
 
 
 def history_indicators(history: DataFrame) -> DataFrame:
     """At least three failed captures among the last five; sentiment turned from positive to negative."""
     value = F.concat(F.col("bad").cast("string"), F.lit("/"), F.col("n").cast("string"),
-                     F.lit(" recent snapshots failed: "), F.substring("error", 1, 120))
-    turned = ((F.col("oldest.place") >= 2) & (F.col("oldest.mood") == "positive") & (F.col("newest.mood") == "negative"))
+                     F.lit(" recent snapshots failed: "), F.col("error"))
+    turned = ((F.col("captures") >= 2) & (F.col("oldest.mood") == "positive") & (F.col("newest.mood") == "negative"))
 
     def entry(hit: Column, origin: int, kind: str, text: Column, signal: str) -> Column:
         return F.when(hit, F.struct(F.lit(origin).alias("origin"), F.lit("0").alias("place"), F.lit(kind).alias("type"),
@@ -165,7 +166,7 @@ def error_pattern(snapshots: DataFrame) -> DataFrame:
 
 
 def baseline_drift(snapshots: DataFrame) -> DataFrame:
-    """Companies whose baseline sentiment turned from positive to negative within 50 captures."""
+    """Companies whose baseline sentiment turned from positive to negative since their first capture."""
     return history_indicators(capture_history(snapshots)).filter("type = 'baseline_drift'")
 
 
@@ -218,14 +219,11 @@ def analyze_status(
     social_snapshots: DataFrame | None = None,
     news: DataFrame | None = None,
     leadership_changes: DataFrame | None = None,
-    listed: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
     """New status rows, and all indicator rows behind them.
 
-    Companies set by hand, and those whose newest snapshot has no text, are left out.
-    ``indicators`` on a status row lists its signals for companies with at most ``listed``
-    of them; a longer list stays in the indicator table (``indicators`` is NULL), so that no
-    company's signals are ever gathered without bound.
+    Companies set by hand, and those whose newest snapshot has no text, are left out. A status
+    row counts its signals; the signals themselves are rows of the second table.
     """
     latest = current_status(statuses.select("id", "company_id", "status", "is_manual_override")).select(
         "company_id", "status", F.coalesce("is_manual_override", F.lit(False)).alias("manual"))
@@ -264,16 +262,10 @@ def analyze_status(
         decided = decided.withColumn("reason", F.lit(None).cast("string"))
     forced = F.col("reason").isNotNull()
 
-    entry = F.struct("origin", "place", "type", "value", "signal")
-    lists = lists_up_to(signals, ["company_id"], entry, listed, "l").select(
-        "company_id", F.transform("l", lambda x: F.struct(
-            x["type"].alias("type"), x["value"].alias("value"), x["signal"].alias("signal"))).alias("indicators"))
-    none = F.expr("cast(array() as array<struct<type:string,value:string,signal:string>>)")
-    rows = decided.join(lists, "company_id", "left").select(
+    rows = decided.select(
         "company_id",
         F.when(forced, "likely_closed").otherwise(F.col("status")).alias("status"),
         F.when(forced, fixed.VETO_CONFIDENCE).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(F.col("positive") + F.col("negative") + F.col("neutral") == 0, none).otherwise(F.col("indicators")).alias("indicators"),
         moment(as_of).alias("last_checked"), "http_last_modified",
         F.col("reason").alias("status_reason"), F.lit(False).alias("is_manual_override"),
         F.col("positive").alias("positive_count"), F.col("negative").alias("negative_count"),
@@ -303,7 +295,7 @@ def clear_override(statuses: DataFrame, company_ids: DataFrame, as_of, performed
     return append_log(statuses, rows, performed_by)
 
 
-def status_news_contradictions(companies: DataFrame, statuses: DataFrame, news: DataFrame, as_of, days: int = 30, limit: int | None = 50) -> DataFrame:
+def status_news_contradictions(companies: DataFrame, statuses: DataFrame, news: DataFrame, as_of, days: int = 30) -> DataFrame:
     """Companies that count as operational despite recent significant negative news."""
     running = current_status(statuses).filter("status = 'operational'").select(
         "company_id", "status", F.col("confidence").alias("status_confidence"),
@@ -318,9 +310,7 @@ def status_news_contradictions(companies: DataFrame, statuses: DataFrame, news:
         F.col("significance_confidence").alias("news_confidence"), F.col("matched_categories").alias("news_categories"))
     names = companies.select(
         F.col("id").alias("company_id"), F.col("name").alias("company_name"), "homepage_url")
-    hits = bad.join(running, "company_id").join(names, "company_id")
-    order = [F.col("news_published_at").desc(), F.col("news_id").desc()]
-    return hits.orderBy(*order) if limit is None else top_n(hits, order, limit)
+    return bad.join(running, "company_id").join(names, "company_id")
 
 
 def health_grid(companies: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import moment
+from ..session import cut_lineage
 
 # Unique keys of the tables that skip known rows on insert.
 NATURAL_KEYS = {
@@ -41,9 +42,31 @@ def new_rows(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order:
     return first_per_key(fresh, keys, order)
 
 
+def with_ids(target: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with ids of their own above all ids of ``target``, without gaps.
+
+    The rows are written to the shared folder first, so that their partitions, and with them the
+    ids, stay the same however often they are read. A row's id counts the rows of the partitions
+    before its own (one number for each partition is added up) and its place in it.
+    """
+    kept = cut_lineage(rows.drop("id")).withColumn("__row", F.monotonically_increasing_id())
+    part, place = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
+    placed = kept.withColumn("__part", part).withColumn("__place", place)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("__part").agg(F.count("*").alias("__n")).select(
+        "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    top = target.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("top")).first()["top"]
+    kind = target.schema["id"].dataType
+    return placed.join(offsets, "__part").select(
+        (F.lit(top) + F.col("__before") + F.col("__place") + 1).cast(kind).alias("id"), *[c for c in rows.columns if c != "id"])
+
+
 def insert_ignore(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """``target`` plus the new rows."""
-    return target.unionByName(new_rows(target, incoming, keys, order), allowMissingColumns=True)
+    """``target`` plus the new rows; rows that come without an id get one."""
+    fresh = new_rows(target, incoming, keys, order)
+    if "id" in target.columns and "id" not in fresh.columns:
+        fresh = with_ids(target, fresh)
+    return target.unionByName(fresh, allowMissingColumns=True)
 
 
 def append_new(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str | Column], path: str) -> None:
@@ -72,7 +95,12 @@ def upsert_companies(target: DataFrame, incoming: DataFrame, as_of, order: Seque
 
 
 def append_log(target: DataFrame, rows: DataFrame, performed_by: str) -> DataFrame:
-    """``target`` plus stamped rows (statuses, leadership changes and errors are only appended)."""
+    """``target`` plus stamped rows (statuses, leadership changes and errors are only appended).
+
+    "Latest" is by id in these tables, so every appended row gets an id above those there are.
+    """
+    if "id" in target.columns:
+        rows = with_ids(target, rows)
     return target.unionByName(rows.withColumn("performed_by", F.lit(performed_by)), allowMissingColumns=True)
 
 

@@ -39,14 +39,14 @@ def activity_feed(changes: DataFrame, news: DataFrame, leaders: DataFrame, compa
     return events.join(names, "company_id")
 
 
-def feed_page(feed: DataFrame, limit: int = 30, offset: int = 0) -> DataFrame:
-    """The newest events of a feed."""
+def feed_page(feed: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One page of a feed, newest events first."""
     order = [F.col("event_date").desc(), F.col("event_type"), F.col("event_id").desc()]
     return feed.orderBy(*order).offset(offset).limit(limit)
 
 
 def change_timeline(changes: DataFrame, social_changes: DataFrame, company_id: int | None = None) -> DataFrame:
-    """Homepage and social changes in one list, newest first, tagged with their source."""
+    """Homepage and social changes in one list, tagged with their source."""
     shape = ["company_id", "id", "detected_at", "has_changed", "change_magnitude",
              "significance_classification", "significance_sentiment"]
     home = changes.select(F.lit("HOMEPAGE").alias("source"), *shape)
@@ -54,12 +54,12 @@ def change_timeline(changes: DataFrame, social_changes: DataFrame, company_id: i
     both = home.unionByName(social)
     if company_id is not None:
         both = both.filter(F.col("company_id") == company_id)
-    return both.orderBy(F.col("detected_at").desc(), "source", F.col("id").desc())
+    return both
 
 
-def related_news(news: DataFrame, company_id: int, limit: int = 10) -> DataFrame:
-    own = news.filter(F.col("company_id") == company_id)
-    return own.orderBy(F.col("published_at").desc(), F.col("id").desc()).limit(limit)
+def related_news(news: DataFrame, company_id: int) -> DataFrame:
+    """All articles of a company; ``top_n`` shows the newest."""
+    return news.filter(F.col("company_id") == company_id)
 
 
 def merge_links(existing: DataFrame, new: DataFrame, key: str = "profile_url", owner: tuple[str, ...] = ("company_id",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
@@ -15,20 +15,23 @@ from ..operators.news import ingest_news
 from ..operators.status import analyze_status
 from ..operators.tables import NATURAL_KEYS, append_log, new_rows
 from ..session import cut_lineage
-from ..sources.feeds import prepare_articles, prepare_snapshots
+from ..sources.feeds import match_documents, prepare_articles, prepare_snapshots
 
 Tables = Mapping[str, DataFrame]
 Stage = Callable[[Tables], DataFrame]
 
 
-def stages(as_of, method: str = "ratio") -> dict[str, tuple[str, Stage]]:
+def stages(as_of) -> dict[str, tuple[str, Stage]]:
     """Stage name: the table it adds to, and what it adds."""
 
     def captures(t: Tables) -> DataFrame:
-        return prepare_snapshots(t["scrapes"], as_of)
+        scrapes = t["scrapes"]
+        if "company_id" not in scrapes.columns:
+            scrapes = match_documents(scrapes, t["companies"])[0].drop("matched_url")
+        return prepare_snapshots(scrapes, as_of)
 
     def changes(t: Tables) -> DataFrame:
-        records = change_records(t["snapshots"], as_of, skippable(t["company_statuses"]), method=method)
+        records = change_records(t["snapshots"], as_of, skippable(t["company_statuses"]))
         return new_rows(t["change_records"], records, NATURAL_KEYS["change_records"], ["detected_at"])
 
     def news(t: Tables) -> DataFrame:
@@ -45,25 +48,27 @@ def stages(as_of, method: str = "ratio") -> dict[str, tuple[str, Stage]]:
     }
 
 
-def full_scan(tables: Tables, as_of, performed_by: str = "scan", method: str = "ratio") -> tuple[dict[str, DataFrame], DataFrame]:
+def full_scan(tables: Tables, as_of, performed_by: str = "scan", without: Collection[str] = ()) -> tuple[dict[str, DataFrame], DataFrame]:
     """Run the stages in order. Returns the grown tables and ``stage, outcome, rows, error``.
 
     Each stage's result is written to the shared checkpoint folder before the next begins,
     so later stages read it instead of computing it again. A stage that fails leaves its
-    table as it was; a stage without input is skipped.
+    table as it was; a stage without input, or named in ``without``, is skipped. Scrapes without
+    ``company_id`` are matched to companies by URL. Added rows get ids above those of their table,
+    so that they are the latest ones.
     """
     state = dict(tables)
     summary: list[tuple[str, str, int, str]] = []
     needs = {"captures": "scrapes", "news": "search_hits"}
-    for name, (table, stage) in stages(as_of, method).items():
-        if needs.get(name, table) not in state:
+    for name, (table, stage) in stages(as_of).items():
+        if name in without or needs.get(name, table) not in state:
             summary.append((name, "skip", 0, ""))
             continue
         try:
             added = cut_lineage(stage(state))
             rows = added.count()
         except (PySparkException, Py4JJavaError) as error:
-            summary.append((name, "failure", 0, str(error)[:500]))
+            summary.append((name, "failure", 0, str(error)))
             continue
         state[table] = append_log(state[table], added, performed_by)
         summary.append((name, "success", rows, ""))

@@ -107,9 +107,9 @@ def social_changes(b):
 SUMMARY_SQL = """SELECT section, count(*) AS records FROM (
     SELECT 'company' AS section FROM companies
     UNION ALL SELECT 'status' FROM (SELECT DISTINCT company_id FROM company_statuses)
-    UNION ALL SELECT 'changes' FROM (SELECT 1 FROM change_records QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY detected_at DESC, id DESC) <= 20)
+    UNION ALL SELECT 'changes' FROM (SELECT 1 FROM change_records)
     UNION ALL SELECT 'social_links' FROM social_media_links
-    UNION ALL SELECT 'news' FROM (SELECT 1 FROM news_articles QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY published_at DESC, id DESC) <= 20)
+    UNION ALL SELECT 'news' FROM (SELECT 1 FROM news_articles)
     UNION ALL SELECT 'leadership' FROM company_leadership
     UNION ALL SELECT 'latest_snapshot' FROM (SELECT DISTINCT company_id FROM snapshots)
     UNION ALL SELECT 'snapshot_count' FROM (SELECT DISTINCT company_id FROM snapshots)) GROUP BY section"""
@@ -150,15 +150,16 @@ CASES = {
             "dates AS (SELECT DISTINCT CAST(captured_at AS DATE) AS d FROM snapshots ORDER BY d DESC LIMIT 2)")),
     "alerts_summary": Case(
         lambda b: A.alerts_summary(b["change_records"], b["companies"], CAPTURES_AS_OF).select(
-            "negative_significant_count", "uncertain_count",
+            "negative_significant_count", "uncertain_count", "flagged_count",
             joined(F.transform("flagged_companies", lambda x: x["name"]), "flagged"), "total_alerts"),
-        with_tables("change_records companies", """SELECT neg AS negative_significant_count, unc AS uncertain_count, flagged,
-            neg + unc + n AS total_alerts FROM (SELECT
+        with_tables("change_records companies", """SELECT neg AS negative_significant_count, unc AS uncertain_count, flagged_count, flagged,
+            neg + unc + flagged_count AS total_alerts FROM (SELECT
               count(*) FILTER (significance_classification = 'significant' AND significance_sentiment = 'negative') AS neg,
               count(*) FILTER (significance_classification = 'uncertain') AS unc
               FROM change_records WHERE CAST(detected_at AS DATE) >= DATE '2024-01-31' - 30),
-            (SELECT string_agg(name, '|' ORDER BY name, id) AS flagged, count(*) AS n FROM
-              (SELECT name, id FROM companies WHERE flagged_for_review ORDER BY name, id LIMIT 5))""")),
+            (SELECT string_agg(name, '|' ORDER BY name, id) AS flagged FROM
+              (SELECT name, id FROM companies WHERE flagged_for_review ORDER BY name, id LIMIT 5)),
+            (SELECT count(*) AS flagged_count FROM companies WHERE flagged_for_review)""")),
     "weekly_trend": Case(
         lambda b: A.weekly_trend(b["change_records"], b["news_articles"], b["company_leadership"], NEWS_AS_OF).withColumn(
             "week_start", day("week_start", "week_start")),
@@ -219,18 +220,17 @@ CASES = {
         with_tables("social_media_links", """SELECT 'platform' AS breakdown, platform AS value, count(*) AS n FROM social_media_links GROUP BY platform
             UNION ALL SELECT 'html_location', coalesce(html_location, 'unknown'), count(*) FROM social_media_links GROUP BY 2""")),
     "run_summary": Case(
-        lambda b: A.run_summary(outcomes(b)).withColumn("errors", joined("errors", "errors")),
+        lambda b: A.run_summary(outcomes(b)),
         with_tables("change_records", """SELECT count(*) AS processed, count(*) FILTER (outcome = 'success') AS successful,
-            count(*) FILTER (outcome = 'failure') AS failed, count(*) FILTER (outcome = 'skip') AS skipped,
-            (SELECT string_agg(error, '|' ORDER BY error) FROM (SELECT error FROM outcomes WHERE outcome = 'failure' ORDER BY error LIMIT 10)) AS errors
-            FROM outcomes""", OUTCOMES_SQL)),
+            count(*) FILTER (outcome = 'failure') AS failed, count(*) FILTER (outcome = 'skip') AS skipped FROM outcomes""", OUTCOMES_SQL)),
+    "run_errors": Case(
+        lambda b: A.run_errors(outcomes(b), ["company_id"]),
+        with_tables("change_records", "SELECT company_id, error FROM outcomes WHERE outcome = 'failure'", OUTCOMES_SQL)),
     "run_summary_by_company": Case(
-        lambda b: A.run_summary(outcomes(b), ["company_id"]).withColumn("errors", joined("errors", "errors")),
+        lambda b: A.run_summary(outcomes(b), ["company_id"]),
         with_tables("change_records", """SELECT o.company_id, count(*) AS processed, count(*) FILTER (outcome = 'success') AS successful,
-            count(*) FILTER (outcome = 'failure') AS failed, count(*) FILTER (outcome = 'skip') AS skipped, coalesce(any_value(e.errors), '') AS errors
-            FROM outcomes o LEFT JOIN (SELECT company_id, string_agg(error, '|' ORDER BY error) AS errors FROM
-              (SELECT company_id, error FROM outcomes WHERE outcome = 'failure' QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY error) <= 10)
-              GROUP BY company_id) e ON e.company_id = o.company_id GROUP BY o.company_id""", OUTCOMES_SQL)),
+            count(*) FILTER (outcome = 'failure') AS failed, count(*) FILTER (outcome = 'skip') AS skipped
+            FROM outcomes o GROUP BY o.company_id""", OUTCOMES_SQL)),
     "merged_run_summary": Case(
         lambda b: A.merge_summaries(A.run_summary(outcomes(b), ["company_id"])),
         with_tables("change_records", """SELECT count(*) AS processed, count(*) FILTER (outcome = 'success') AS successful,
@@ -249,8 +249,7 @@ CASES = {
             UNION ALL SELECT 'BLOG', * FROM change_records)""")),
     "related_news": Case(
         lambda b: G.related_news(b["news_articles"], 7).select("id", stamp("published_at"), "title"),
-        with_tables("news_articles", f"""SELECT id, {time_sql('published_at')}, title FROM (SELECT * FROM news_articles WHERE company_id = 7
-            ORDER BY published_at DESC, id DESC LIMIT 10)""")),
+        with_tables("news_articles", f"""SELECT id, {time_sql('published_at')}, title FROM news_articles WHERE company_id = 7""")),
     "companies_list": Case(
         lambda b: company_list(b), with_tables(LIST_TABLES, f"SELECT {LIST_COLUMNS} FROM lst", LIST_CTES)),
     "companies_list_filtered": Case(
@@ -265,13 +264,11 @@ CASES = {
         with_tables(LIST_TABLES, "SELECT id, news_count FROM lst ORDER BY news_count DESC, id LIMIT 10 OFFSET 10", LIST_CTES)),
     "changes_by_company": Case(
         lambda b: changed_groups(b)[0].select(
-            "company_id", "company_name", "company_status", "company_status_manual", stamp("latest_change"), "change_count",
-            F.array_join(F.array_sort(F.transform("changes", lambda c: c["id"])), ",").alias("change_ids")),
+            "company_id", "company_name", "company_status", "company_status_manual", stamp("latest_change"), "change_count"),
         with_tables("change_records companies company_statuses", f"""SELECT g.company_id, g.company_name,
             coalesce(any_value(s.status), 'unknown') AS company_status, coalesce(any_value(s.is_manual_override), false) AS company_status_manual,
-            strftime(any_value(g.latest_change), '%Y-%m-%d %H:%M:%S') AS latest_change, any_value(g.change_count) AS change_count,
-            string_agg(CAST(h.id AS VARCHAR), ',' ORDER BY h.id) AS change_ids
-            FROM grp g JOIN hits h ON g.company_id = h.company_id LEFT JOIN latest s ON g.company_id = s.company_id
+            strftime(any_value(g.latest_change), '%Y-%m-%d %H:%M:%S') AS latest_change, any_value(g.change_count) AS change_count
+            FROM grp g LEFT JOIN latest s ON g.company_id = s.company_id
             GROUP BY g.company_id, g.company_name""", f"{NEWEST_STATUS}, {GROUPS_SQL}")),
     "changes_by_company_rows": Case(
         lambda b: changed_groups(b)[1].select("company_id", "id", "change_magnitude"),
@@ -286,9 +283,9 @@ CASES = {
         with_tables("companies company_statuses change_records social_media_links news_articles company_leadership snapshots", """
             SELECT 'company' AS section, CAST(id AS VARCHAR) AS key FROM companies WHERE id = 7
             UNION ALL SELECT 'status', CAST(max(id) AS VARCHAR) FROM company_statuses WHERE company_id = 7
-            UNION ALL SELECT 'changes', CAST(id AS VARCHAR) FROM (SELECT id FROM change_records WHERE company_id = 7 ORDER BY detected_at DESC, id DESC LIMIT 20)
+            UNION ALL SELECT 'changes', CAST(id AS VARCHAR) FROM (SELECT id FROM change_records WHERE company_id = 7)
             UNION ALL SELECT 'social_links', CAST(id AS VARCHAR) FROM social_media_links WHERE company_id = 7
-            UNION ALL SELECT 'news', CAST(id AS VARCHAR) FROM (SELECT id FROM news_articles WHERE company_id = 7 ORDER BY published_at DESC, id DESC LIMIT 20)
+            UNION ALL SELECT 'news', CAST(id AS VARCHAR) FROM (SELECT id FROM news_articles WHERE company_id = 7)
             UNION ALL SELECT 'leadership', CAST(id AS VARCHAR) FROM company_leadership WHERE company_id = 7
             UNION ALL SELECT 'latest_snapshot', CAST(id AS VARCHAR) FROM (SELECT id FROM snapshots WHERE company_id = 7 ORDER BY captured_at DESC, id DESC LIMIT 1)
             UNION ALL SELECT 'snapshot_count', CAST(count(*) AS VARCHAR) FROM snapshots WHERE company_id = 7""")),
@@ -304,7 +301,7 @@ CASES = {
               AND n.significance_sentiment = 'negative' AND CAST(n.published_at AS DATE) >= DATE '2001-11-05' - 30
             ORDER BY n.published_at DESC, n.id DESC LIMIT 50)""", NEWEST_STATUS)),
     "status_news_contradictions": Case(
-        lambda b: S.status_news_contradictions(b["companies"], b["company_statuses"], b["news_articles"], NEWS_AS_OF, 300, None).select(
+        lambda b: S.status_news_contradictions(b["companies"], b["company_statuses"], b["news_articles"], NEWS_AS_OF, 300).select(
             "company_id", "company_name", "status_confidence", "news_id", "news_title", stamp("news_published_at")),
         with_tables("companies company_statuses news_articles", f"""SELECT n.company_id, c.name AS company_name, s.confidence AS status_confidence,
             n.id AS news_id, n.title AS news_title, {time_sql('n.published_at', 'news_published_at')} FROM news_articles n
@@ -316,7 +313,7 @@ CASES = {
         with_tables("companies company_statuses", """SELECT c.id AS company_id, c.name, coalesce(s.status, 'unknown') AS status,
             coalesce(s.is_manual_override, false) AS is_manual_override, s.confidence FROM companies c LEFT JOIN latest s ON s.company_id = c.id""", NEWEST_STATUS)),
     "leadership_departures": Case(
-        lambda b: leadership_departures(b["leadership_changes"], b["companies"], CAPTURES_AS_OF, 10, None).select(
+        lambda b: leadership_departures(b["leadership_changes"], b["companies"], CAPTURES_AS_OF, 10).select(
             "id", "company_id", "company_name", "change_type", stamp("detected_at")),
         with_tables("leadership_changes companies", f"""SELECT l.id, l.company_id, c.name AS company_name, change_type, {time_sql('detected_at')}
             FROM leadership_changes l JOIN companies c ON c.id = l.company_id WHERE severity = 'critical'

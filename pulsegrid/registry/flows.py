@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.changes import backfill_significance
 from ..operators.latest import snapshot_pairs
-from ..operators.text_diff import exact_similarity
 from ..plans.full_scan import full_scan
 from ..session import shared_dir
 from ..sources.testbed import CAPTURES_AS_OF
@@ -46,17 +45,16 @@ def fresh_dir(spark, name: str) -> str:
 
 
 def streamed_changes(b):
-    """The captures arriving in three files by time, as change records."""
+    """The captures arriving in three parts by time, as change records."""
     place = fresh_dir(b.spark, "changes")
     captures = b["snapshots"].drop("baseline_classification", "baseline_sentiment", "http_last_modified")
     inbox = f"{place}/inbox"
+    feed = ChangeFeed(b.spark, f"{place}/records", f"{place}/state", lambda: b.spark.read.parquet(inbox), terms=KEPT)
     for part in range(3):
         due = captures.filter(F.floor((F.datediff("captured_at", F.lit("2024-01-01").cast("date"))) / 11) == part)
-        due.coalesce(1).write.mode("append").parquet(inbox)
-    stream = b.spark.readStream.schema(captures.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    feed = ChangeFeed(b.spark, f"{place}/records", f"{place}/state", lambda: b.spark.read.parquet(inbox), method="lines", terms=KEPT)
-    query = feed.start(stream, f"{place}/progress", availableNow=True)
-    query.awaitTermination()
+        due.write.mode("append").parquet(inbox)
+        stream = b.spark.readStream.schema(captures.schema).parquet(inbox)
+        feed.start(stream, f"{place}/progress", availableNow=True).awaitTermination()
     return records(b.spark.read.parquet(f"{place}/records"), "company_id")
 
 
@@ -66,11 +64,9 @@ def streamed_news(b):
     news = b["news_articles"].select("company_id", "content_url", F.col("published_at").alias("discovered_at"))
     inbox = f"{place}/inbox"
     for _ in range(2):
-        news.coalesce(1).write.mode("append").parquet(inbox)
-    stream = b.spark.readStream.schema(news.schema).parquet(inbox).withColumn("discovered_at", F.col("discovered_at").cast("timestamp"))
-    query = stream_dedupe_news(stream, "40 years").writeStream.format("parquet").option("path", f"{place}/out").option(
-        "checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
+        news.write.mode("append").parquet(inbox)
+        stream = b.spark.readStream.schema(news.schema).parquet(inbox)
+        stream_dedupe_news(stream, f"{place}/out", f"{place}/progress", availableNow=True).awaitTermination()
     return b.spark.read.parquet(f"{place}/out").select("content_url")
 
 
@@ -87,7 +83,7 @@ HEADERS = "map('CONTENT-type', CASE page_id % 3 WHEN 0 THEN 'text/html; charset=
 
 CASES = {
     "backfill_significance": Case(
-        lambda b: backfill_significance(open_changes(b), b["snapshots"], "lines", KEPT).select(
+        lambda b: backfill_significance(open_changes(b), b["snapshots"], KEPT).select(
             "id", "significance_classification", "significance_sentiment", F.round("significance_confidence", 6).alias("significance_confidence"),
             F.coalesce(F.array_join("matched_keywords", "|"), F.lit("none")).alias("matched_keywords")),
         with_tables("snapshots", """SELECT p.new_id AS id, classification AS significance_classification, sentiment AS significance_sentiment,
@@ -99,9 +95,6 @@ CASES = {
     "stream_dedupe_news": Case(
         streamed_news, with_tables("news_articles", "SELECT DISTINCT content_url FROM news_articles")),
     "full_scan": Case(scanned),
-    "exact_similarity": Case(
-        lambda b: snapshot_pairs(b["snapshots"], carry=("content_markdown",)).select(
-            "new_id", F.round(exact_similarity("old_content_markdown", "new_content_markdown"), 6).alias("similarity"))),
     "content_types": Case(
         lambda b: b.raw("pages").selectExpr("page_id", f"{HEADERS} AS h").select(
             "page_id", T.content_type("h").alias("type"), T.is_html(T.content_type("h")).alias("html")),

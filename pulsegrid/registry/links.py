@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import urls as U
 from ..functions.text import hash_similarity
-from ..operators import html as P
 from ..operators import links as L
 from ..operators import timelines as G
-from ..operators.logos import similar_logos
+from ..operators.logos import branding_logo, similar_logos
 from ..sources.testbed import CAPTURES_AS_OF
 from .case import Case, joined, with_tables
 
@@ -250,21 +249,21 @@ CASES = {
             (PARTITION BY company_id, regexp_replace(lower(u), '/+$', '') ORDER BY page_id, i) = 1""", FOUND_SQL)),
     "similar_logos": Case(
         lambda b: similar_logos(logos_half(b, 0), logos_half(b, 1)),
-        with_tables("company_logos", """SELECT a.h AS hash_a, b.h AS hash_b, 1 - bit_count(xor(a.v, b.v)) / 64.0::DOUBLE AS similarity,
-            a.n AS logos_a, b.n AS logos_b FROM hs a JOIN hs b ON a.half = 0 AND b.half = 1 AND 1 - bit_count(xor(a.v, b.v)) / 64.0 >= 0.85""",
-            """hs AS (SELECT perceptual_hash AS h, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS half, CAST('0x' || perceptual_hash AS UBIGINT) AS v, count(*) AS n
+        with_tables("company_logos", """SELECT a.company_id, a.h AS hash_a, b.h AS hash_b, 1 - bit_count(xor(a.v, b.v)) / 64.0::DOUBLE AS similarity,
+            a.n AS logos_a, b.n AS logos_b FROM hs a JOIN hs b ON a.company_id = b.company_id AND a.half = 0 AND b.half = 1 AND 1 - bit_count(xor(a.v, b.v)) / 64.0 >= 0.85""",
+            """hs AS (SELECT company_id, perceptual_hash AS h, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS half, CAST('0x' || perceptual_hash AS UBIGINT) AS v, count(*) AS n
             FROM company_logos GROUP BY ALL)""")),
     "hash_similarity": Case(
         lambda b: b["company_logos"].select("id", hash_similarity("perceptual_hash", F.lit("8000ffff0000f0f1")).alias("similarity")),
         with_tables("company_logos", """SELECT id, 1 - bit_count(xor(CAST('0x' || perceptual_hash AS UBIGINT), CAST('0x8000ffff0000f0f1' AS UBIGINT))) / 64.0::DOUBLE
             AS similarity FROM company_logos""")),
-    "link_regions": Case(lambda b: P.link_regions(b["linked_pages"])),
-    "logo_candidates": Case(lambda b: P.logo_candidates(b["linked_pages"])),
+    "link_regions": Case(
+        lambda b: b["linked_pages"].select("page_id", F.inline(H.link_regions("html"))).groupBy("page_id", "href", "region").agg(F.count("*").alias("links"))),
     "branding_logo": Case(
         lambda b: b["linked_pages"].selectExpr(
             "page_id", "named_struct('logo', CASE WHEN page_id % 3 = 0 THEN concat('https://cdn.example.com/', page_id, '.png') WHEN page_id % 3 = 1 THEN 'https://x.com/yc-logo.svg' END, "
             "'images', map('og_image', concat('https://cdn.example.com/og', page_id, '.png'), 'favicon', 'https://cdn.example.com/f.ico', 'logo', CASE WHEN page_id % 4 = 0 THEN ' ' ELSE concat('https://cdn.example.com/wix-public/', page_id) END)) AS branding"
-        ).select("page_id", P.branding_logo().alias("logo")),
+        ).select("page_id", branding_logo().alias("logo")),
         with_tables("linked_pages", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://cdn.example.com/', page_id, '.png')
             ELSE concat('https://cdn.example.com/og', page_id, '.png') END AS logo FROM linked_pages""")),
 }

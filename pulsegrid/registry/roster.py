@@ -133,13 +133,6 @@ STORED_SQL = HITS_SQL + r""", clean AS (SELECT company_id, id * 10 + position AS
     linked AS (SELECT DISTINCT company_id, concat('https://linkedin.com/in/s', company_id) AS u FROM social_media_links)"""
 
 CHECKS = "SELECT id, CAST(company_id AS BIGINT) AS company_id, captured_at, concat('P', CAST(id % 9 AS STRING)) AS person_name, 'CEO' AS title, CASE WHEN id % 4 = 0 THEN 'departed' ELSE 'employed' END AS status, 0.9 AS confidence, 'profile' AS evidence, id % 4 = 0 AS change_detected FROM {snaps}"
-DIGEST_SQL = """cur AS (SELECT company_id, count(*) AS n FROM company_leadership WHERE is_current GROUP BY company_id),
-    top5 AS (SELECT company_id, string_agg(concat('  - ', person_name, ' (', title, ') [verified: never, method: scan]'), chr(10) ORDER BY title, id) AS people
-      FROM (SELECT * FROM company_leadership WHERE is_current QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY title, id) <= 5) GROUP BY company_id),
-    chk AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY captured_at DESC, id DESC) AS place FROM linkedin_snapshots QUALIFY place <= 10),
-    ver AS (SELECT company_id, count(*) AS checks, count(*) FILTER (id % 4 = 0) AS changed,
-      string_agg(concat('  - P', id % 9, ' (CEO): departed [confidence: 0.90] profile'), chr(10) ORDER BY place) FILTER (id % 4 = 0) AS lines FROM chk GROUP BY company_id)"""
-
 CASES = {
     "leadership_mentions": Case(
         lambda b: P.extract_mentions(sentences(b)).select("snapshot_id", "company_id", "person_name", "title_context", "priority"),
@@ -181,15 +174,17 @@ CASES = {
             WHERE company_id IN (SELECT company_id FROM company_leadership WHERE in_previous)""", ROSTER_SQL)),
     "roster_change_summary": Case(
         lambda b: P.roster_change_summary(roster_changes(b)).select(
-            "company_id", "classification", "sentiment", "confidence", joined("matched_keywords", "keywords"), "notes", joined("evidence", "evidence")),
+            "company_id", "classification", "sentiment", "confidence", joined("matched_keywords", "keywords"), "notes"),
         with_tables("company_leadership", """SELECT company_id, 'significant' AS classification, CASE WHEN d AND a THEN 'mixed' WHEN d THEN 'negative' ELSE 'positive' END AS sentiment,
             CASE WHEN c > 0 THEN 0.95 ELSE 0.8 END::DOUBLE AS confidence, keywords,
-            CASE WHEN c > 0 THEN concat(c, ' critical leadership change(s) detected') ELSE concat(n, ' notable leadership change(s) detected') END AS notes, evidence
+            CASE WHEN c > 0 THEN concat(c, ' critical leadership change(s) detected') ELSE concat(n, ' notable leadership change(s) detected') END AS notes
             FROM (SELECT company_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'notable') AS n,
               bool_or(ends_with(change_type, '_departure')) AS d, bool_or(starts_with(change_type, 'new_')) AS a,
-              string_agg(DISTINCT change_type, '|' ORDER BY change_type) AS keywords,
-              string_agg(concat(person_name, ' (', title, ') - ', change_type), '|' ORDER BY concat(person_name, ' (', title, ') - ', change_type)) AS evidence
+              string_agg(DISTINCT change_type, '|' ORDER BY change_type) AS keywords
               FROM chg GROUP BY company_id)""", ROSTER_SQL)),
+    "roster_change_evidence": Case(
+        lambda b: P.roster_change_evidence(roster_changes(b)),
+        with_tables("company_leadership", "SELECT company_id, concat(person_name, ' (', title, ') - ', change_type) AS evidence FROM chg", ROSTER_SQL)),
     "apply_departures": Case(
         lambda b: P.apply_departures(b["company_leadership"].withColumn("last_verified_at", F.col("discovered_at")), roster_changes(b), rosters(b)[1], CAPTURES_AS_OF)
         .select("id", "is_current", stamp("last_verified_at")),
@@ -226,10 +221,10 @@ CASES = {
         lambda b: P.leadership_digest(
             b["company_leadership"].withColumn("last_verified_at", F.lit(None).cast("timestamp_ntz")).withColumn("discovery_method", F.lit("scan")),
             b.spark.sql(CHECKS, snaps=b["linkedin_snapshots"])),
-        with_tables("company_leadership linkedin_snapshots", """SELECT cur.company_id, concat('Known leadership (', n, ' current):', chr(10), people,
-            CASE WHEN checks IS NULL THEN '' WHEN changed > 0 THEN concat(chr(10), chr(10), 'LinkedIn employment verification (', changed, ' change(s)):', chr(10), lines)
-              ELSE concat(chr(10), chr(10), 'LinkedIn employment verification: All ', checks, ' leaders confirmed current.') END) AS digest
-            FROM cur JOIN top5 USING (company_id) LEFT JOIN ver USING (company_id)""", DIGEST_SQL)),
+        with_tables("company_leadership linkedin_snapshots", """SELECT company_id, 'leader' AS section, id, NULL::BOOLEAN AS changed,
+            concat(person_name, ' (', title, ') [verified: never, method: scan]') AS line FROM company_leadership WHERE is_current
+            UNION ALL SELECT company_id, 'check', id, id % 4 = 0, concat('P', id % 9, ' (CEO): ', CASE WHEN id % 4 = 0 THEN 'departed' ELSE 'employed' END,
+              ' [confidence: 0.90] profile') FROM linkedin_snapshots""")),
     "leaders_with_company": Case(
         lambda b: with_company(b["company_leadership"], b["companies"]).select("id", "company_id", "company_name"),
         with_tables("company_leadership companies", "SELECT l.id, company_id, c.name AS company_name FROM company_leadership l JOIN companies c ON c.id = company_id")),

@@ -14,6 +14,7 @@ from ..operators import social as M
 from ..operators import status as S
 from ..operators.latest import snapshot_pairs
 from ..operators.text_diff import line_added, line_similarity
+from ..plans.full_scan import full_scan
 from ..sources.testbed import CAPTURES_AS_OF, STATUS_AS_OF
 from .case import Case, joined, stamp, time_sql, with_tables
 from .versions import NEWEST_STATUS
@@ -122,7 +123,7 @@ def verdict_table(b):
         F.when(F.col("doc_id") % 5 == 0, "timeout").alias("error"))
 
 
-def changes_sql(table: str, keys: str, social: bool, every: bool) -> str:
+def changes_sql(table: str, keys: str, social: bool, every: bool, terms=KEPT) -> str:
     """CTEs ending in ``records``: the whole comparison and classification with line measures."""
     first = ", ".join(f"s.{k}" for k in keys.split())
     order = "captured_at, id" if every else "captured_at DESC, id DESC"
@@ -152,7 +153,7 @@ def changes_sql(table: str, keys: str, social: bool, every: bool) -> str:
           lambda x: NOT list_contains(string_split(coalesce(old_text, ''), chr(10)), x)), chr(10)) AS added
         FROM chg c LEFT JOIN score USING (new_id)),
     docs AS (SELECT *, {subject} AS subject FROM measured),
-    {terms_sql(KEPT)}, {hits_sql('docs', 'new_id', 'subject', DEFAULT_OPTIONS)},
+    {terms_sql(terms)}, {hits_sql('docs', 'new_id', 'subject', DEFAULT_OPTIONS)},
     {verdict_sql('docs', 'new_id', 'd.change_magnitude')},
     records AS (SELECT {first.replace('s.', 'd.')}, old_id AS snapshot_id_old, new_id AS snapshot_id_new, has_changed, change_magnitude,
       CASE WHEN has_changed AND failed THEN 'uncertain' WHEN NOT has_changed THEN {quiet} WHEN trim(subject, {BLANK}) = '' THEN {empty} ELSE classification END AS significance_classification,
@@ -169,10 +170,26 @@ DEFAULT_OPTIONS = {
     "negation_words": fixed.NEGATION_WORDS, "negation_suffixes": fixed.NEGATION_SUFFIXES,
     "false_positives": fixed.FALSE_POSITIVE_PHRASES,
 }
+SHIPPED = [t for t in J.default_terms() if t.category not in fixed.SELF_REPORT_EXCLUDED]
 RECORD = """snapshot_id_old, snapshot_id_new, has_changed, change_magnitude, significance_classification, significance_sentiment,
     significance_confidence, matched_keywords, matched_categories, significance_notes"""
 
 
+# Sentences with terms of the shipped lexicon, put behind the mapped texts.
+PHRASES = ("Our revenue growth is strong", "They announced layoffs and a lawsuit", "A data breach led to a shutdown",
+           "We raised a series b funding round", "No news here")
+PHRASED = "CASE WHEN content_markdown IS NOT NULL THEN concat(content_markdown, chr(10), CASE id % 5 " + " ".join(
+    f"WHEN {i} THEN '{p}.'" for i, p in enumerate(PHRASES)) + " END) END"
+
+
+def phrased(b, table):
+    return b[table].withColumn("content_markdown", F.expr(PHRASED.replace("chr(10)", "'\\n'")))
+
+
+def phrased_sql(table: str) -> str:
+    return f"phrased AS (SELECT * REPLACE ({PHRASED} AS content_markdown) FROM {table}), "
+
+
 def records(df, *keys):
     return judged(df, *keys, "snapshot_id_old", "snapshot_id_new", "has_changed", "change_magnitude")
 
@@ -230,10 +247,10 @@ ERRORS_SQL = """last5 AS (SELECT *, row_number() OVER (PARTITION BY company_id O
     error_signals AS (SELECT company_id, 'error_pattern' AS type, concat(bad, '/', n, ' recent snapshots failed: ', error) AS value, 'negative' AS signal
       FROM (SELECT company_id, count(*) AS n, count(error_message) AS bad, arg_min(error_message, place) FILTER (error_message IS NOT NULL) AS error
         FROM last5 GROUP BY company_id) WHERE bad >= 3)"""
-DRIFT_SQL = """last50 AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY captured_at DESC, id DESC) AS place FROM notices QUALIFY place <= 50),
-    ends AS (SELECT company_id, max(place) AS n FROM last50 GROUP BY company_id),
+DRIFT_SQL = """history AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY captured_at DESC, id DESC) AS place FROM notices),
+    ends AS (SELECT company_id, max(place) AS n FROM history GROUP BY company_id),
     drift_signals AS (SELECT e.company_id, 'baseline_drift' AS type, 'sentiment flipped positive -> negative since first snapshot' AS value, 'neutral' AS signal
-      FROM ends e JOIN last50 o ON o.company_id = e.company_id AND o.place = e.n JOIN last50 z ON z.company_id = e.company_id AND z.place = 1
+      FROM ends e JOIN history o ON o.company_id = e.company_id AND o.place = e.n JOIN history z ON z.company_id = e.company_id AND z.place = 1
       WHERE e.n >= 2 AND o.baseline_sentiment = 'positive' AND z.baseline_sentiment = 'negative')"""
 VETO_SQL = """proof AS (SELECT *, list_sort(list_filter(CAST(matched_categories AS JSON)::VARCHAR[], lambda x: x IN ('closure', 'financial_distress', 'acquisition'))) AS p FROM recent_news),
     veto AS (SELECT company_id, arg_max(concat('news_veto: ', source, ' -- ', title, ' [', array_to_string(p, ', '), ', conf=', printf('%.2f', significance_confidence), ']'),
@@ -263,6 +280,11 @@ def analyzed(b, **options):
                             late_news(b), b["leadership_changes"], **options)
 
 
+def override_requests(b):
+    return b["companies"].selectExpr(
+        "id AS company_id", "CASE WHEN id % 3 = 0 THEN 'likely_closed' WHEN id % 3 = 1 THEN 'bogus' ELSE 'operational' END AS status")
+
+
 def signal_rows(df):
     return df.select("company_id", "type", "value", "signal")
 
@@ -337,17 +359,22 @@ CASES = {
             FROM (SELECT id AS new_id, content_checksum AS z, error_message AS new_error, lag(id) OVER w AS old_id, lag(content_checksum) OVER w AS a,
               lag(error_message) OVER w AS old_error FROM snapshots WINDOW w AS (PARTITION BY company_id ORDER BY captured_at, id))
             WHERE old_id IS NOT NULL AND ((a IS NULL) <> (z IS NULL) OR (a IS NULL AND z IS NULL AND old_error <> new_error))""")),
-    "change_records": Case(lambda b: records(I.change_records(b["snapshots"], CAPTURES_AS_OF), "company_id")),
+    "change_records": Case(
+        lambda b: records(I.change_records(phrased(b, "snapshots"), CAPTURES_AS_OF), "company_id"),
+        with_tables("snapshots", f"SELECT company_id, {RECORD} FROM records",
+                    phrased_sql("snapshots") + changes_sql("phrased", "company_id", False, False, SHIPPED))),
     "change_records_by_line": Case(
-        lambda b: records(I.change_records(b["snapshots"], CAPTURES_AS_OF, method="lines", terms=KEPT), "company_id"),
+        lambda b: records(I.change_records(b["snapshots"], CAPTURES_AS_OF, terms=KEPT), "company_id"),
         with_tables("snapshots", f"SELECT company_id, {RECORD} FROM records", changes_sql("snapshots", "company_id", False, False))),
     "change_history_by_line": Case(
-        lambda b: records(I.change_records(b["snapshots"], CAPTURES_AS_OF, method="lines", terms=KEPT, pairing="all"), "company_id"),
+        lambda b: records(I.change_records(b["snapshots"], CAPTURES_AS_OF, terms=KEPT, pairing="all"), "company_id"),
         with_tables("snapshots", f"SELECT company_id, {RECORD} FROM records", changes_sql("snapshots", "company_id", False, True))),
     "social_change_records": Case(
-        lambda b: records(I.social_change_records(b["social_media_snapshots"], CAPTURES_AS_OF), "company_id", "source_url", "source_type")),
+        lambda b: records(I.social_change_records(phrased(b, "social_media_snapshots"), CAPTURES_AS_OF), "company_id", "source_url"),
+        with_tables("social_media_snapshots", f"SELECT company_id, source_url, {RECORD} FROM records",
+                    phrased_sql("social_media_snapshots") + changes_sql("phrased", "company_id source_url", True, False, SHIPPED))),
     "social_change_records_by_line": Case(
-        lambda b: records(I.social_change_records(b["social_media_snapshots"], CAPTURES_AS_OF, method="lines", terms=KEPT), "company_id", "source_url"),
+        lambda b: records(I.social_change_records(b["social_media_snapshots"], CAPTURES_AS_OF, terms=KEPT), "company_id", "source_url"),
         with_tables("social_media_snapshots", f"SELECT company_id, source_url, {RECORD} FROM records",
                     changes_sql("social_media_snapshots", "company_id source_url", True, False))),
     "snapshot_baselines": Case(
@@ -369,7 +396,7 @@ CASES = {
     "uncertain_changes": Case(
         lambda b: I.uncertain_changes(b["change_records"], b["companies"]).select("id", "company_name"),
         with_tables("change_records companies", """SELECT r.id, c.name AS company_name FROM change_records r JOIN companies c ON c.id = r.company_id
-            WHERE significance_classification = 'uncertain' ORDER BY detected_at DESC, r.id DESC LIMIT 50""")),
+            WHERE significance_classification = 'uncertain'""")),
     "active_companies": Case(
         lambda b: I.active_companies(b["change_records"], b["companies"], CAPTURES_AS_OF, 2).select("company_name", "homepage_url", stamp("detected_at")),
         with_tables("change_records companies", f"""SELECT DISTINCT c.name AS company_name, c.homepage_url, {time_sql('detected_at')}
@@ -407,16 +434,31 @@ CASES = {
         with_tables("news_articles", "SELECT company_id, reason FROM veto", NEWS_SQL + ", " + VETO_SQL)),
     "analyze_status": Case(
         lambda b: analyzed(b)[0].select("company_id", "status", F.round("confidence", 6).alias("confidence"), "positive_count", "negative_count",
-                                        "neutral_count", "status_reason", F.size("indicators").alias("listed")),
+                                        "neutral_count", "status_reason"),
         with_tables(STATUS_TABLES, """SELECT company_id, status, round(confidence, 6) AS confidence, p AS positive_count, n AS negative_count,
-            u AS neutral_count, reason AS status_reason, CAST(p + n + u AS INT) AS listed FROM decided""", STATUS_CTES)),
+            u AS neutral_count, reason AS status_reason FROM decided""", STATUS_CTES)),
     "status_signals": Case(
         lambda b: signal_rows(analyzed(b)[1]),
         with_tables(STATUS_TABLES, "SELECT company_id, type, value, signal FROM signals JOIN subjects USING (company_id)", STATUS_CTES)),
+    "scan_takes_effect": Case(
+        lambda b: S.current_status(full_scan({
+            "companies": b["companies"], "snapshots": notices(b), "company_statuses": b["company_statuses"],
+            "social_media_snapshots": b["social_media_snapshots"], "news_articles": late_news(b), "leadership_changes": b["leadership_changes"],
+        }, CAPTURES_AS_OF, without=("captures", "changes", "news"))[0]["company_statuses"]).select("company_id", "status"),
+        with_tables(STATUS_TABLES, """SELECT company_id, status FROM decided UNION ALL
+            SELECT company_id, status FROM latest WHERE company_id NOT IN (SELECT company_id FROM decided)""", STATUS_CTES)),
+    "override_takes_effect": Case(
+        lambda b: S.current_status(S.manual_override(b["company_statuses"], override_requests(b), STATUS_AS_OF, "me")[0]).select(
+            "company_id", "status", "is_manual_override"),
+        with_tables("company_statuses companies", """SELECT id AS company_id, CASE WHEN id % 3 = 0 THEN 'likely_closed' ELSE 'operational' END AS status,
+            true AS is_manual_override FROM companies WHERE id % 3 <> 1 UNION ALL SELECT company_id, status, is_manual_override FROM latest
+            WHERE company_id NOT IN (SELECT id FROM companies WHERE id % 3 <> 1)""", NEWEST_STATUS)),
+    "clear_takes_effect": Case(
+        lambda b: S.current_status(S.clear_override(b["company_statuses"], b["company_statuses"], STATUS_AS_OF, "me")).select(
+            "company_id", "status", "is_manual_override"),
+        with_tables("company_statuses", "SELECT company_id, status, false AS is_manual_override FROM latest", NEWEST_STATUS)),
     "manual_override": Case(
-        lambda b: S.manual_override(b["company_statuses"], b["companies"].selectExpr(
-            "id AS company_id", "CASE WHEN id % 3 = 0 THEN 'likely_closed' WHEN id % 3 = 1 THEN 'bogus' ELSE 'operational' END AS status"),
-            STATUS_AS_OF, "me")[0].groupBy("status", "is_manual_override", "performed_by").agg(F.count("*").alias("n")),
+        lambda b: S.manual_override(b["company_statuses"], override_requests(b), STATUS_AS_OF, "me")[0].groupBy("status", "is_manual_override", "performed_by").agg(F.count("*").alias("n")),
         with_tables("company_statuses companies", """SELECT status, is_manual_override, performed_by, count(*) AS n FROM (
             SELECT status, is_manual_override, NULL AS performed_by FROM company_statuses UNION ALL
             SELECT CASE WHEN id % 3 = 0 THEN 'likely_closed' ELSE 'operational' END, true, 'me' FROM companies WHERE id % 3 <> 1) GROUP BY ALL""")),
@@ -440,14 +482,10 @@ CASES = {
             FROM active""", SOCIAL_SQL)),
     "social_digest": Case(
         lambda b: M.social_digest(b["social_media_snapshots"], CAPTURES_AS_OF).select(
-            "company_id", "part", F.md5("digest").alias("digest"), F.length("digest").alias("chars")),
-        with_tables("social_media_snapshots", f"""SELECT company_id, 0 AS part, md5(digest) AS digest, CAST(length(digest) AS INT) AS chars FROM (
-            SELECT company_id, concat('--- Social Media Activity ---', chr(10), chr(10), string_agg(body, chr(10) || chr(10) ORDER BY source_type, source_url, id),
-            chr(10), chr(10), '---') AS digest FROM (SELECT *, concat('Source: ', source_url, ' (', source_type, ')', chr(10), 'Last post: ',
-              CASE WHEN latest_post_date IS NULL THEN 'None detected' WHEN days > 365 THEN strftime(latest_post_date, '%Y-%m-%d %H:%M:%S')
-                ELSE concat(strftime(latest_post_date, '%Y-%m-%d %H:%M:%S'), ' (', days, ' days ago)') END, chr(10), 'Status: ',
-              CASE WHEN days IS NULL THEN 'INACTIVE (no posting date found)' WHEN days > 365 THEN concat('INACTIVE (', days, ' days since last post)') ELSE 'ACTIVE' END,
-              chr(10), 'Content excerpt: ', trim(substr(content_markdown, 1, room), {BLANK}), CASE WHEN length(content_markdown) > room THEN '...' ELSE '' END) AS body
-              FROM (SELECT *, CAST(floor(greatest(0, 2000 - 150 * count(*) OVER (PARTITION BY company_id)) / count(*) OVER (PARTITION BY company_id)) AS INT) AS room
-                FROM active)) GROUP BY company_id)""", SOCIAL_SQL)),
+            "company_id", "source_type", "source_url", "id", "last_post", "state", F.md5("content").alias("content")),
+        with_tables("social_media_snapshots", f"""SELECT company_id, source_type, source_url, id,
+            CASE WHEN latest_post_date IS NULL THEN 'None detected' WHEN days > 365 THEN strftime(latest_post_date, '%Y-%m-%d %H:%M:%S')
+              ELSE concat(strftime(latest_post_date, '%Y-%m-%d %H:%M:%S'), ' (', days, ' days ago)') END AS last_post,
+            CASE WHEN days IS NULL THEN 'INACTIVE (no posting date found)' WHEN days > 365 THEN concat('INACTIVE (', days, ' days since last post)') ELSE 'ACTIVE' END AS state,
+            md5(trim(coalesce(content_markdown, ''), {BLANK})) AS content FROM active""", SOCIAL_SQL)),
 }

@@ -32,7 +32,7 @@ MATCH_SQL = ARTICLES_SQL + rf""", own AS (SELECT a.*, c.name, coalesce({domain('
     scored AS (SELECT *, greatest(0, least(1, b + CASE WHEN confirmed THEN 0.4 ELSE 0 END))::DOUBLE AS match_confidence FROM asked)"""
 EVIDENCE = """array_to_string(list_filter([CASE WHEN by_domain THEN 'Domain match: ' || dom END,
     CASE WHEN by_context THEN 'Name in business context: ' || name END, CASE WHEN confirmed THEN 'LLM verification: because' END], lambda e: e IS NOT NULL), '|')"""
-INGEST_SQL = MATCH_SQL + f""", known AS (SELECT DISTINCT url AS u FROM art WHERE id % 11 = 0),
+INGEST_SQL = MATCH_SQL + f""", known AS (SELECT DISTINCT url AS u FROM art WHERE id % 11 = 0 UNION SELECT content_url FROM news_articles),
     good AS (SELECT *, snippet || ' ' || title AS subject FROM scored WHERE match_confidence >= 0.4 AND url NOT IN (SELECT u FROM known)),
     {terms_sql(default_terms())}, {hits_sql('good', 'id', 'subject', DEFAULT_OPTIONS)}, {verdict_sql('good', 'id', "'minor'")},
     stored AS (SELECT g.*, v.classification, v.sentiment, v.confidence FROM good g JOIN verdicts v ON v.k = g.id
@@ -58,7 +58,7 @@ def matched(b):
 
 def ingested(b):
     every, votes = first_articles(b)
-    existing = b["news_articles"].limit(0).unionByName(
+    existing = b["news_articles"].unionByName(
         articles(b).filter("id % 11 = 0").select(F.col("url").alias("content_url")), allowMissingColumns=True)
     return N.ingest_news(every, b["companies"], existing, NEWS_AS_OF, votes)
 
@@ -83,11 +83,11 @@ CASES = {
     "ingest_news": Case(
         lambda b: ingested(b)[0].select("company_id", "content_url", "title", F.round("match_confidence", 6).alias("match_confidence"),
                                         "significance_classification", "significance_sentiment"),
-        with_tables("search_hits companies", """SELECT company_id, url AS content_url, title, round(match_confidence, 6) AS match_confidence,
+        with_tables("search_hits companies news_articles", """SELECT company_id, url AS content_url, title, round(match_confidence, 6) AS match_confidence,
             classification AS significance_classification, sentiment AS significance_sentiment FROM stored""", FIRST_INGEST)),
     "ingest_news_counts": Case(
         lambda b: ingested(b)[1],
-        with_tables("search_hits companies", """SELECT company_id, count(*) AS found, count(g.id) AS verified, count(s.id) AS stored FROM art a
+        with_tables("search_hits companies news_articles", """SELECT company_id, count(*) AS found, count(g.id) AS verified, count(s.id) AS stored FROM art a
             LEFT JOIN (SELECT id FROM good) g ON g.id = a.id LEFT JOIN (SELECT id FROM stored) s ON s.id = a.id GROUP BY company_id""", FIRST_INGEST)),
     "significant_news": Case(
         lambda b: N.significant_news(b["news_articles"], b["companies"], NEWS_AS_OF, 30, "negative").select("id", "company_name", stamp("published_at")),
@@ -99,12 +99,12 @@ CASES = {
         with_tables("news_articles companies", """SELECT n.id, c.name AS company_name FROM news_articles n JOIN companies c ON c.id = n.company_id
             WHERE significance_sentiment = 'positive' AND CAST(published_at AS DATE) >= DATE '2001-11-05' - 60""")),
     "recent_news_of_company": Case(
-        lambda b: N.recent_by_company(b["news_articles"], 11, 20).select("id", "title"),
-        with_tables("news_articles", "SELECT id, title FROM news_articles WHERE company_id = 11 ORDER BY published_at DESC, id DESC LIMIT 20")),
+        lambda b: N.recent_by_company(b["news_articles"], 11).select("id", "title"),
+        with_tables("news_articles", "SELECT id, title FROM news_articles WHERE company_id = 11")),
     "company_description": Case(
         lambda b: b["snapshots"].select("id", company_description("content_markdown").alias("description")),
         with_tables("snapshots", r"""SELECT id, trim(substr(array_to_string(list_filter(list_transform(string_split(coalesce(content_markdown, ''), chr(10)),
             lambda l: trim(l, chr(32) || chr(9) || chr(13))), lambda l: length(l) >= 20 AND NOT regexp_full_match(l, '!?\[.*?\]\(.*?\)')
             AND NOT regexp_full_match(l, 'https?://\S+') AND NOT (regexp_matches(l, '^#{1,6}\s+')
-              AND length(trim(regexp_extract(l, '^#{1,6}\s+(.*)', 1))) < 20)), ' '), 1, 500)) AS description FROM snapshots""")),
+              AND length(trim(regexp_extract(l, '^#{1,6}\s+(.*)', 1))) < 20)), ' '), 1)) AS description FROM snapshots""")),
 }

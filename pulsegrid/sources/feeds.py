@@ -102,13 +102,13 @@ def prepare_snapshots(scrapes: DataFrame, as_of) -> DataFrame:
         F.lit(None).cast("string").alias("capture_metadata"))
 
 
-def url_beginnings(url: str | Column) -> Column:
-    """Every part of a URL that starts at an ``http(s)://`` in it."""
-    url = col(url)
+def url_parts_of(url: str | Column, lengths: str | Column) -> Column:
+    """Every part of a URL that starts at an ``http(s)://`` in it and has one of ``lengths``."""
+    url, lengths = col(url), col(lengths)
     starts = F.filter(F.sequence(F.lit(1), F.length(url)),
                       lambda i: F.substring(url, i, F.lit(8)).rlike("(?i)^https?:/"))
     parts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.length(url) - i + 1), lambda n: F.substring(url, i, n))))
+        F.filter(lengths, lambda n: n <= F.length(url) - i + 1), lambda n: F.substring(url, i, n))))
     return F.when(F.length(url) > 0, F.array_distinct(parts))
 
 
@@ -117,13 +117,15 @@ def match_documents(docs: DataFrame, companies: DataFrame, url: str = "url") ->
 
     A document belongs to the company with its URL, else to the first company whose URL it
     contains. Homepage URLs begin with http(s), so containment is an equality join of the
-    homepages with the document URL's parts that begin like one.
+    homepages with the document URL's parts that begin like one and are as long as some
+    homepage (the lengths that occur are one small list).
     """
     wanted = companies.filter("homepage_url is not null").groupBy("homepage_url").agg(
         F.max("id").alias("__company"), F.min("id").alias("__order"))
     exact = docs.join(wanted.select(F.col("homepage_url").alias(url), F.col("__company").alias("company_id")), url, "left")
     rest = exact.filter("company_id is null").select(url).distinct()
-    parts = rest.select(url, F.explode(url_beginnings(url)).alias("homepage_url"))
+    lengths = wanted.agg(F.collect_set(F.length("homepage_url")).alias("lengths")).scalar()
+    parts = rest.withColumn("__lengths", lengths).select(url, F.explode(url_parts_of(url, "__lengths")).alias("homepage_url"))
     first = parts.join(wanted, "homepage_url").groupBy(url).agg(
         F.min(F.struct("__order", "__company", "homepage_url")).alias("__hit"))
     joined = exact.join(first, url, "left")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType
 
 from ..functions.keywords import Term
 from ..operators.changes import HOMEPAGE, Policy, change_records
@@ -20,15 +21,16 @@ class ChangeFeed:
     The state is the newest version per key, as ids and checksums only: page texts stay in
     the ``archive`` table and are fetched for changed pairs. Each batch writes its records
     and state into folders of its own number, so a batch that is run again replaces what
-    it wrote. Snapshots not newer than their key's state are late and dropped.
+    it wrote. Snapshots not newer than their key's state are late: they get no record, and go to
+    the folder ``<records_dir>-late`` with the time of the state they came after.
     """
 
     def __init__(
         self, spark: SparkSession, records_dir: str, state_dir: str, archive: Callable[[], DataFrame],
-        policy: Policy = HOMEPAGE, method: str = "ratio", terms: Sequence[Term] | None = None, compact_every: int = 100,
+        policy: Policy = HOMEPAGE, terms: Sequence[Term] | None = None, compact_every: int = 100,
     ) -> None:
         self.spark, self.records_dir, self.state_dir = spark, records_dir, state_dir
-        self.archive, self.policy, self.method, self.terms = archive, policy, method, terms
+        self.archive, self.policy, self.terms = archive, policy, terms
         self.compact_every = compact_every
 
     def _exists(self, path: str) -> bool:
@@ -52,14 +54,17 @@ class ChangeFeed:
             touched = history.join(slim.select(*keys).distinct(), keys, "left_semi")
             last = latest_per_key(touched, keys, ["captured_at", "id"])
             mark = last.select(*keys, F.struct("captured_at", "id").alias("__last"))
-            fresh = slim.join(mark, keys, "left").filter(
-                F.col("__last").isNull() | (F.struct("captured_at", "id") > F.col("__last"))).drop("__last")
+            marked = slim.join(mark, keys, "left")
+            is_fresh = F.col("__last").isNull() | (F.struct("captured_at", "id") > F.col("__last"))
+            fresh = marked.filter(is_fresh).drop("__last")
+            marked.filter(~is_fresh).withColumn("state_at", F.col("__last.captured_at")).drop("__last").write.mode(
+                "overwrite").parquet(f"{self.records_dir}-late/batch={batch_id}")
             rows = fresh.unionByName(last.select(*fresh.columns))
         pairs = snapshot_pairs(
             rows, keys, "all", carry=("content_checksum", "error_message", "has_content", *self.policy.carried))
         source = self.archive()
         records = change_records(
-            source, F.lit(None), policy=self.policy, method=self.method, terms=self.terms, pairing="all", pairs=pairs)
+            source, F.lit(None), policy=self.policy, terms=self.terms, pairing="all", pairs=pairs)
         times = rows.select(F.col("id").alias("snapshot_id_new"), F.col("captured_at").alias("detected_at"))
         stamped = records.drop("detected_at").join(times, "snapshot_id_new")
         stamped.write.mode("overwrite").parquet(f"{self.records_dir}/batch={batch_id}")
@@ -76,6 +81,25 @@ class ChangeFeed:
         return (writer.trigger(**trigger) if trigger else writer).start()
 
 
-def stream_dedupe_news(articles: DataFrame, delay: str = "7 days", url: str = "content_url", time: str = "discovered_at") -> DataFrame:
-    """The first article of each URL; URLs are remembered for ``delay`` of event time."""
-    return articles.withWatermark(time, delay).dropDuplicatesWithinWatermark([url])
+def stream_dedupe_news(
+    articles: DataFrame, out_dir: str, checkpoint: str | None = None, url: str = "content_url", time: str = "discovered_at", **trigger,
+) -> StreamingQuery:
+    """Writes the first article of each URL to ``out_dir``; a URL is known for ever, however late it comes again.
+
+    Each batch is matched with the stored URLs of the batches before it and written into a folder
+    of its own number, so a batch that is run again replaces what it wrote.
+    """
+    spark = articles.sparkSession
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        order = F.struct(*[F.col(c) for c in dict.fromkeys((time, *batch.columns))])
+        first = batch.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(order).alias("__first")).select(
+            *[F.col("__first")[c].alias(c) for c in batch.columns])
+        if batch_id > 0:
+            known = spark.read.schema(batch.select(url).schema.add("batch", IntegerType())).parquet(out_dir).filter(F.col("batch") < batch_id)
+            first = first.join(known.select(url), url, "left_anti").select(*batch.columns)
+        first.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+    writer = articles.writeStream.foreachBatch(process).option(
+        "checkpointLocation", checkpoint or f"{shared_dir(spark)}/news_feed")
+    return (writer.trigger(**trigger) if trigger else writer).start()

@@ -79,14 +79,22 @@ def test_whole_analysis(spark):
     rows, signals = S.analyze_status(companies, snapshots, statuses, AS_OF, news=news)
     got = {r.company_id: r for r in rows.collect()}
     assert set(got) == {1, 2, 5}  # 3 has no text, 4 is set by hand, 6 was never captured
-    assert (got[1].status, got[1].confidence, len(got[1].indicators)) == ("operational", 0.8, 2)
+    assert (got[1].status, got[1].confidence, got[1].positive_count) == ("operational", 0.8, 2)
     assert (got[2].status, got[2].confidence) == ("likely_closed", 0.4)
     assert (got[5].status, got[5].confidence) == ("likely_closed", 0.95)
     assert got[5].status_reason == "news_veto: s.org -- T [closure, conf=0.80]"
-    assert signals.count() == sum(len(r.indicators) for r in got.values())
-    short, _ = S.analyze_status(companies, snapshots, statuses, AS_OF, news=news, listed=1)
-    again = {r.company_id: r for r in short.collect()}
-    assert again[1].indicators is None and again[1].status == "operational" and len(again[2].indicators) == 1
+    assert signals.count() == sum(r.positive_count + r.negative_count + r.neutral_count for r in got.values())
+
+
+def test_a_company_of_very_many_signals_loses_none(spark):
+    companies, snapshots, statuses, news = tables(spark)
+    many = spark.range(1001).selectExpr(
+        "id", "1L AS company_id", "timestamp_ntz '2024-01-20 00:00:00' AS published_at", "concat('t', id) AS title", "'s' AS source",
+        "'significant' AS significance_classification", "'positive' AS significance_sentiment", "0.9D AS significance_confidence",
+        "cast(array() AS array<string>) AS matched_categories")
+    rows, signals = S.analyze_status(companies, snapshots, statuses, AS_OF, news=many)
+    assert {r.company_id: r.positive_count for r in rows.collect()}[1] == 1002
+    assert signals.filter("company_id = 1").count() == 1002
 
 
 def test_override_and_clearing(spark):
@@ -98,13 +106,32 @@ def test_override_and_clearing(spark):
     cleared = S.clear_override(statuses, asked.limit(1).selectExpr("cast(4 as long) as company_id"), AS_OF, "me")
     last = cleared.filter("performed_by = 'me'").first()
     assert (last.company_id, last.status, last.is_manual_override) == (4, "operational", False)
+    now = {r.company_id: (r.status, r.is_manual_override) for r in S.current_status(cleared).collect()}
+    assert now[4] == ("operational", False)
+    now = {r.company_id: (r.status, r.is_manual_override) for r in S.current_status(log).collect()}
+    assert now[1] == ("likely_closed", True) and log.filter("id is null").count() == 0
 
 
-def test_digest_parts_keep_every_source(spark):
+def test_digest_has_every_source_with_its_whole_text(spark):
     data = [(i, 1, f"https://s/{i}", "blog", "text", "c", NOW, NOW) for i in range(130)] + [(500, 2, "https://s", "medium", "x" * 3000, "c", NOW, None)]
     df = spark.createDataFrame(data, "id long, company_id long, source_url string, source_type string, content_markdown string, content_checksum string, captured_at timestamp_ntz, latest_post_date timestamp_ntz")
-    parts = social_digest(df, AS_OF).collect()
-    many = [p for p in parts if p.company_id == 1]
-    assert {p.parts for p in many} == {3} and sum(p.digest.count("Source: ") for p in many) == 130
-    (one,) = [p.digest for p in parts if p.company_id == 2]
-    assert "INACTIVE (no posting date found)" in one and one.endswith("x" * 1850 + "...\n\n---")
+    rows = social_digest(df, AS_OF).collect()
+    assert sum(r.company_id == 1 for r in rows) == 130
+    (one,) = [r for r in rows if r.company_id == 2]
+    assert one.state == "INACTIVE (no posting date found)" and one.content == "x" * 3000
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_do_not_depend_on_the_zone(spark, rows, zone):
+    from pulsegrid.functions.dates import days_since
+    from pulsegrid.functions.text import parse_http_date, parse_iso
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert [str(x) for x in rows(["2024-11-03T06:30:00+00:00", "2024-03-10T02:30:00Z"], parse_iso("t"))] == ["2024-11-03 06:30:00", "2024-03-10 02:30:00"]
+        assert str(rows(["Sun, 03 Nov 2024 06:30:00 GMT"], parse_http_date("t"))[0]) == "2024-11-03 06:30:00"
+        days = days_since(F.col("t").cast("timestamp_ntz"), "2024-03-11 00:00:00")
+        assert rows(["2024-03-09 00:00:00", "2024-03-09 00:00:01", "2024-03-12 00:00:00", "2024-03-10 23:00:00"], days) == [2, 1, -1, 0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

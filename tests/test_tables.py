@@ -100,16 +100,18 @@ SNAPSHOT = "id long, company_id long, captured_at timestamp_ntz, content_markdow
 def test_stream_equals_batch_and_reruns(spark, place):
     data = [(i, i % 4, NOW + dt.timedelta(hours=i), f"text {i % 5} lawsuit" * (i % 3), str(i % 5), None) for i in range(60)]
     archive = spark.createDataFrame(data, SNAPSHOT)
-    feed = ChangeFeed(spark, f"{place}/records", f"{place}/state", lambda: archive, method="lines", compact_every=2)
+    feed = ChangeFeed(spark, f"{place}/records", f"{place}/state", lambda: archive, compact_every=2)
     for n in range(5):
         feed.process(archive.filter(f"id div 12 = {n}"), n)
     feed.process(archive.filter("id div 12 = 4"), 4)  # the last batch again
     feed.process(archive.filter("id < 10"), 5)  # all late
     columns = ["company_id", "snapshot_id_old", "snapshot_id_new", "has_changed", "change_magnitude", "significance_classification"]
     stream = {tuple(r) for r in spark.read.parquet(f"{place}/records").select(*columns).collect()}
-    batch = change_records(archive, AS_OF, method="lines", pairing="all").select(*columns).collect()
+    batch = change_records(archive, AS_OF, pairing="all").select(*columns).collect()
     assert len(batch) == 56 and stream == {tuple(r) for r in batch}
     assert spark.read.parquet(f"{place}/records").count() == 56
+    late = spark.read.parquet(f"{place}/records-late")
+    assert {r.id for r in late.filter("batch = 5").collect()} == set(range(10))
 
 
 def plan(df):
@@ -132,3 +134,28 @@ def test_tier_counts_sum_to_companies(spark):
     statuses = spark.createDataFrame([(1, 8, "likely_closed", True)], "id long, company_id long, status string, is_manual_override boolean")
     counts = {r.tier: r.companies for r in A.freshness_counts(A.freshness_tiers(companies, snapshots, statuses, AS_OF)).collect()}
     assert counts == {"fresh": 2, "recent": 2, "stale": 2, "very_stale": 1, "never": 1, "manually_closed": 1}
+
+
+def test_appended_rows_get_ids_above_all_others(spark):
+    target = spark.createDataFrame([(7, 1, "x"), (3, 2, "y")], "id long, company_id long, status string")
+    rows = spark.range(25).selectExpr("id AS company_id", "'new' AS status").repartition(5)
+    log = W.append_log(target, rows, "me")
+    ids = [r.id for r in log.filter("performed_by = 'me'").collect()]
+    assert sorted(ids) == list(range(8, 33))
+    again = W.append_log(target.limit(0), rows.limit(2), "me")
+    assert sorted(r.id for r in again.collect()) == [1, 2]
+    assert W.append_log(target, rows.limit(0), "me").count() == 2
+
+
+def test_news_urls_are_known_for_ever(spark, place):
+    from pulsegrid.streaming.streams import stream_dedupe_news
+
+    schema = "content_url string, discovered_at timestamp_ntz, title string"
+    for n, (day, urls) in enumerate(((1, "ab"), (400, "bc"), (1, "ad"))):
+        rows = [(u, NOW + dt.timedelta(days=day, hours=h), f"{u}{n}{h}") for u in urls for h in (1, 0)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{place}/inbox")
+        stream = spark.readStream.schema(schema).parquet(f"{place}/inbox")
+        stream_dedupe_news(stream, f"{place}/out", f"{place}/progress", availableNow=True).awaitTermination()
+    got = {r.content_url: r.title for r in spark.read.parquet(f"{place}/out").collect()}
+    assert got == {"a": "a00", "b": "b00", "c": "c10", "d": "d20"}
+    assert spark.read.parquet(f"{place}/out").count() == 4
