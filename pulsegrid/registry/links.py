@@ -258,7 +258,12 @@ CASES = {
         with_tables("company_logos", """SELECT id, 1 - bit_count(xor(CAST('0x' || perceptual_hash AS UBIGINT), CAST('0x8000ffff0000f0f1' AS UBIGINT))) / 64.0::DOUBLE
             AS similarity FROM company_logos""")),
     "link_regions": Case(
-        lambda b: b["linked_pages"].select("page_id", F.inline(H.link_regions("html"))).groupBy("page_id", "href", "region").agg(F.count("*").alias("links"))),
+        lambda b: b["linked_pages"].select("page_id", F.inline(H.link_regions("html"))).groupBy("page_id", "href", "region").agg(F.count("*").alias("links")),
+        # The mapped pages have links in their navigation and in two footers.
+        with_tables("linked_pages", rf"""SELECT page_id, href, region, count(*) AS links FROM (
+            SELECT page_id, 'nav' AS region, unnest(regexp_extract_all(regexp_extract(m, '(?s)<nav>(.*?)</nav>', 1), '<a\b[^>]*?href="([^"]*)"', 1)) AS href FROM bare
+            UNION ALL SELECT page_id, 'footer', unnest(regexp_extract_all(array_to_string(regexp_extract_all(m, '(?s)<footer[^>]*>(.*?)</footer>', 1), ' '),
+              '<a\b[^>]*?href="([^"]*)"', 1)) FROM bare) GROUP BY ALL""", f"bare AS (SELECT page_id, {MARKUP} AS m FROM linked_pages)")),
     "branding_logo": Case(
         lambda b: b["linked_pages"].selectExpr(
             "page_id", "named_struct('logo', CASE WHEN page_id % 3 = 0 THEN concat('https://cdn.example.com/', page_id, '.png') WHEN page_id % 3 = 1 THEN 'https://x.com/yc-logo.svg' END, "
