@@ -26,8 +26,8 @@ def _indicator(origin: int, place: Column, kind: Column, value: Column, signal:
 def newest_texts(snapshots: DataFrame) -> DataFrame:
     """Each company's newest snapshot with its text; texts of older ones are not shuffled."""
     slim = snapshots.select("company_id", "id", "captured_at")
-    newest = latest_per_key(slim, ["company_id"], ["captured_at", "id"]).select("id")
-    return snapshots.join(newest, "id", "left_semi")
+    newest = latest_per_key(slim, ["company_id"], ["captured_at", "id"]).select("company_id", "id")
+    return snapshots.join(newest, ["company_id", "id"], "left_semi")
 
 
 def snapshot_indicators(newest: DataFrame, as_of) -> DataFrame:
@@ -65,8 +65,8 @@ def posting_activity(social_snapshots: DataFrame, as_of, threshold_days: int = 3
     source = social_snapshots
     if "latest_post_date" not in source.columns:
         newest = latest_with_ties(source.select("id", "company_id", "source_url", "captured_at"),
-                                  ["company_id", "source_url"], "captured_at").select("id")
-        source = source.join(newest, "id", "left_semi").withColumn(
+                                  ["company_id", "source_url"], "captured_at").select("company_id", "id")
+        source = source.join(newest, ["company_id", "id"], "left_semi").withColumn(
             "latest_post_date", latest_post_date("content_markdown", as_of))
     else:
         source = latest_with_ties(source, ["company_id", "source_url"], "captured_at")
@@ -228,8 +228,8 @@ def analyze_status(
     latest = current_status(statuses.select("id", "company_id", "status", "is_manual_override")).select(
         "company_id", "status", F.coalesce("is_manual_override", F.lit(False)).alias("manual"))
     history = capture_history(snapshots)
-    newest = history.select(F.col("newest_id").alias("id"))
-    pages = snapshots.join(newest, "id", "left_semi").filter(F.coalesce("content_markdown", F.lit("")) != "")
+    newest = history.select("company_id", F.col("newest_id").alias("id"))
+    pages = snapshots.join(newest, ["company_id", "id"], "left_semi").filter(F.coalesce("content_markdown", F.lit("")) != "")
     if "http_last_modified" not in pages.columns:
         pages = pages.withColumn("http_last_modified", F.lit(None).cast("timestamp_ntz"))
     subjects = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 VERDICT = """significance_classification string, significance_sentiment string, significance_confidence double,
@@ -65,3 +66,17 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 def read(spark: SparkSession, table: str, path: str) -> DataFrame:
     """A stored table; columns added later are NULL in older files."""
     return spark.read.schema(schema(table)).parquet(path)
+
+
+def store(df: DataFrame, table: str, name: str, buckets: int = 200, path: str | None = None) -> None:
+    """Write ``df`` as the catalog table ``name``, in the declared columns, bucketed by company.
+
+    All rows of a company lie in one bucket, sorted, so windows and joins by company read the
+    table where it lies: page texts aren't shuffled. Columns that ``df`` lacks are NULL; tables
+    without a company are bucketed by id.
+    """
+    declared = schema(table)
+    owner = "company_id" if "company_id" in declared.names else "id"
+    columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in declared]
+    writer = df.select(*columns).write.mode("overwrite").bucketBy(buckets, owner).sortBy(owner)
+    (writer.option("path", path) if path else writer).saveAsTable(name)

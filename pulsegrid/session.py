@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Tables bucketed by company (``schemas.store``) serve joins on company and id where they lie.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # Page texts are large: an Arrow batch is bounded by its size, not only by its rows.
     "spark.sql.execution.arrow.maxBytesPerBatch": "64MB",
     # Column expressions are built in bulk; recording a call site for each is slow.
