@@ -60,11 +60,20 @@ def fingerprints(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
 CROWD = 64
 
 
-def _halves(df: DataFrame) -> DataFrame:
-    """Two rows for each fingerprint: the half it is looked up by, and the other one."""
-    low, high = F.col("fp").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("fp", 32)
-    entry = lambda seg, v, rest: F.struct(F.lit(seg).cast("byte").alias("seg"), v.alias("v"), rest.alias("rest"))
-    return df.select("space", "fp", F.inline(F.array(entry(0, low, high), entry(1, high, low))))
+#: A table entry's key: space and half in the high bits, the half's value in the low 32.
+_LOW = 0xFFFFFFFF
+
+
+def _half(fp: Column, key: Column, own: bool) -> Column:
+    """The half of ``fp`` that ``key`` looks up, or the other one."""
+    low = key.bitwiseAND(1 << 32) == 0
+    return F.when(low if own else ~low, fp.bitwiseAND(_LOW)).otherwise(F.shiftrightunsigned(fp, 32))
+
+
+def _keys(values: Column, seg: int) -> Column:
+    """Keys of several values of one half."""
+    base = F.shiftleft(F.col("space").cast("bigint") * 2 + seg, 32)
+    return F.transform(values, lambda v: base.bitwiseOR(v))
 
 
 def _ball(value: Column) -> Column:
@@ -94,26 +103,32 @@ def hamming_links(prints: DataFrame) -> DataFrame:
     these links is itself at most three bits long.
     """
     prints = prints.select("space", "fp").distinct()
-    homes = _halves(prints)
-    sizes = homes.groupBy("space", "seg", "v").agg(F.count("*").alias("n"))
-    key = ["space", "seg", "v"]
-    crowded = sizes.where(F.col("n") > CROWD).select(*key)
-    probes = homes.select("space", "seg", F.explode(_ball(F.col("v"))).alias("p"), "v", "fp", "rest").select(
-        "space", "seg", F.col("p").alias("v"), "fp", "rest", (F.col("p") != F.col("v")).alias("visit"))
-    few = homes.join(crowded, key, "left_anti").select(*key, F.col("fp").alias("other"))
+    low, high = F.col("fp").bitwiseAND(_LOW), F.shiftrightunsigned("fp", 32)
+    both = lambda values: F.explode(F.concat(_keys(values(low), 0), _keys(values(high), 1))).alias("key")
+    homes = prints.select("fp", both(F.array))
+    probes = prints.select("fp", both(_ball)).where("fp is not null and key is not null")
+    sizes = homes.groupBy("key").agg(F.count("*").alias("n"))
+    crowded = stored(sizes.where(F.col("n") > CROWD).select("key"))
+    any_crowd = not crowded.isEmpty()
     # Merge joins by hint: the size of the stored fingerprints says nothing of their exploded balls.
-    near = probes.join(few.hint("merge"), key).where(
-        (F.col("visit") | (F.col("fp") < F.col("other"))) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE))
-    direct = near.select("space", F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    alone = probes.join(crowded.hint("merge"), "key", "left_anti") if any_crowd else probes
+    few = homes.join(crowded, "key", "left_anti") if any_crowd else homes
+    visit = _half(F.col("fp"), F.col("key"), True) != F.col("key").bitwiseAND(_LOW)
+    space = F.shiftright("key", 33).cast("byte").alias("space")
+    near = alone.join(few.select("key", F.col("fp").alias("other")).hint("merge"), "key").where(
+        (visit | (F.col("fp") < F.col("other"))) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= DISTANCE))
+    direct = near.select(space, F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    if not any_crowd:
+        return direct
 
     # A value that is shared: hubs in the other half. One bit is spent on a visit's own half.
-    busy = probes.join(crowded.hint("merge"), key)
-    hubs = busy.where(~F.col("visit")).select(*key, "fp", F.lit(False).alias("visit"), F.inline(_within(F.col("rest"), 2)))
-    hubs = hubs.union(busy.where("visit").select(*key, "fp", F.lit(True).alias("visit"), F.inline(_within(F.col("rest"), 1))))
-    at = [*key, "hub"]
+    busy = probes.join(crowded.hint("merge"), "key").select("key", "fp", visit.alias("visit"), _half(F.col("fp"), F.col("key"), False).alias("rest"))
+    hubs = busy.where(~F.col("visit")).select("key", "fp", "visit", F.inline(_within(F.col("rest"), 2)))
+    hubs = hubs.union(busy.where("visit").select("key", "fp", "visit", F.inline(_within(F.col("rest"), 1))))
+    at = ["key", "hub"]
     centre = hubs.where(~F.col("visit") & (F.col("d") <= 1)).groupBy(*at).agg(F.min("fp").alias("centre"))
     star = hubs.join(centre.hint("merge"), at).where("fp <> centre").select(
-        "space", F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
+        space, F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
     return direct.union(star).distinct()
 
 
