@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 
+#: Bytes of an Arrow batch, so that a task's Python side holds little of long texts at once.
+_BATCH, _BATCH_SETTING = "8MB", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches where the session still has Spark's own, larger default."""
+    if spark.conf.get(_BATCH_SETTING) in ("67108864b", "64MB"):
+        spark.conf.set(_BATCH_SETTING, _BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +33,7 @@ def stored(df: DataFrame) -> DataFrame:
     Cuts the lineage: what follows neither repeats the work nor depends on the executors that
     did it.
     """
+    small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
