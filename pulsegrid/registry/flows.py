@@ -12,7 +12,7 @@ from ..operators.latest import snapshot_pairs
 from ..plans.full_scan import full_scan
 from ..session import shared_dir
 from ..sources.testbed import CAPTURES_AS_OF
-from ..streaming.streams import ChangeFeed, stream_dedupe_news
+from ..streaming.streams import ChangeFeed, stream_dedupe_news, with_bucket
 from .case import Case, joined, stamp, with_tables
 from .signals import DEFAULT_OPTIONS, KEPT, RECORD, changes_sql, hits_sql, records, terms_sql, verdict_sql
 
@@ -49,10 +49,10 @@ def streamed_changes(b):
     place = fresh_dir(b.spark, "changes")
     captures = b["snapshots"].drop("baseline_classification", "baseline_sentiment", "http_last_modified")
     inbox = f"{place}/inbox"
-    feed = ChangeFeed(b.spark, f"{place}/records", f"{place}/state", lambda: b.spark.read.parquet(inbox), terms=KEPT)
+    feed = ChangeFeed(b.spark, f"{place}/records", f"{place}/state", lambda: b.spark.read.parquet(inbox), terms=KEPT, buckets=8)
     for part in range(3):
         due = captures.filter(F.floor((F.datediff("captured_at", F.lit("2024-01-01").cast("date"))) / 11) == part)
-        due.write.mode("append").parquet(inbox)
+        with_bucket(due, 8).write.mode("append").partitionBy("bucket").parquet(inbox)
         stream = b.spark.readStream.schema(captures.schema).parquet(inbox)
         feed.start(stream, f"{place}/progress", availableNow=True).awaitTermination()
     return records(b.spark.read.parquet(f"{place}/records"), "company_id")

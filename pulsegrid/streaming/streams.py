@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ from ..operators.latest import latest_per_key, snapshot_pairs
 from ..session import shared_dir
 
 
+def with_bucket(rows: DataFrame, buckets: int, key: str = "company_id") -> DataFrame:
+    """``rows`` with the column ``bucket`` by which an archive is to be partitioned."""
+    return rows.withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets)))
+
+
 class ChangeFeed:
     """A change record for every new snapshot against the one before it, batch by batch.
 
@@ -23,15 +29,19 @@ class ChangeFeed:
     and state into folders of its own number, so a batch that is run again replaces what
     it wrote. Snapshots not newer than their key's state are late: they get no record, and go to
     the folder ``<records_dir>-late`` with the time of the state they came after.
+
+    With ``buckets`` the archive is partitioned by ``with_bucket`` of that many, and so is the
+    state: a batch then reads the buckets of its own companies only.
     """
 
     def __init__(
         self, spark: SparkSession, records_dir: str, state_dir: str, archive: Callable[[], DataFrame],
         policy: Policy = HOMEPAGE, terms: Sequence[Term] | None = None, compact_every: int = 100,
+        buckets: int | None = None,
     ) -> None:
         self.spark, self.records_dir, self.state_dir = spark, records_dir, state_dir
         self.archive, self.policy, self.terms = archive, policy, terms
-        self.compact_every = compact_every
+        self.compact_every, self.buckets = compact_every, buckets
 
     def _exists(self, path: str) -> bool:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -42,16 +52,29 @@ class ChangeFeed:
         base = (batch_id - 1) // self.compact_every * self.compact_every if batch_id > 0 else 0
         parts = [f"{self.state_dir}/full={base}"] + [f"{self.state_dir}/batch={n}" for n in range(base, batch_id)]
         present = [p for p in parts if self._exists(p)]
-        return self.spark.read.parquet(*present) if present else None
+        return reduce(DataFrame.unionByName, (self.spark.read.parquet(p) for p in present)) if present else None
+
+    def _own_buckets(self, rows: DataFrame, wanted: list[int]) -> DataFrame:
+        return rows.filter(F.col("bucket").isin(wanted)).drop("bucket") if self.buckets else rows
+
+    def _write_state(self, rows: DataFrame, path: str) -> None:
+        if self.buckets:
+            with_bucket(rows, self.buckets).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        wanted: list[int] = []
+        if self.buckets:  # at most as many numbers as there are buckets
+            batch = with_bucket(batch, self.buckets)
+            wanted = [r.bucket for r in batch.select("bucket").distinct().collect()]
         keys = list(self.policy.keys)
         slim = batch.select(*keys, *self.policy.carried, "id", "captured_at", "content_checksum", "error_message",
                             F.col("content_markdown").isNotNull().alias("has_content"))
         history = self.state_before(batch_id)
         rows = slim
         if history is not None:
-            touched = history.join(slim.select(*keys).distinct(), keys, "left_semi")
+            touched = self._own_buckets(history, wanted).join(slim.select(*keys).distinct(), keys, "left_semi")
             last = latest_per_key(touched, keys, ["captured_at", "id"])
             mark = last.select(*keys, F.struct("captured_at", "id").alias("__last"))
             marked = slim.join(mark, keys, "left")
@@ -62,18 +85,18 @@ class ChangeFeed:
             rows = fresh.unionByName(last.select(*fresh.columns))
         pairs = snapshot_pairs(
             rows, keys, "all", carry=("content_checksum", "error_message", "has_content", *self.policy.carried))
-        source = self.archive()
+        source = self._own_buckets(self.archive(), wanted)
         records = change_records(
             source, F.lit(None), policy=self.policy, terms=self.terms, pairing="all", pairs=pairs)
         times = rows.select(F.col("id").alias("snapshot_id_new"), F.col("captured_at").alias("detected_at"))
         stamped = records.drop("detected_at").join(times, "snapshot_id_new")
         stamped.write.mode("overwrite").parquet(f"{self.records_dir}/batch={batch_id}")
         newest = latest_per_key(rows, keys, ["captured_at", "id"])
-        newest.write.mode("overwrite").parquet(f"{self.state_dir}/batch={batch_id}")
+        self._write_state(newest, f"{self.state_dir}/batch={batch_id}")
         if (batch_id + 1) % self.compact_every == 0:
             everything = self.state_before(batch_id + 1)
-            latest_per_key(everything, keys, ["captured_at", "id"]).write.mode("overwrite").parquet(
-                f"{self.state_dir}/full={batch_id + 1}")
+            everything = everything.drop("bucket") if self.buckets else everything
+            self._write_state(latest_per_key(everything, keys, ["captured_at", "id"]), f"{self.state_dir}/full={batch_id + 1}")
 
     def start(self, snapshots: DataFrame, checkpoint: str | None = None, **trigger) -> StreamingQuery:
         writer = snapshots.writeStream.foreachBatch(self.process).option(

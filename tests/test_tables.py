@@ -14,7 +14,7 @@ from pulsegrid.operators import tables as W
 from pulsegrid.operators.changes import change_records
 from pulsegrid.session import cut_lineage, shared_dir
 from pulsegrid.sources import feeds as X
-from pulsegrid.streaming.streams import ChangeFeed
+from pulsegrid.streaming.streams import ChangeFeed, with_bucket
 
 NOW = dt.datetime(2024, 2, 1)
 AS_OF = "2024-02-01 00:00:00"
@@ -97,10 +97,12 @@ def test_documents_find_companies(spark):
 SNAPSHOT = "id long, company_id long, captured_at timestamp_ntz, content_markdown string, content_checksum string, error_message string"
 
 
-def test_stream_equals_batch_and_reruns(spark, place):
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_stream_equals_batch_and_reruns(spark, place, buckets):
     data = [(i, i % 4, NOW + dt.timedelta(hours=i), f"text {i % 5} lawsuit" * (i % 3), str(i % 5), None) for i in range(60)]
     archive = spark.createDataFrame(data, SNAPSHOT)
-    feed = ChangeFeed(spark, f"{place}/records", f"{place}/state", lambda: archive, compact_every=2)
+    stored = with_bucket(archive, buckets) if buckets else archive
+    feed = ChangeFeed(spark, f"{place}/records", f"{place}/state", lambda: stored, compact_every=2, buckets=buckets)
     for n in range(5):
         feed.process(archive.filter(f"id div 12 = {n}"), n)
     feed.process(archive.filter("id div 12 = 4"), 4)  # the last batch again
