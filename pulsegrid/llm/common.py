@@ -13,7 +13,7 @@ from ..session import shared_dir
 
 
 #: Bytes of an Arrow batch, so that a task's Python side holds little of long texts at once.
-_BATCH, _BATCH_SETTING = "8MB", "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH, _BATCH_SETTING = "2MB", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -139,6 +139,7 @@ def _rows(parts: Iterator[pd.DataFrame], path: str, digest: bool) -> Iterator[pd
                         if digest else (values.astype(np.int32), decoded))
         made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["ids", "decoded"])
         yield pd.concat([df[["doc_id"]].reset_index(drop=True), made], axis=1)
+    table.remembered.clear()  # a worker may next serve another stage
 
 
 def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, digest: bool, fields: str) -> DataFrame:

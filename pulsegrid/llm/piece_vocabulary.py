@@ -10,7 +10,7 @@ import sentencepiece
 
 SPACE = "▁"
 #: Entries of a task's memory of pairs, pieces of text or states; a full one is emptied.
-MEMORY = 300_000
+MEMORY = 200_000
 
 
 class Memory(dict):
