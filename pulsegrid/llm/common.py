@@ -61,10 +61,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Powers of the two bases, kept up to a length.
+_KEPT, _KEPT_LENGTH = {}, 1 << 19
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+    kept = _KEPT.get(base)
+    if kept is not None and n <= len(kept):
+        return kept[:n]
+    size = max(n, _KEPT_LENGTH)
+    out = np.full(size, base, np.uint64)
     out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    out = np.cumprod(out, dtype=np.uint64)
+    if size == _KEPT_LENGTH:
+        _KEPT[base] = out
+    return out[:n]
 
 
 class Runs:
