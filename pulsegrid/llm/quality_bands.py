@@ -33,8 +33,8 @@ BANDS = (
     Band(0, 0.0, 3.0), Band(128, 0.9, 2.6), Band(256, 1.15, 2.8), Band(512, 1.25, 3.0), Band(1024, 1.35, 3.3),
     Band(4096, 1.45, 4.0), Band(16384, 1.55, 4.5), Band(65536, 1.6, 5.5),
 )
-#: The kept ratios of whole chunks, and the share of chunks that may lie outside.
-CHUNK_BAND, CHUNK_SHARE = Band(CHUNK, 1.3, 3.6), 0.25
+#: The kept ratios of chunks (base64 has 1.31 to 1.33), and the share of chunks that may lie outside.
+CHUNK_BAND, CHUNK_SHARE = Band(CHUNK, 1.4, 3.6), 0.25
 MIN_WORDS, SYMBOLS = 50, b"#*$%&|<>"
 
 SCHEMA = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -66,6 +66,8 @@ def measure(data: bytes, compressor: zstandard.ZstdCompressor) -> tuple:
     band = max(b for b in BANDS if b.size <= len(data))
     ratio = len(data) / len(compressor.compress(data))
     chunks = [data[i:i + CHUNK] for i in range(0, len(data) - CHUNK + 1, CHUNK)]
+    if len(data) > CHUNK and len(data) % CHUNK:
+        chunks.append(data[-CHUNK:])
     outside = sum(not CHUNK_BAND.low <= len(c) / len(compressor.compress(c)) <= CHUNK_BAND.high for c in chunks)
     kept = not failed and band.low <= ratio <= band.high and outside <= CHUNK_SHARE * len(chunks)
     return (len(words), word_chars, sum(int(tally[s]) for s in SYMBOLS), len(lines) - len(set(lines)), n_repeat, failed,
@@ -77,8 +79,9 @@ def quality(text: Column) -> Column:
 
     NULL counts as empty. A text of fewer than 50 words, or with more than half of its words in
     repeated windows, fails the base rules. Otherwise it is kept if its ratio lies in the band for
-    its length and at most a quarter of its whole chunks lie outside the chunk band; ends shorter
-    than a chunk count in the whole ratio only.
+    its length and at most a quarter of its chunks lie outside the chunk band. The last chunk is
+    the text's final 4 KB, whatever it shares with the one before; a text shorter than a chunk has
+    the whole ratio only.
     """
 
     def each(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import random
 import re
 import string
@@ -54,3 +55,15 @@ def test_stage_keeps_clean_documents(spark, corpus):
     assert out.columns == docs.columns
     assert [r.text for r in out.collect()] == [prose, prose]
     assert corpus_pipeline.quality_rules(spark, docs.limit(0), "").count() == 0
+
+
+def test_base64_tail_is_outside(corpus):
+    """Encoded bytes at the end of a clean text count, though they fill no whole chunk."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(words) for _ in range(3000))
+    tail = base64.b64encode(rng.randbytes(6000)).decode()
+    texts = [prose[:4150] + tail[:3900], prose[:4096] + tail[:4096], prose[:8050], prose[:4097], prose[:4096]]
+    rows = {r.doc_id: r for r in qb.quality_report(corpus(texts)).collect()}
+    assert [rows[i].kept for i in range(5)] == [False, False, True, True, True]
+    assert [rows[i].n_chunks for i in range(5)] == [2, 2, 2, 2, 1]
