@@ -135,8 +135,9 @@ def _candidates(text: Column) -> Column:
     decide = lambda yes, no: F.when(yes, F.lit(1)).when(no, F.lit(0))
 
     def address(x: Column) -> Column:
-        at = x["s"].contains("@")
-        return row("email", x, x["start"], x["end"], decide(x["s"].rlike("^[^@]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+$"), at & ~x["s"].contains(".")))
+        """An address, written out or not, ends in a dot and a domain of letters; written out ones that do are undecided."""
+        domain, plain = x["s"].rlike("(\\.|[\\[(]dot[\\])]\\x20?)[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]$"), x["s"].contains("@")
+        return row("email", x, x["start"], x["end"], decide(domain & plain & ~x["s"].rlike("[\\[(]dot"), ~domain))
 
     def dotted(x: Column) -> Column:
         return row("ip", x, x["start"], x["end"], decide(_small_parts(x["s"]), ~_small_parts(x["s"])))
@@ -180,7 +181,8 @@ def fit_scorer(found: DataFrame, precision: float = PRECISION) -> Scorer:
     """Trees and thresholds from ``found(fold, candidates)``; fold 1 calibrates, fold 0 fits.
 
     The counts gathered have at most one row for each pattern of features that occurs, per kind
-    and fold. A kind without a refuted candidate in fold 1 can't be calibrated and selects nothing.
+    and fold. A kind without a refuted candidate in fold 1 selects what the trees give a
+    probability of ``precision`` or more, at every size of table.
     """
     decided = found.select("fold", F.inline("candidates")).where("label is not null")
     rows = decided.groupBy("fold", "kind", "bits").agg(
@@ -194,17 +196,21 @@ def fit_scorer(found: DataFrame, precision: float = PRECISION) -> Scorer:
     for k in range(len(KINDS)):
         own = kinds == k
         calibrated = no[own].sum() >= MIN_NEGATIVES
-        limits.append(threshold(raw[own], yes[own], no[own], precision) if calibrated else float("inf"))
+        limits.append(threshold(raw[own], yes[own], no[own], precision) if calibrated else float(np.log(precision / (1 - precision))))
     return Scorer(model, tuple(limits))
 
 
 def _selected(candidates: Column, base: Column, scorer: Scorer) -> Column:
-    """Candidates the trees select that no base span holds, as spans; of overlapping ones, those that begin first."""
+    """Candidates the trees select that no base span holds, as spans; of overlapping ones, those that begin first.
+
+    What ends in no domain is no address, whatever its score.
+    """
     def chosen(c: Column) -> Column:
         marks = F.array(*(F.lit(1 << (len(FEATURES) + k)) for k in range(len(KINDS))))
         packed = c["bits"].bitwiseOR(F.element_at(marks, c["kind"] + 1))
         enough = F.element_at(F.array(*(F.lit(float(t)) for t in scorer.thresholds)), c["kind"] + 1)
-        return (scorer.model.column(packed) >= enough) & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+        refuted = (c["kind"] == KINDS.index("email")) & F.coalesce(c["label"] == 0, F.lit(False))
+        return (scorer.model.column(packed) >= enough) & ~refuted & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
 
     picked = F.array_sort(F.transform(F.filter(candidates, chosen), lambda c: F.struct(c["start"], c["kind"], c["end"])))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
