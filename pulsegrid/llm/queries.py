@@ -14,6 +14,7 @@ from .piece_encoding import encoding_digests
 from .pii_boosting import KINDS, find_personal_data, written
 from .quality_bands import quality_report
 from .radix_windows import repeat_digests
+from .seekable_frames import fill_in_middle_digests, fill_in_middle_sql
 from .simhash_index import near_duplicate_classes
 from .string_tiling import leaked_items
 from .token_transducer import token_counts
@@ -67,8 +68,12 @@ def op10_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir), public_tokenizers.path(MODEL))
 
 
+def op12_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_passage_chaining, op2_simhash_index, op3_license_scan, op4_quality_bands, op5_language_mixture, op6_string_tiling,
-    op7_piece_encoding, op8_radix_windows, op9_pii_boosting, op10_token_transducer)}
+    op7_piece_encoding, op8_radix_windows, op9_pii_boosting, op10_token_transducer, op12_seekable_frames)}
 #: The others have no SQL form (hashes, compression, fitted models, piece tables) and are tested by brute force.
-SQL = {"op3_license_scan": license_sql()}
+SQL = {"op3_license_scan": license_sql(), "op12_seekable_frames": fill_in_middle_sql()}
