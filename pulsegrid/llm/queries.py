@@ -10,6 +10,7 @@ from .common import table
 from .language_mixture import identify_held_out
 from .license_scan import license_labels, license_sql
 from .passage_chaining import repeated_passages
+from .pattern_packing import pack_documents
 from .piece_encoding import encoding_digests
 from .pii_boosting import KINDS, find_personal_data, written
 from .quality_bands import quality_report
@@ -19,7 +20,7 @@ from .simhash_index import near_duplicate_classes
 from .string_tiling import leaked_items
 from .token_transducer import token_counts
 
-MODEL = "piece_bpe_32k.model"
+MODEL, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def op1_passage_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +73,12 @@ def op12_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, sf_dir))
 
 
+def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir), public_tokenizers.path(BYTES))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_passage_chaining, op2_simhash_index, op3_license_scan, op4_quality_bands, op5_language_mixture, op6_string_tiling,
-    op7_piece_encoding, op8_radix_windows, op9_pii_boosting, op10_token_transducer, op12_seekable_frames)}
+    op7_piece_encoding, op8_radix_windows, op9_pii_boosting, op10_token_transducer, op12_seekable_frames, op13_pattern_packing)}
 #: The others have no SQL form (hashes, compression, fitted models, piece tables) and are tested by brute force.
 SQL = {"op3_license_scan": license_sql(), "op12_seekable_frames": fill_in_middle_sql()}
