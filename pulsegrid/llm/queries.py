@@ -13,6 +13,7 @@ from .passage_chaining import repeated_passages
 from .pattern_packing import pack_documents
 from .piece_encoding import encoding_digests
 from .pii_boosting import KINDS, find_personal_data, written
+from .presence_masks import search_documents, search_sql
 from .quality_bands import quality_report
 from .radix_windows import repeat_digests
 from .seekable_frames import fill_in_middle_digests, fill_in_middle_sql
@@ -69,6 +70,10 @@ def op10_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir), public_tokenizers.path(MODEL))
 
 
+def op11_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_documents(table(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op12_seekable_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, sf_dir))
 
@@ -79,6 +84,6 @@ def op13_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_passage_chaining, op2_simhash_index, op3_license_scan, op4_quality_bands, op5_language_mixture, op6_string_tiling,
-    op7_piece_encoding, op8_radix_windows, op9_pii_boosting, op10_token_transducer, op12_seekable_frames, op13_pattern_packing)}
+    op7_piece_encoding, op8_radix_windows, op9_pii_boosting, op10_token_transducer, op11_presence_masks, op12_seekable_frames, op13_pattern_packing)}
 #: The others have no SQL form (hashes, compression, fitted models, piece tables) and are tested by brute force.
-SQL = {"op3_license_scan": license_sql(), "op12_seekable_frames": fill_in_middle_sql()}
+SQL = {"op3_license_scan": license_sql(), "op11_presence_masks": search_sql(), "op12_seekable_frames": fill_in_middle_sql()}
