@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..functions import markup as M
 from ..functions import urls as U
 from ..functions.text import hash_similarity
 from ..operators import links as L
 from ..operators import timelines as G
 from ..operators.logos import branding_logo, similar_logos
+from ..operators.page_logos import page_logos
 from ..sources.testbed import CAPTURES_AS_OF
 from .case import Case, joined, with_tables
 
@@ -258,7 +260,7 @@ CASES = {
         with_tables("company_logos", """SELECT id, 1 - bit_count(xor(CAST('0x' || perceptual_hash AS UBIGINT), CAST('0x8000ffff0000f0f1' AS UBIGINT))) / 64.0::DOUBLE
             AS similarity FROM company_logos""")),
     "link_regions": Case(
-        lambda b: b["linked_pages"].select("page_id", F.inline(H.link_regions("html"))).groupBy("page_id", "href", "region").agg(F.count("*").alias("links")),
+        lambda b: b["linked_pages"].select("page_id", F.inline(M.link_regions("html"))).groupBy("page_id", "href", "region").agg(F.count("*").alias("links")),
         # The mapped pages have links in their navigation and in two footers.
         with_tables("linked_pages", rf"""SELECT page_id, href, region, count(*) AS links FROM (
             SELECT page_id, 'nav' AS region, unnest(regexp_extract_all(regexp_extract(m, '(?s)<nav>(.*?)</nav>', 1), '<a\b[^>]*?href="([^"]*)"', 1)) AS href FROM bare
@@ -271,4 +273,12 @@ CASES = {
         ).select("page_id", branding_logo().alias("logo")),
         with_tables("linked_pages", """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN concat('https://cdn.example.com/', page_id, '.png')
             ELSE concat('https://cdn.example.com/og', page_id, '.png') END AS logo FROM linked_pages""")),
+    "page_logos": Case(
+        lambda b: page_logos(b["logo_pages"]),
+        # What each arrangement was made to show.
+        with_tables("logo_pages", """SELECT page_id, CASE kind WHEN 0 THEN concat('/p', page_id, '.png') WHEN 1 THEN concat('/h', page_id, '.png')
+            WHEN 2 THEN concat('/n', page_id, '.png') WHEN 3 THEN concat('/b', page_id, '.png') WHEN 4 THEN '/touch.png' WHEN 5 THEN '/og.png'
+            WHEN 6 THEN concat('/f', page_id, '.png') WHEN 7 THEN '/s.ico' ELSE '/glued.png' END AS source_url,
+            CASE kind WHEN 0 THEN 'jsonld' WHEN 1 THEN 'header' WHEN 2 THEN 'header' WHEN 4 THEN 'favicon' WHEN 5 THEN 'og_image' WHEN 7 THEN 'favicon' ELSE 'body' END
+            AS extraction_location FROM logo_pages WHERE kind < 9""")),
 }

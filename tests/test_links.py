@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import html as H
+from pulsegrid.functions import markup as M
 from pulsegrid.functions import urls as U
 from pulsegrid.operators.links import classify_accounts, discover_links, page_links
 from pulsegrid.operators.logos import malformed_hashes, similar_logos
@@ -74,7 +75,7 @@ def test_embedded_tweets_drop_untrusted_profiles(spark):
 
 def test_regions(spark):
     pages = spark.createDataFrame([(1, PAGE)], "page_id long, html string")
-    got = {r.href: r.region for r in pages.select(F.inline(H.link_regions("html"))).collect()}
+    got = {r.href: r.region for r in pages.select(F.inline(M.link_regions("html"))).collect()}
     assert got == {"/": "header", "/press?a=1&b=2": "nav", "https://twitter.com/fan/status/12": "main", "https://twitter.com/fan": "main",
                    "https://www.youtube.com/@initech/videos": "main", "https://instagram.com/initech": "footer", "https://fb.com/initech": "footer"}
 
