@@ -202,7 +202,7 @@ MAPPINGS: dict[str, tuple[str, tuple[str, ...]]] = {
         "WHEN 1 THEN concat('<script type=\"application/ld+json\">{\"@type\": \"Corporation\", \"logo\": \"/yc-logo.png\"}</script><header><a href=\"/about\"><img src=\"/no.png\"></a><a href=\"/\"><b><img src=\"/h', CAST(page_id AS VARCHAR(20)), '.png\"></b></a></header>') "
         "WHEN 2 THEN concat('</div><nav><ul><li><img class=\"Brand\" src=\"/n', CAST(page_id AS VARCHAR(20)), '.png\"></nav>') "
         "WHEN 3 THEN concat('<section><h2>Trusted  by</h2><div><img class=\"logo\" src=\"/w.png\"></div></section><main><img alt=\"our logo\" src=\"/b', CAST(page_id AS VARCHAR(20)), '.png\"></main>') "
-        "WHEN 4 THEN '<section><div><img class=\"logo\" src=\"/w.png\"><p>unclosed</div><h3>Our <b>partners</b></h3></section><link rel=\"icon\" href=\"/i.ico\"><link rel=\"apple-touch-icon\" href=\"/touch.png\">' "
+        "WHEN 4 THEN '<section><div><img class=\"logo\" src=\"/w.png\"><p>unclosed</div><h3>Our partners</h3></section><link rel=\"icon\" href=\"/i.ico\"><link rel=\"apple-touch-icon\" href=\"/touch.png\">' "
         "WHEN 5 THEN '<div id=\"logo-wall\"><span><img class=\"logo\" src=\"/w.png\"></span></div><meta property=\"og:image\" content=\"/og.png\">' "
         "WHEN 6 THEN concat('<section><h2>Used by</h2><ul><li><p><a><b><i><img class=\"logo\" src=\"/f', CAST(page_id AS VARCHAR(20)), '.png\"></i></b></a></p></li></ul></section>') "
         "WHEN 7 THEN '<header><a href=\"/\"><img alt=\"Google Play\" src=\"/g.png\"><img src=\"/second.png\"></a></header><link rel=\"shortcut icon\" href=\"/s.ico\">' "
