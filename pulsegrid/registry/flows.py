@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.changes import backfill_significance
-from ..operators.latest import snapshot_pairs
-from ..plans.full_scan import full_scan
+from ..operators.latest import current_status, snapshot_pairs
+from ..plans.full_scan import full_scan, stages
+from ..plans.stored_scan import stored_scan
 from ..session import shared_dir
+from ..sources.bucketed import BucketedTable
 from ..sources.testbed import CAPTURES_AS_OF
 from ..streaming.streams import ChangeFeed, stream_dedupe_news, with_bucket
 from .case import Case, joined, stamp, with_tables
-from .signals import DEFAULT_OPTIONS, KEPT, RECORD, changes_sql, hits_sql, records, terms_sql, verdict_sql
+from .signals import (
+    DEFAULT_OPTIONS, KEPT, RECORD, STATUS_CTES, STATUS_TABLES, changes_sql, hits_sql, late_news, notices, records, terms_sql, verdict_sql)
+from .stores import INSERT_SQL, LINK_KEYS
 
 MAGNITUDE = "CASE new_id % 3 WHEN 0 THEN 'minor' WHEN 1 THEN 'moderate' ELSE 'major' END"
 
@@ -79,6 +83,47 @@ def scanned(b):
     return full_scan(tables, CAPTURES_AS_OF)[1].select("stage", "outcome", "rows")
 
 
+def merged_in_place(b):
+    """Links in a table in place: inserted, patched and deleted, each batch twice."""
+    links = b["social_media_links"].select("id", "company_id", "profile_url", "platform")
+    table = BucketedTable(b.spark, fresh_dir(b.spark, "links"), "social_media_links", 16)
+    table.append("start", links.filter("id % 4 = 0"))
+    patch = links.filter("id % 5 = 0").selectExpr("id", "'patched' AS platform")
+    for _ in range(2):
+        table.insert_ignore("more", links.filter("id % 4 <> 0"), LINK_KEYS, ["id"])
+        table.update_by_key("patch", patch, ["id"], ["platform"])
+        table.delete("less", links.filter("id % 7 = 3").select("id"))
+    return table.read().select("id", "company_id", "profile_url", "platform")
+
+
+def upserted_in_place(b):
+    """Companies in a table in place, fed twice with half of them, some by a new name."""
+    table = BucketedTable(b.spark, fresh_dir(b.spark, "companies"), "companies", 16)
+    table.append("start", b["companies"])
+    fed = b["companies"].filter("id % 2 = 0").selectExpr(
+        "id + 1000000 AS id", "CASE WHEN id % 4 = 0 THEN name ELSE concat('New ', name) END AS name", "homepage_url", "'IMPORT' AS source_sheet")
+    for _ in range(2):
+        table.upsert("feed", fed, ["name", "homepage_url"], ["source_sheet"], ["id"])
+    return table.read().select("id", "name", "homepage_url", "source_sheet")
+
+
+def resumed(b):
+    """The tables of a run whose last stage failed at first, and which then went on."""
+    place = fresh_dir(b.spark, "scan")
+    frames = {
+        "companies": b["companies"], "snapshots": notices(b), "company_statuses": b["company_statuses"], "change_records": None,
+        "social_media_snapshots": b["social_media_snapshots"], "news_articles": late_news(b).withColumn("matched_categories", T.json_array("matched_categories")), "leadership_changes": b["leadership_changes"]}
+    tables = {n: BucketedTable(b.spark, f"{place}/{n}", n, 8) for n in frames}
+    for name, df in frames.items():
+        if df is not None:
+            tables[name].append("start", df)
+    lost = {n: (t, (lambda state: state["companies"].select(F.raise_error(F.lit("lost")).alias("x"))) if n == "status" else s)
+            for n, (t, s) in stages(CAPTURES_AS_OF).items()}
+    for given in (lost, None):
+        stored_scan(tables, {}, CAPTURES_AS_OF, "night", given=given)
+    return tables
+
+
 HEADERS = "map('CONTENT-type', CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' Application/XHTML+xml' ELSE 'image/png' END, 'x', 'y')"
 
 CASES = {
@@ -95,6 +140,18 @@ CASES = {
     "stream_dedupe_news": Case(
         streamed_news, with_tables("news_articles", "SELECT DISTINCT content_url FROM news_articles")),
     "full_scan": Case(scanned),
+    "merge_into_store": Case(
+        merged_in_place,
+        with_tables("social_media_links", """SELECT a.id, a.company_id, a.profile_url, CASE WHEN a.id % 5 = 0 THEN 'patched' ELSE l.platform END AS platform
+            FROM (SELECT * FROM old UNION ALL SELECT * FROM added) a JOIN social_media_links l ON l.id = a.id WHERE a.id % 7 <> 3""", INSERT_SQL)),
+    "upsert_into_store": Case(
+        upserted_in_place,
+        with_tables("companies", """SELECT id, name, homepage_url, CASE WHEN id % 4 = 0 THEN 'IMPORT' ELSE source_sheet END AS source_sheet FROM companies
+            UNION ALL SELECT id + 1000000, concat('New ', name), homepage_url, 'IMPORT' FROM companies WHERE id % 4 = 2""")),
+    "resumed_scan": Case(
+        lambda b: current_status(resumed(b)["company_statuses"].read()).select("company_id", "status"),
+        with_tables(STATUS_TABLES, """SELECT company_id, status FROM decided UNION ALL
+            SELECT company_id, status FROM latest WHERE company_id NOT IN (SELECT company_id FROM decided)""", STATUS_CTES)),
     "content_types": Case(
         lambda b: b.raw("pages").selectExpr("page_id", f"{HEADERS} AS h").select(
             "page_id", T.content_type("h").alias("type"), T.is_html(T.content_type("h")).alias("html")),
