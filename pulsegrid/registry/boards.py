@@ -299,7 +299,7 @@ CASES = {
             SELECT n.company_id, n.id AS news_id, n.published_at AS news_published_at FROM news_articles n JOIN latest s ON s.company_id = n.company_id
             JOIN companies c ON c.id = n.company_id WHERE s.status = 'operational' AND n.significance_classification = 'significant'
               AND n.significance_sentiment = 'negative' AND CAST(n.published_at AS DATE) >= DATE '2001-11-05' - 30
-            ORDER BY n.published_at DESC, n.id DESC LIMIT 50)""", NEWEST_STATUS)),
+            )""", NEWEST_STATUS)),
     "status_news_contradictions": Case(
         lambda b: S.status_news_contradictions(b["companies"], b["company_statuses"], b["news_articles"], NEWS_AS_OF, 300).select(
             "company_id", "company_name", "status_confidence", "news_id", "news_title", stamp("news_published_at")),

@@ -143,10 +143,6 @@ def url_facts(b):
         U.url_handle(u).alias("plain_handle"), U.is_utility_path(u, kind).alias("utility"))
 
 
-def logos_half(b, rest):
-    return b["company_logos"].filter(F.when(F.col("id") % 3 == 0, 1).otherwise(0) == rest)
-
-
 MERGE_SQL = """keyed AS (SELECT *, regexp_replace(lower(profile_url), '/+$', '') AS key, id % 3 = 0 AS is_new FROM social_media_links)"""
 
 CASES = {
@@ -250,10 +246,10 @@ CASES = {
             generate_subscripts(a_links, 1) AS i FROM got) WHERE u <> '' QUALIFY row_number() OVER
             (PARTITION BY company_id, regexp_replace(lower(u), '/+$', '') ORDER BY page_id, i) = 1""", FOUND_SQL)),
     "similar_logos": Case(
-        lambda b: similar_logos(logos_half(b, 0), logos_half(b, 1)),
+        lambda b: similar_logos(b["company_logos"], b["company_logos"]).filter("hash_a < hash_b"),
         with_tables("company_logos", """SELECT a.company_id, a.h AS hash_a, b.h AS hash_b, 1 - bit_count(xor(a.v, b.v)) / 64.0::DOUBLE AS similarity,
-            a.n AS logos_a, b.n AS logos_b FROM hs a JOIN hs b ON a.company_id = b.company_id AND a.half = 0 AND b.half = 1 AND 1 - bit_count(xor(a.v, b.v)) / 64.0 >= 0.85""",
-            """hs AS (SELECT company_id, perceptual_hash AS h, CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS half, CAST('0x' || perceptual_hash AS UBIGINT) AS v, count(*) AS n
+            a.n AS logos_a, b.n AS logos_b FROM hs a JOIN hs b ON a.company_id = b.company_id AND a.h < b.h AND 1 - bit_count(xor(a.v, b.v)) / 64.0 >= 0.85""",
+            """hs AS (SELECT company_id, perceptual_hash AS h, CAST('0x' || perceptual_hash AS UBIGINT) AS v, count(*) AS n
             FROM company_logos GROUP BY ALL)""")),
     "hash_similarity": Case(
         lambda b: b["company_logos"].select("id", hash_similarity("perceptual_hash", F.lit("8000ffff0000f0f1")).alias("similarity")),

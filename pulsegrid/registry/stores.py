@@ -129,6 +129,14 @@ DOCUMENTS_SQL = "docs AS (" + DOCUMENTS.replace("{orders}", "orders") + """), ho
       WHEN 2 THEN replace(replace(d.url, 'https://r.example.net/?to=', ''), '&x=1', '') END)"""
 
 
+# Homepages without a scheme; one in ten by its first label alone.
+BARE = "CASE WHEN id % 10 = 3 THEN split_part(replace(homepage_url, 'https://', ''), '.', 1) ELSE replace(homepage_url, 'https://', '') END"
+
+
+def bare_homepages(b):
+    return b["companies"].withColumn("homepage_url", F.expr(BARE))
+
+
 def matched_documents(b):
     return X.match_documents(b.spark.sql(DOCUMENTS, orders=b.raw("orders")), b["companies"])
 
@@ -255,6 +263,12 @@ CASES = {
     "matched_documents": Case(
         lambda b: matched_documents(b)[0].select("id", "company_id", "matched_url"),
         with_tables("companies", "SELECT id, o AS company_id, u AS matched_url FROM hit", DOCUMENTS_SQL)),
+    "documents_of_bare_homepages": Case(
+        lambda b: X.match_documents(b.spark.sql(DOCUMENTS, orders=b.raw("orders")), bare_homepages(b))[0].select("id", "company_id", "matched_url"),
+        with_tables("companies", """SELECT id, o AS company_id, u AS matched_url FROM docs JOIN bare ON contains(url, u)
+            QUALIFY row_number() OVER (PARTITION BY id ORDER BY o) = 1""",
+            "docs AS (" + DOCUMENTS.replace("{orders}", "orders") + "), bare AS (SELECT " + BARE + """ AS u, min(id) AS o FROM companies
+            WHERE homepage_url IS NOT NULL GROUP BY 1)""")),
     "unmatched_documents": Case(
         lambda b: matched_documents(b)[1],
         with_tables("companies", "SELECT id, url FROM docs WHERE id NOT IN (SELECT id FROM hit)", DOCUMENTS_SQL)),

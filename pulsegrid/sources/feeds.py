@@ -102,30 +102,44 @@ def prepare_snapshots(scrapes: DataFrame, as_of) -> DataFrame:
         F.lit(None).cast("string").alias("capture_metadata"))
 
 
-def url_parts_of(url: str | Column, lengths: str | Column) -> Column:
-    """Every part of a URL that starts at an ``http(s)://`` in it and has one of ``lengths``."""
-    url, lengths = col(url), col(lengths)
-    starts = F.filter(F.sequence(F.lit(1), F.length(url)),
-                      lambda i: F.substring(url, i, F.lit(8)).rlike("(?i)^https?:/"))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.filter(lengths, lambda n: n <= F.length(url) - i + 1), lambda n: F.substring(url, i, n))))
-    return F.when(F.length(url) > 0, F.array_distinct(parts))
+#: Letters of the pieces by which homepages are found inside document URLs.
+GRAM = 6
+
+
+def _grams(text: str | Column, sizes: str | Column) -> Column:
+    """All different parts of a text that have one of ``sizes``."""
+    text, sizes = col(text), col(sizes)
+    return F.array_distinct(F.flatten(F.transform(F.filter(sizes, lambda n: n <= F.length(text)), lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))))
+
+
+def containing(docs: DataFrame, homepages: DataFrame, url: str = "url", homepage: str = "homepage_url") -> DataFrame:
+    """``url, homepage`` for every homepage that stands anywhere in a document's URL; both are distinct and not NULL.
+
+    Each homepage is looked up by its rarest part of ``GRAM`` letters (shorter ones by themselves), so
+    what is common to many, such as a scheme or a host's ending, makes no candidates; a candidate
+    is then compared whole.
+    """
+    short = F.least(F.length(homepage), F.lit(GRAM))
+    parts = homepages.select(homepage, F.explode(_grams(homepage, F.array(short))).alias("__gram"))
+    rarity = parts.groupBy("__gram").agg(F.count("*").alias("__n"))
+    index = parts.join(rarity, "__gram").groupBy(homepage).agg(F.min(F.struct("__n", "__gram"))["__gram"].alias("__gram"))
+    sizes = homepages.agg(F.collect_set(short).alias("sizes")).scalar()  # at most GRAM + 1 numbers
+    pieces = docs.withColumn("__sizes", sizes).filter(F.length(url) > 0).select(url, F.explode(_grams(url, "__sizes")).alias("__gram"))
+    return pieces.join(index, "__gram").filter(F.contains(F.col(url), F.col(homepage))).select(url, homepage)
 
 
 def match_documents(docs: DataFrame, companies: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with their company, documents without one, and companies that got none.
 
     A document belongs to the company with its URL, else to the first company whose URL it
-    contains. Homepage URLs begin with http(s), so containment is an equality join of the
-    homepages with the document URL's parts that begin like one and are as long as some
-    homepage (the lengths that occur are one small list).
+    contains, with a scheme or without.
     """
     wanted = companies.filter("homepage_url is not null").groupBy("homepage_url").agg(
         F.max("id").alias("__company"), F.min("id").alias("__order"))
     exact = docs.join(wanted.select(F.col("homepage_url").alias(url), F.col("__company").alias("company_id")), url, "left")
     rest = exact.filter("company_id is null").select(url).distinct()
-    lengths = wanted.agg(F.collect_set(F.length("homepage_url")).alias("lengths")).scalar()
-    parts = rest.withColumn("__lengths", lengths).select(url, F.explode(url_parts_of(url, "__lengths")).alias("homepage_url"))
+    parts = containing(rest.filter(F.col(url).isNotNull()), wanted.select("homepage_url"), url)
     first = parts.join(wanted, "homepage_url").groupBy(url).agg(
         F.min(F.struct("__order", "__company", "homepage_url")).alias("__hit"))
     joined = exact.join(first, url, "left")

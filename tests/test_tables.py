@@ -94,6 +94,21 @@ def test_documents_find_companies(spark):
     assert unmatched.count() == 2 and [r.id for r in missing.collect()] == [2]
 
 
+def test_any_homepage_is_found_inside_a_url(spark):
+    import random
+
+    rng = random.Random(9)
+    bit = lambda n: "".join(rng.choice("ab./") for _ in range(rng.randrange(n)))
+    homes = [*{bit(9) for _ in range(60)} - {""}, "initech.example", "https://initech.example", "www.initech.example/"]
+    urls = [*{bit(30) for _ in range(300)}, "https://www.initech.example/a", "x", ""]
+    companies = spark.createDataFrame([(k, h) for k, h in enumerate(homes)], "id long, homepage_url string")
+    docs = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {(r.url, r.homepage_url) for r in X.containing(docs, companies.select("homepage_url")).collect()}
+    assert got == {(u, h) for u in urls for h in homes if h in u}
+    everywhere = spark.createDataFrame([(1, "N", "")], "id long, name string, homepage_url string")
+    assert X.match_documents(docs, everywhere)[0].count() == len(urls)
+
+
 SNAPSHOT = "id long, company_id long, captured_at timestamp_ntz, content_markdown string, content_checksum string, error_message string"
 
 
