@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType
 from ..functions.keywords import Term
 from ..operators.changes import HOMEPAGE, Policy, change_records
 from ..operators.latest import latest_per_key, snapshot_pairs
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 
 
 def with_bucket(rows: DataFrame, buckets: int, key: str = "company_id") -> DataFrame:
@@ -104,24 +104,93 @@ class ChangeFeed:
         return (writer.trigger(**trigger) if trigger else writer).start()
 
 
+class UrlMemory:
+    """URLs known for ever, and filters that tell which of them need not be looked up.
+
+    URLs lie by bucket of their hash and batch; next to them lies, for each bucket, a filter of ``bits``
+    bits with two places for every URL. A batch tests its URLs on the filters and opens only buckets
+    where one may be known; an URL that is new is one on its filter but for rare cases, so what
+    a batch reads is level while the memory grows, as long as the filters aren't full (take more buckets
+    then). Everything a batch writes is in folders of its number; running it again replaces that.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, url: str = "content_url", buckets: int = 64, bits: int = 1 << 20, compact_every: int = 100) -> None:
+        self.spark, self.path, self.url, self.buckets, self.bits, self.compact_every = spark, path, url, buckets, bits, compact_every
+        self.opened: list[str] = []
+
+    def _exists(self, path: str) -> bool:
+        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``url, bucket, place`` for both places of each URL; places count bits, in chunks of 32768."""
+        h = F.xxhash64(F.col(self.url))
+        places = F.array(*(F.pmod(F.xxhash64(F.col(self.url), F.lit(k)), F.lit(self.bits)) for k in (1, 2)))
+        return rows.select(self.url, F.pmod(h, F.lit(self.buckets)).cast("int").alias("bucket"), F.explode(places).alias("place"))
+
+    def _filters(self, batch_id: int) -> DataFrame | None:
+        """``bucket, chunk, bits`` as of the batches before ``batch_id``."""
+        base = (batch_id - 1) // self.compact_every * self.compact_every if batch_id > 0 else 0
+        parts = [f"{self.path}/filters/full={base}"] + [f"{self.path}/filters/batch={n}" for n in range(base, batch_id)]
+        present = [p for p in parts if self._exists(p)]
+        if not present:
+            return None
+        return self.spark.read.schema("bucket int, chunk bigint, bits binary").parquet(*present).groupBy("bucket", "chunk").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+    def known(self, rows: DataFrame, batch_id: int) -> DataFrame | None:
+        """Those of the URLs in ``rows`` that a batch before ``batch_id`` has brought; None if there can be none."""
+        self.opened = []
+        filters = self._filters(batch_id)
+        if filters is None:
+            return None
+        placed = self.placed(rows).withColumn("chunk", F.floor(F.col("place") / 32768))
+        at = F.pmod("place", F.lit(32768)).cast("int")
+        byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        # Chunks that a batch doesn't touch are pruned by the join's keys, or by their statistics.
+        tested = placed.join(filters, ["bucket", "chunk"], "left").select(
+            self.url, "bucket", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False)).alias("set"))
+        maybe = cut_lineage(tested.groupBy(self.url, "bucket").agg(F.bool_and("set").alias("maybe")).where("maybe").select(self.url, "bucket"))
+        wanted = [r.bucket for r in maybe.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        self.opened = [p for p in (f"{self.path}/urls/bucket={b}" for b in sorted(wanted)) if self._exists(p)]
+        if not self.opened:
+            return None
+        kept = self.spark.read.schema(rows.select(self.url).schema.add("batch", IntegerType())).option("basePath", f"{self.path}/urls").parquet(*self.opened)
+        return kept.where(F.col("batch") < batch_id).select(self.url).join(maybe.select(self.url), self.url, "left_semi")
+
+    def add(self, rows: DataFrame, batch_id: int) -> None:
+        """Remembers the URLs of ``rows`` as brought by ``batch_id``."""
+        placed = self.placed(rows)
+        urls = placed.select(self.url, "bucket").distinct().withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
+        urls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.path}/urls")
+        made = placed.groupBy("bucket", F.floor(F.col("place") / 32768).alias("chunk")).agg(
+            F.bitmap_construct_agg(F.pmod("place", F.lit(32768))).alias("bits"))
+        made.write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch_id}")
+        if (batch_id + 1) % self.compact_every == 0:
+            self._filters(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/filters/full={batch_id + 1}")
+
+
 def stream_dedupe_news(
-    articles: DataFrame, out_dir: str, checkpoint: str | None = None, url: str = "content_url", time: str = "discovered_at", **trigger,
+    articles: DataFrame, out_dir: str, checkpoint: str | None = None, url: str = "content_url", time: str = "discovered_at",
+    memory: UrlMemory | None = None, **trigger,
 ) -> StreamingQuery:
     """Writes the first article of each URL to ``out_dir``; a URL is known for ever, however late it comes again.
 
-    Each batch is matched with the stored URLs of the batches before it and written into a folder
-    of its own number, so a batch that is run again replaces what it wrote.
+    Each batch is matched with ``memory`` (``<out_dir>-known`` if not given), of which it opens only what
+    may hold its URLs, and written into a folder of its own number, so a batch that is run again
+    replaces what it wrote.
     """
     spark = articles.sparkSession
+    memory = memory or UrlMemory(spark, f"{out_dir}-known", url)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         order = F.struct(*[F.col(c) for c in dict.fromkeys((time, *batch.columns))])
         first = batch.filter(F.col(url).isNotNull()).groupBy(url).agg(F.min(order).alias("__first")).select(
             *[F.col("__first")[c].alias(c) for c in batch.columns])
-        if batch_id > 0:
-            known = spark.read.schema(batch.select(url).schema.add("batch", IntegerType())).parquet(out_dir).filter(F.col("batch") < batch_id)
-            first = first.join(known.select(url), url, "left_anti").select(*batch.columns)
+        known = memory.known(first.select(url), batch_id)
+        if known is not None:
+            first = first.join(known, url, "left_anti").select(*batch.columns)
         first.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        memory.add(spark.read.schema(batch.select(url).schema).parquet(f"{out_dir}/batch={batch_id}"), batch_id)
 
     writer = articles.writeStream.foreachBatch(process).option(
         "checkpointLocation", checkpoint or f"{shared_dir(spark)}/news_feed")

@@ -176,3 +176,28 @@ def test_news_urls_are_known_for_ever(spark, place):
     got = {r.content_url: r.title for r in spark.read.parquet(f"{place}/out").collect()}
     assert got == {"a": "a00", "b": "b00", "c": "c10", "d": "d20"}
     assert spark.read.parquet(f"{place}/out").count() == 4
+
+
+def test_a_batch_reads_little_of_a_grown_memory(spark, place):
+    """New URLs open next to nothing, known ones their buckets; ten times the history is no more to read."""
+    from pulsegrid.streaming.streams import UrlMemory
+
+    memory = UrlMemory(spark, f"{place}/known", buckets=16, bits=1 << 17, compact_every=3)
+    frame = lambda rows: spark.createDataFrame([(u,) for u in rows], "content_url string")
+    opened, batch = {}, 0
+    for size in (1, 10):
+        memory.add(frame([f"https://n.example/{batch}/{k}" for k in range(size * 300)]), batch)
+        batch += 1
+        assert memory.known(frame([f"https://new.example/{size}/{k}" for k in range(40)]), batch) is None or len(memory.opened) <= 3
+        opened[size] = len(memory.opened)
+        again = memory.known(frame(["https://n.example/0/7", "https://n.example/0/8", "https://new.example"]), batch)
+        assert {r.content_url for r in again.collect()} == {"https://n.example/0/7", "https://n.example/0/8"} and len(memory.opened) <= 3
+    assert opened[10] <= opened[1] + 3
+    # A batch that is run again knows what came before it only, and replaces what it wrote.
+    memory.add(frame(["x", "y"]), batch)
+    memory.add(frame(["x", "y"]), batch)
+    assert memory.known(frame(["x"]), batch) is None or memory.known(frame(["x"]), batch).count() == 0
+    assert {r.content_url for r in memory.known(frame(["x", "z"]), batch + 1).collect()} == {"x"}
+    for n in range(batch + 1, batch + 4):  # past a compaction of the filters
+        memory.add(frame([f"late{n}"]), n)
+    assert {r.content_url for r in memory.known(frame(["x", f"late{n}", "none"]), n + 1).collect()} == {"x", f"late{n}"}
