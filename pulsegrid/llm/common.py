@@ -36,7 +36,18 @@ def stored(df: DataFrame) -> DataFrame:
     small_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what ``stored`` wrote for ``frames``, from which nothing is read any more."""
+    for df in frames:
+        path = getattr(df, "stored_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:

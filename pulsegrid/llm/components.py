@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,15 +22,18 @@ def components(edges: DataFrame) -> DataFrame:
         parents = stored(both.groupBy(F.col("a").alias("node")).agg(
             F.least(F.col("node"), F.min("b")).alias("parent")))
         if labels is None:
-            labels = parents.withColumnRenamed("parent", "root")
+            labels = stored(parents.withColumnRenamed("parent", "root"))
         else:
             step = parents.select(F.col("node").alias("root"), "parent")
-            labels = stored(labels.join(step, "root", "left").select(
+            last, labels = labels, stored(labels.join(step, "root", "left").select(
                 "node", F.coalesce("parent", "root").alias("root")))
+            discard(last)
         to_a = parents.select(F.col("node").alias("a"), F.col("parent").alias("pa"))
         to_b = parents.select(F.col("node").alias("b"), F.col("parent").alias("pb"))
-        edges = stored(edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")
-                       .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        last, edges = edges, stored(edges.join(to_a, "a").join(to_b, "b").where("pa <> pb")
+                                    .select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        discard(last, parents)
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    discard(edges)
     return labels

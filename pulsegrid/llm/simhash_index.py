@@ -151,93 +151,3 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes = known.join(lowest, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# ---- near copies by similarity --------------------------------------------------------------
-
-SPACES, BINS, SHINGLE, SIMILARITY = 4, 128, 5, 0.8
-#: Value of a sketch's empty bin.
-_EMPTY = np.uint16(0xFFFF)
-
-
-def profiles(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """For each text, one fingerprint of its distinct words in each space, and a sketch of its word shingles.
-
-    The sketch keeps the smallest hash in each of ``BINS`` equal parts of the hash range; two
-    sketches agree in as large a share of the parts that either fills as their shingle sets do.
-    """
-    prints, sketches = np.zeros((len(texts), SPACES), np.uint64), []
-    for start, end in packs(texts):
-        words = Words([t.lower() for t in texts[start:end]], NOT_BLANK)
-        hashes = words.hashes()
-        for i in range(end - start):
-            own = hashes[words.first[i]:words.first[i + 1]]
-            sketch = np.full(BINS, _EMPTY)
-            if len(own):
-                distinct = np.unique(own)
-                for s in range(SPACES):
-                    bits = np.zeros(64, np.int64)
-                    for at in range(0, len(distinct), 1 << 16):
-                        h = mixed(distinct[at:at + (1 << 16)] + np.uint64(s + 1))
-                        bits += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                    prints[start + i, s] = np.packbits(2 * bits > len(distinct), bitorder="little").view(np.uint64)[0]
-                grams = np.sort(Runs(own).windows(min(SHINGLE, len(own))))
-                bins = (grams >> np.uint64(57)).astype(np.int64)
-                filled, at = np.unique(bins, return_index=True)
-                # Of a part's range, 16 bits just below those that choose the part; never the mark of an empty one.
-                sketch[filled] = np.minimum(mixed(grams[at]) >> np.uint64(48), 0xFFFE).astype(np.uint16)
-            sketches.append(sketch.tobytes())
-    return prints, sketches
-
-
-def _similar(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for df in pairs:
-        if len(df):
-            a = np.frombuffer(b"".join(df.sketch_a), np.uint16).reshape(-1, BINS)
-            b = np.frombuffer(b"".join(df.sketch_b), np.uint16).reshape(-1, BINS)
-            filled = ((a != _EMPTY) | (b != _EMPTY)).sum(axis=1)
-            same = ((a == b) & (a != _EMPTY)).sum(axis=1)
-            yield df.loc[(same >= SIMILARITY * filled) | (filled == 0), ["a", "b"]]
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near copies, the one of the smallest id.
-
-    Candidates come from the index: documents whose fingerprints lie within three bits in any of
-    four spaces (fingerprints of distinct words under four hashes; one alone would miss a third of
-    the pairs). They are linked if their sets of five-word shingles have a similarity of 0.8 or
-    more, by sketches of 128 parts (standard error below 0.036). Without words: all such documents
-    are one group. Repeated rows are copies. A NULL id counts as larger than any other. The
-    result has the columns of ``docs``, whatever their names.
-    """
-    uid, prints, sketch = (free_name(docs, n) for n in ("uid_", "prints_", "sketch_"))
-
-    def profile(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            p, s = profiles(bytes_of(texts))
-            yield pd.DataFrame({"prints": list(p.view(np.int64)), "sketch": s})
-
-    made = F.pandas_udf(profile, "prints array<long>, sketch binary")(F.col(text_col))
-    kept = stored(docs.withColumn(prints, made).withColumn(uid, F.monotonically_increasing_id())
-                  .withColumn(sketch, F.col(prints).sketch).withColumn(prints, F.col(prints).prints))
-    # Rows in the order in which a group prefers them.
-    rank = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col(uid).alias("uid"))
-    rows = kept.select(F.col(uid).alias("uid"), rank.alias("rank"), F.posexplode(prints).alias("space", "fp"))
-    first = stored(rows.groupBy("space", "fp").agg(F.min("uid").alias("first"), F.count("*").alias("n")))
-    links = hamming_links(first.select(F.col("space").cast("byte").alias("space"), "fp"))
-    ends = first.select(F.col("space").cast("byte").alias("space"), "fp", "first")
-    apart = (links.join(ends.select("space", F.col("fp").alias("a"), F.col("first").alias("x")), ["space", "a"])
-             .join(ends.select("space", F.col("fp").alias("b"), F.col("first").alias("y")), ["space", "b"])
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    alike = rows.select("space", "fp", "uid").join(first.where("n > 1"), ["space", "fp"]).where("uid <> first").select(
-        F.col("first").alias("a"), F.col("uid").alias("b"))
-    pairs = stored(apart.union(alike).where("a <> b").distinct())
-    sketches = kept.select(F.col(uid).alias("uid"), F.col(sketch).alias("s"))
-    checked = (pairs.join(sketches.select(F.col("uid").alias("a"), F.col("s").alias("sketch_a")), "a")
-               .join(sketches.select(F.col("uid").alias("b"), F.col("s").alias("sketch_b")), "b")
-               .mapInPandas(_similar, "a long, b long"))
-    roots = stored(components(checked))
-    ranked = kept.select(F.col(uid).alias("node"), rank.alias("rank")).join(roots, "node")
-    best = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.uid").alias("node"))
-    gone = roots.join(best, "node", "left_anti").select(F.col("node").alias(uid))
-    return kept.join(gone, uid, "left_anti").select(*docs.columns)

@@ -73,29 +73,3 @@ def test_links_give_all_components(spark, monkeypatch, crowd):
     want = classes_by_hand(list(range(len(prints))), prints)
     got = [roots.get(s, s) for s in signed]
     assert len({(a, b) for a, b in zip(got, want)}) == len(set(got)) == len(set(want))
-
-
-def test_near_copies_leave_one(corpus, sample):
-    rng = random.Random(3)
-    base = [t for t in sample.text if 150 < len(t.split()) < 900][:25]
-    near = []
-    for t in base:
-        words = t.split()
-        for _ in range(max(1, len(words) // 150)):
-            words[rng.randrange(len(words))] = "changed"
-        near.append(" ".join(words))
-    kept = {r.doc_id for r in sh.drop_near_duplicates(corpus(base + near + base)).collect()}
-    whole = {r.doc_id for r in sh.drop_near_duplicates(corpus(base)).collect()}
-    assert kept & set(range(25)) == whole  # the smallest id of each group stays
-    assert len(kept - set(range(25))) <= 2  # nearly every near copy is found
-    assert not any(i >= 50 for i in kept)  # and every exact one
-
-
-def test_stage_keeps_columns_and_odd_rows(spark, corpus):
-    docs = corpus(ODD).withColumnRenamed("source", "uid_").withColumnRenamed("lang", "root")
-    kept = sh.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    texts = [r.text for r in kept.collect()]
-    assert sorted(t for t in texts if t and t.strip()) == sorted({t for t in ODD if t and t.strip()})
-    assert sum(not (t and t.strip()) for t in texts) == 1
-    assert sh.drop_near_duplicates(docs.limit(0)).count() == 0
