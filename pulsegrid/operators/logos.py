@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.common import text_array
 from ..functions.text import hash_bits
+from ..session import cut_lineage
+from .groups import connected
 
 BITS = 64
 
@@ -52,6 +54,33 @@ def similar_logos(
         "logos_a", "logos_b")
 
 
+def logo_classes(
+    logos: DataFrame, threshold: float = 0.85, known_bad: DataFrame | None = None, column: str = "perceptual_hash", owner: str = "company_id",
+) -> DataFrame:
+    """``column, class, logos, companies`` for each distinct hash of all companies: the class it looks like.
+
+    Hashes with at most r differing bits agree on one of r + 1 runs of bits. Under each value of a run
+    the commonest hash (of equal ones the smallest) stands for the others; a hash is linked to those that
+    stand for its runs and are similar enough, and a class is what links connect, named by its
+    smallest hash. So a hash makes r + 1 candidates however many others are like it.
+    """
+    differing = floor((1 - threshold) * BITS + 1e-9)
+    edges = [round(i * BITS / (differing + 1)) for i in range(differing + 2)]
+    masks = [((1 << (high - low)) - 1) << low for low, high in zip(edges, edges[1:])]
+    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+    if known_bad is not None:
+        logos = logos.join(known_bad.select(column).distinct(), column, "left_anti")
+    hashes = cut_lineage(logos.withColumn("bits", hash_bits(column)).filter(F.col("bits").isNotNull()).groupBy(column, "bits").agg(
+        F.count("*").alias("logos"), F.count_distinct(owner).alias("companies")))
+    runs = hashes.select(F.col(column).alias("hash"), "bits", "logos", F.posexplode(F.array(*(F.col("bits").bitwiseAND(F.lit(m)) for m in signed))).alias("run", "key"))
+    stands = runs.groupBy("run", "key").agg(F.min(F.struct((-F.col("logos")).alias("n"), "hash", "bits")).alias("s")).select(
+        "run", "key", F.col("s.hash").alias("stand"), F.col("s.bits").alias("stand_bits"))
+    near = runs.join(stands, ["run", "key"]).filter(
+        (F.col("hash") != F.col("stand")) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("stand_bits"))) <= differing))
+    roots = connected(near.select(F.col("hash").alias("a"), F.col("stand").alias("b"))).withColumnRenamed("node", column)
+    return hashes.join(roots, column, "left").select(column, F.coalesce("root", column).alias("class"), "logos", "companies")
+
+
 def branding_logo(branding: str = "branding") -> Column:
     """The logo of a branding record: its logo, else the logo, card or icon among its images."""
     own = F.col(f"{branding}.logo")

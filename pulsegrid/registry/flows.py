@@ -14,6 +14,7 @@ from ..plans.stored_scan import stored_scan
 from ..session import shared_dir
 from ..sources.bucketed import BucketedTable
 from ..sources.testbed import CAPTURES_AS_OF
+from ..streaming.keyed import KeyedChangeFeed
 from ..streaming.streams import ChangeFeed, stream_dedupe_news, with_bucket
 from .case import Case, joined, stamp, with_tables
 from .signals import (
@@ -62,6 +63,22 @@ def streamed_changes(b):
     return records(b.spark.read.parquet(f"{place}/records"), "company_id")
 
 
+def keyed_changes(b):
+    """The captures arriving in three parts that each span the whole time, as change records; then two of later days, after which none is waited for."""
+    place = fresh_dir(b.spark, "keyed")
+    captures = b["snapshots"].drop("baseline_classification", "baseline_sentiment", "http_last_modified")
+    inbox = f"{place}/inbox"
+    feed = KeyedChangeFeed(b.spark, f"{place}/records", lambda: captures, terms=KEPT, delay="40 days", partitions=4)
+    late = [captures.limit(1).selectExpr(*(
+        f"-{d} AS id" if c == "id" else "CAST(-1 AS BIGINT) AS company_id" if c == "company_id" else
+        f"captured_at + INTERVAL '{d}' DAY AS captured_at" if c == "captured_at" else c for c in captures.columns)) for d in (200, 400)]
+    for part in (*(captures.filter(f"id % 3 = {k}") for k in range(3)), *late):
+        part.write.mode("append").parquet(inbox)
+        stream = b.spark.readStream.schema(captures.schema).parquet(inbox)
+        feed.start(stream, f"{place}/progress", availableNow=True).awaitTermination()
+    return records(b.spark.read.parquet(f"{place}/records").filter("company_id >= 0"), "company_id")
+
+
 def streamed_news(b):
     """News arriving twice as a stream, each URL once."""
     place = fresh_dir(b.spark, "news")
@@ -137,6 +154,9 @@ CASES = {
     "stream_changes": Case(
         streamed_changes,
         with_tables("snapshots", f"SELECT company_id, {RECORD} FROM records", changes_sql("snapshots", "company_id", False, True))),
+    "stream_changes_keyed": Case(
+        keyed_changes,
+        with_tables("snapshots", f"SELECT company_id, {RECORD} FROM records", changes_sql("snapshots", "company_id", False, True))),
     "stream_dedupe_news": Case(
         streamed_news, with_tables("news_articles", "SELECT DISTINCT content_url FROM news_articles")),
     "full_scan": Case(scanned),

@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..functions.text import hash_similarity
 from ..operators import links as L
 from ..operators import timelines as G
-from ..operators.logos import branding_logo, similar_logos
+from ..operators.logos import branding_logo, logo_classes, similar_logos
 from ..operators.page_logos import page_logos
 from ..sources.testbed import CAPTURES_AS_OF
 from .case import Case, joined, with_tables
@@ -251,6 +251,19 @@ CASES = {
             a.n AS logos_a, b.n AS logos_b FROM hs a JOIN hs b ON a.company_id = b.company_id AND a.h < b.h AND 1 - bit_count(xor(a.v, b.v)) / 64.0 >= 0.85""",
             """hs AS (SELECT company_id, perceptual_hash AS h, CAST('0x' || perceptual_hash AS UBIGINT) AS v, count(*) AS n
             FROM company_logos GROUP BY ALL)""")),
+    "logo_classes": Case(
+        lambda b: logo_classes(b["company_logos"]),
+        with_tables("company_logos", """SELECT h.h AS perceptual_hash, coalesce(r.root, h.h) AS class, h.logos, h.companies FROM hs h LEFT JOIN roots r ON r.a = h.h""",
+            # Ten runs of bits, the commonest hash under each value, links to it, and what they reach.
+            """hs AS (SELECT perceptual_hash AS h, CAST('0x' || perceptual_hash AS UBIGINT) AS v, count(*) AS logos, count(DISTINCT company_id) AS companies
+            FROM company_logos GROUP BY ALL),
+            edges AS (SELECT i AS run, CAST(round_even(i * 6.4, 0) AS INT) AS low, CAST(round_even((i + 1) * 6.4, 0) AS INT) AS high FROM range(10) t(i)),
+            runs AS (SELECT h, v, logos, run, (v >> low) % (1::UBIGINT << (high - low)) AS k FROM hs, edges),
+            stands AS (SELECT run, k, arg_min(h, (-logos, h)) AS s, arg_min(v, (-logos, h)) AS sv FROM runs GROUP BY run, k),
+            linked AS (SELECT DISTINCT h, s FROM runs JOIN stands USING (run, k) WHERE h <> s AND bit_count(xor(v, sv)) <= 9),
+            both_ways AS (SELECT h AS a, s AS b FROM linked UNION SELECT s, h FROM linked),
+            roots AS (WITH RECURSIVE reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON w.a = r.b)
+              SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)""")),
     "hash_similarity": Case(
         lambda b: b["company_logos"].select("id", hash_similarity("perceptual_hash", F.lit("8000ffff0000f0f1")).alias("similarity")),
         with_tables("company_logos", """SELECT id, 1 - bit_count(xor(CAST('0x' || perceptual_hash AS UBIGINT), CAST('0x8000ffff0000f0f1' AS UBIGINT))) / 64.0::DOUBLE

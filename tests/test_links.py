@@ -9,7 +9,8 @@ from pulsegrid.functions import html as H
 from pulsegrid.functions import markup as M
 from pulsegrid.functions import urls as U
 from pulsegrid.operators.links import classify_accounts, discover_links, page_links
-from pulsegrid.operators.logos import malformed_hashes, similar_logos
+from pulsegrid.operators.groups import connected
+from pulsegrid.operators.logos import logo_classes, malformed_hashes, similar_logos
 from pulsegrid.operators.timelines import dedupe_links, merge_links
 
 AS_OF = "2024-02-01 00:00:00"
@@ -113,3 +114,40 @@ def test_accounts(spark):
     companies = spark.createDataFrame([(1, "Initech")], "id long, name string")
     got = {r.id: (r.account_type, round(r.account_confidence, 6)) for r in classify_accounts(links, companies).collect()}
     assert got == {1: ("company", 0.7), 2: ("personal", 0.9), 3: ("unknown", 0.4)}
+
+
+def test_connected(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 260)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    ends = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {x: find(x) for x in ends}
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_logo_classes_span_companies(spark):
+    rng = random.Random(3)
+    rows, family = [], {}
+    for k in range(20):
+        centre = rng.getrandbits(64)
+        for n in range(12):
+            value = centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))) if n else centre
+            family[f"{value:016x}"] = k
+            rows += [(n, f"{value:016x}")] * (5 if n == 0 else 1)
+    rows += [(1, None), (1, "rubbish")]
+    got = {r.perceptual_hash: r for r in logo_classes(spark.createDataFrame(rows, "company_id long, perceptual_hash string")).collect()}
+    assert set(got) == set(family)
+    for k in range(20):
+        own = [h for h, f in family.items() if f == k]
+        assert {got[h]["class"] for h in own} == {min(own)}
+    assert sum(r.logos for r in got.values()) == 20 * 16
