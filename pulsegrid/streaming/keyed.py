@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType
 
 from ..functions.keywords import Term
 from ..operators.changes import HOMEPAGE, Policy, change_records
-from ..session import shared_dir
+from ..session import cut_lineage, shared_dir
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,6 +93,9 @@ class KeyedChangeFeed:
             spark, records_dir, archive, policy, terms, delay, partitions)
 
     def process(self, pairs: DataFrame, batch_id: int) -> None:
+        pairs = cut_lineage(pairs)  # the state is read once, however often the pairs are
+        if pairs.isEmpty():
+            return
         records = change_records(self.archive(), F.lit(None), policy=self.policy, terms=self.terms, pairing="all", pairs=pairs)
         times = pairs.select(F.col("new_id").alias("snapshot_id_new"), F.col("new_captured_at").alias("detected_at"))
         records.drop("detected_at").join(times, "snapshot_id_new").write.mode("overwrite").parquet(f"{self.records_dir}/batch={batch_id}")
