@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -121,11 +121,13 @@ def change_records(
     terms: Sequence[Term] | None = None,
     pairing: str = "latest",
     pairs: DataFrame | None = None,
+    difference: Callable[[str, str], Column] = line_added,
 ) -> DataFrame:
     """One change record per key: its newest two versions compared and classified.
 
     Versions are paired on ids and checksums alone; page text is fetched for changed
-    pairs only, and only those reach the text comparison.
+    pairs only, and only those reach the text comparison. ``difference`` says what was added:
+    ``line_added``, or ``line_added_in_order`` where moved and repeated lines are to count.
     """
     keys = list(policy.keys)
     source = snapshots
@@ -163,7 +165,7 @@ def change_records(
 
     pair_keys = keys if pairing == "latest" else [*keys, "new_id"]
     texts = with_texts(judged.filter(read_text), source, pair_keys)
-    score, added = line_similarity("old_text", "new_text"), line_added("old_text", "new_text")
+    score, added = line_similarity("old_text", "new_text"), difference("old_text", "new_text")
     subject = added if policy.additions_only else F.coalesce(
         blank_to_null(strip(added)), blank_to_null(strip("new_text")), strip("old_text"))
     measured = texts.withColumn(

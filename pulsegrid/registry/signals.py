@@ -13,6 +13,7 @@ from ..operators import significance as J
 from ..operators import social as M
 from ..operators import status as S
 from ..operators.latest import snapshot_pairs
+from ..operators.line_order import line_added_in_order
 from ..operators.text_diff import line_added, line_similarity
 from ..plans.full_scan import full_scan
 from ..sources.testbed import CAPTURES_AS_OF, STATUS_AS_OF
@@ -346,6 +347,13 @@ CASES = {
               UNION ALL SELECT new_id, unnest(string_split(new_text, chr(10))), 0, 1 FROM pairs) GROUP BY new_id, line) GROUP BY new_id""",
             """pairs AS (SELECT * FROM (SELECT id AS new_id, content_markdown AS new_text, lag(content_markdown) OVER (PARTITION BY company_id
             ORDER BY captured_at, id) AS old_text FROM snapshots) WHERE old_text IS NOT NULL AND new_text IS NOT NULL)""")),
+    "moved_lines": Case(
+        # Each text against itself with its first line at the end.
+        lambda b: b.raw("documents").withColumn("lines", F.split("text", "\n")).filter(
+            (F.size("lines") > 1) & (F.size("lines") == F.size(F.array_distinct("lines"))) & ~F.array_contains("lines", "")).select(
+            "doc_id", line_added_in_order("text", F.array_join(F.concat(F.slice("lines", 2, F.size("lines")), F.slice("lines", 1, 1)), "\n")).alias("added")),
+        """SELECT doc_id, l[1] AS added FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+            WHERE len(l) > 1 AND len(l) = len(list_distinct(l)) AND NOT list_contains(l, '')"""),
     "added_lines": Case(
         lambda b: text_pairs(b).select("new_id", F.md5(line_added("old_content_markdown", "new_content_markdown")).alias("added")),
         with_tables("snapshots", """SELECT new_id, md5(array_to_string(list_filter(string_split(new_text, chr(10)),
