@@ -60,13 +60,46 @@ def _small_parts(s: Column) -> Column:
         F.coalesce(F.try_to_number(F.lpad(q, 3, "0"), F.lit("999")), F.lit(0)) <= 255)))
 
 
+#: Entries of an array that are folded before they are put to the rest, so that a step copies few.
+CHUNK = 256
+
+
+def folded(items: Column, start: Column, kind: str, fields: list[str], step, before=None) -> Column:
+    """The state after ``step(state, item)`` over all ``items``: ``fields`` from ``start`` on, and ``out``, of ``kind``.
+
+    A step puts what it finds to ``out``; what chunks have found is put together at the end.
+    ``before(state, items)`` may change the fields where a chunk begins.
+    """
+    def names(x: Column) -> list[Column]:
+        return [x[f].alias(f) for f in fields]
+
+    empty = F.array().cast(kind)
+
+    def of(all_items: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / CHUNK).cast("int"))
+
+        def chunk(acc: Column, k: Column) -> Column:
+            def run(own: Column) -> Column:
+                state = acc if before is None else before(acc, own)
+                inner = F.aggregate(own, F.struct(*names(state), empty.alias("out")), step)
+                return let(inner, lambda x: F.struct(*names(x), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+            return let(F.slice(all_items, k * CHUNK + 1, F.lit(CHUNK)), run)
+
+        begin = F.struct(*names(start), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.when(F.size(all_items) > 0, F.aggregate(numbers, begin, chunk, lambda acc: F.struct(*names(acc), F.flatten(acc["out"]).alias("out")))).otherwise(
+            F.struct(*names(start), empty.alias("out")))
+
+    return let(items, of)
+
+
 def located(text: Column, pattern: str) -> Column:
     """Matches as ``(s, start, end, before, after)``: code points from 0, and what surrounds them."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     rows = F.arrays_zip(found.alias("s"), F.slice(gaps, F.lit(1), F.greatest(F.size(found), F.lit(0))).alias("gap"),
                         F.slice(gaps, F.lit(2), F.greatest(F.size(found), F.lit(0))).alias("next"))
-    none = F.array().cast("array<struct<s:string,start:int,end:int,before:string,after:string>>")
-    empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    kind = "array<struct<s:string,start:int,end:int,before:string,after:string>>"
+    none = F.array().cast(kind)
 
     def add(acc: Column, row: Column) -> Column:
         start = acc["at"] + F.length(row["gap"])
@@ -75,7 +108,7 @@ def located(text: Column, pattern: str) -> Column:
                         F.lower(F.right(row["gap"], F.lit(REACH))).alias("before"), F.left(row["next"], F.lit(1)).alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, F.aggregate(rows, empty, add)["out"]).otherwise(none)
+    return F.when(F.regexp_instr(text, F.lit(pattern)) > 0, folded(rows, F.struct(F.lit(0).alias("at")), kind, ["at"], add)["out"]).otherwise(none)
 
 
 def _valid(kind: str, s: Column) -> Column:
@@ -210,12 +243,26 @@ def _selected(candidates: Column, base: Column, scorer: Scorer) -> Column:
         packed = c["bits"].bitwiseOR(F.element_at(marks, c["kind"] + 1))
         enough = F.element_at(F.array(*(F.lit(float(t)) for t in scorer.thresholds)), c["kind"] + 1)
         refuted = (c["kind"] == KINDS.index("email")) & F.coalesce(c["label"] == 0, F.lit(False))
-        return (scorer.model.column(packed) >= enough) & ~refuted & ~F.exists(base, lambda b: (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+        return (scorer.model.column(packed) >= enough) & ~refuted
 
-    picked = F.array_sort(F.transform(F.filter(candidates, chosen), lambda c: F.struct(c["start"], c["kind"], c["end"])))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    return F.aggregate(picked, none, lambda acc, c: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > c["start"]), acc).otherwise(F.concat(acc, F.array(c))))
+    def ordered(spans: Column, side: int) -> Column:
+        return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.lit(side).alias("side"), c["kind"].alias("kind"), c["end"].alias("end")))
+
+    def step(acc: Column, c: Column) -> Column:
+        # ``reach``: where the base spans so far end; ``last``: where the last candidate taken does.
+        taken = (c["side"] == 1) & (c["end"] > acc["reach"]) & (c["start"] >= acc["last"])
+        own = F.array(F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")))
+        return F.struct(
+            F.when(c["side"] == 0, F.greatest(acc["reach"], c["end"])).otherwise(acc["reach"]).alias("reach"),
+            F.when(taken, c["end"]).otherwise(acc["last"]).alias("last"), F.when(taken, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+
+    def merged(picked: Column) -> Column:
+        both = F.array_sort(F.concat(ordered(base, 0), ordered(picked, 1)))
+        start = F.struct(F.lit(-1).alias("reach"), F.lit(-1).alias("last"))
+        found = folded(both, start, "array<struct<start:int,kind:int,end:int>>", ["reach", "last"], step)["out"]
+        return F.when(F.size(picked) > 0, found).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
+
+    return let(F.filter(candidates, chosen), merged)
 
 
 def _with_spans(docs: DataFrame, text_col: str, base: str, added: str, keep_text: bool = True) -> DataFrame:
@@ -256,15 +303,21 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base, added = free_name(docs, "base_"), free_name(docs, "added_")
     found = _with_spans(docs, text_col, base, added)
     spans = F.array_sort(F.concat(base, added))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     text = F.col(text_col)
 
+    def part(acc: Column, own: Column) -> Column:
+        """The text from where the last chunk ended to the last span of this one, so that spans are cut from little."""
+        end = F.greatest(acc["at"], F.array_max(F.transform(own, lambda s: s["end"])))
+        return F.struct(acc["at"].alias("at"), acc["at"].alias("from"), F.substring(text, acc["at"] + 1, end - acc["at"]).alias("part"))
+
     def add(acc: Column, s: Column) -> Column:
         fresh = F.concat(acc["out"], F.array(
-            F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+            F.substring(acc["part"], acc["at"] - acc["from"] + 1, s["start"] - acc["at"]), F.element_at(names, s["kind"] + 1)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["from"].alias("from"), acc["part"].alias("part"),
+                        F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    done = F.aggregate(spans, empty, add, lambda acc: F.concat(
+    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("from"), F.lit("").alias("part"))
+    done = let(folded(spans, begin, "array<string>", ["at", "from", "part"], add, part), lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
     return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).select(*docs.columns)

@@ -100,3 +100,56 @@ def test_column_equals_model(spark):
     bits = (x @ (1 << np.arange(6))).astype(int)
     rows = spark.createDataFrame([(int(b),) for b in bits], "b int").select(model.column(F.col("b")).alias("v")).collect()
     assert [r.v for r in rows] == pytest.approx(model.raw(x).tolist())
+
+
+def test_a_text_of_very_many_matches(corpus):
+    """A log of tens of thousands of addresses: the work is in proportion, the spans and the redacted text whole."""
+    import time
+
+    def log(n):
+        return "".join(f"user{k}@host.org 10.0.{k % 300}.7 ok\n" for k in range(n))
+
+    def seconds(n):
+        began = time.time()
+        row = pb.find_personal_data(corpus([log(n)])).first()
+        assert [tuple(s) for s in row.base] == by_hand(log(n))
+        return time.time() - began
+
+    seconds(10)
+    few, many = seconds(5000), seconds(50000)
+    assert many < 25 * few + 10
+    done = pb.redact(corpus([log(20000)])).first().text
+    assert done == re.sub(r"10\.0\.([01]?[0-9]?[0-9]|2[0-4][0-9]|25[0-5])\.7", "[IP]", re.sub(r"user\d+@host\.org", "[EMAIL]", log(20000)))
+
+
+def test_added_spans_by_hand(spark, monkeypatch):
+    """Selection and merging against a list form: no base span holds them, none overlaps the one before."""
+    import random
+
+    rng = random.Random(7)
+    monkeypatch.setattr(pb, "CHUNK", 4)
+    rows = []
+    for k in range(300):
+        base = sorted((a, rng.randrange(4), a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(rng.randrange(12))))
+        picked = [(a, rng.randrange(5), a + rng.randrange(1, 12)) for a in (rng.randrange(60) for _ in range(rng.randrange(14)))]
+        rows.append((k, base, [(*c, rng.randrange(2) == 0) for c in picked]))
+    schema = "k int, base array<struct<start:int,kind:int,end:int>>, c array<struct<start:int,kind:int,end:int,good:boolean>>"
+    df = spark.createDataFrame(rows, schema)
+
+    class Model:
+        @staticmethod
+        def column(packed):
+            return packed.cast("double")
+
+    from pyspark.sql import functions as F
+
+    cands = F.transform("c", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), F.lit(None).cast("int").alias("label"),
+                                                F.when(x["good"], F.lit(0).cast("bigint")).otherwise(F.lit(-1 << 62)).alias("bits")))
+    scorer = pb.Scorer(Model, (0.0,) * len(pb.KINDS))
+    got = {r.k: [tuple(s) for s in r.x] for r in df.select("k", pb._selected(cands, F.col("base"), scorer).alias("x")).collect()}
+    for k, base, c in rows:
+        want = []
+        for a, kind, b, good in sorted(c):
+            if good and not any(x <= a and b <= y for x, _, y in base) and not (want and want[-1][2] > a):
+                want.append((a, kind, b))
+        assert got[k] == want
