@@ -14,6 +14,7 @@ from ..functions.common import let, once, text_array
 from ..functions.html import attribute, tags, unescape, visible_markup
 from ..functions.markup import VOID, fold_elements, page_parts, tag_name
 from ..functions.urls import url_host, url_path
+from ..session import cut_lineage
 
 #: How deep objects may lie in a JSON-LD block, and how many containers of an image are looked at.
 JSON_DEPTH, CONTAINERS = 8, 5
@@ -192,8 +193,9 @@ def page_logos(pages: DataFrame, page: str = "page_id", url: str = "url", html:
 
     declared = given.select("page", "html", "url", once(F.struct(
         declared_logo(F.col("html")).alias("jsonld"), icon.alias("icon"), preview.alias("preview"))))
-    read = declared.select("page", "jsonld", "icon", "preview", once(F.when(
-        F.col("jsonld").isNull(), let(page_images(F.col("html"), F.col("url")), gathered))))
+    # Pages are read once; what is kept of them is what the two uses below need.
+    read = cut_lineage(declared.select("page", "jsonld", "icon", "preview", once(F.when(
+        F.col("jsonld").isNull(), let(page_images(F.col("html"), F.col("url")), gathered)))))
     open_pages = read.where("jsonld IS NULL AND header IS NULL AND size(texts) > 0")
     parts = open_pages.select("page", F.inline("texts"))
     lines = parts.groupBy("page", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "child", "text"))).alias("lines"))
