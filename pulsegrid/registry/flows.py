@@ -13,6 +13,7 @@ from ..plans.full_scan import full_scan, stages
 from ..plans.stored_scan import stored_scan
 from ..session import shared_dir
 from ..sources.bucketed import BucketedTable
+from ..sources.feeds import write_report
 from ..sources.testbed import CAPTURES_AS_OF
 from ..streaming.keyed import KeyedChangeFeed
 from ..streaming.streams import ChangeFeed, stream_dedupe_news, with_bucket
@@ -141,6 +142,14 @@ def resumed(b):
     return tables
 
 
+def written_report(b):
+    """Statuses of the companies as a report, read back from where it was written; written twice, the second one counts."""
+    place = fresh_dir(b.spark, "report")
+    for rows in (b["company_statuses"].limit(3), b["company_statuses"]):
+        write_report(rows.groupBy("status").agg(F.count("*").alias("checks"), F.max("last_checked").cast("string").alias("last_checked")), place)
+    return b.spark.read.schema("status string, checks bigint, last_checked string").json(place)
+
+
 HEADERS = "map('CONTENT-type', CASE page_id % 3 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN ' Application/XHTML+xml' ELSE 'image/png' END, 'x', 'y')"
 
 CASES = {
@@ -172,6 +181,9 @@ CASES = {
         lambda b: current_status(resumed(b)["company_statuses"].read()).select("company_id", "status"),
         with_tables(STATUS_TABLES, """SELECT company_id, status FROM decided UNION ALL
             SELECT company_id, status FROM latest WHERE company_id NOT IN (SELECT company_id FROM decided)""", STATUS_CTES)),
+    "written_report": Case(
+        written_report,
+        with_tables("company_statuses", "SELECT status, count(*) AS checks, strftime(max(last_checked), '%Y-%m-%d %H:%M:%S') AS last_checked FROM company_statuses GROUP BY status")),
     "content_types": Case(
         lambda b: b.raw("pages").selectExpr("page_id", f"{HEADERS} AS h").select(
             "page_id", T.content_type("h").alias("type"), T.is_html(T.content_type("h")).alias("html")),
