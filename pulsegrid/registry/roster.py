@@ -137,7 +137,13 @@ CASES = {
     "leadership_mentions": Case(
         lambda b: P.extract_mentions(sentences(b)).select("snapshot_id", "company_id", "person_name", "title_context", "priority"),
         "WITH " + SAID_SQL + " SELECT id AS snapshot_id, company_id, person_name, title_context, priority FROM named"),
-    "leadership_mention_snippets": Case(lambda b: P.extract_mentions(sentences(b), b["companies"]).select("snapshot_id", "person_name", "snippet")),
+    "leadership_mention_snippets": Case(
+        lambda b: P.extract_mentions(sentences(b), b["companies"]).select("snapshot_id", "person_name", "snippet"),
+        # Thirty letters before and after what names the leader.
+        "WITH " + SAID_SQL + """ SELECT m.id AS snapshot_id, person_name, concat(CASE WHEN m.id % 2 = 0 THEN '...ords to lead into the matter. ' ELSE '' END,
+            CASE m.id % 8 WHEN 0 THEN 'CEO: ' || n WHEN 1 THEN 'Meet our co-founder & ceo, ' || n WHEN 2 THEN n || ', President' WHEN 3 THEN n || ' (Founder)'
+            WHEN 4 THEN n || ' is the chief executive officer' WHEN 5 THEN concat('Founded by ', n, ' and ', o) ELSE 'co-founded by ' || n END,
+            ' in a town that is far away fr...') AS snippet FROM named m JOIN said s ON s.id = m.id"""),
     "titles": Case(
         lambda b: b.raw("part").selectExpr("p_partkey", f"{TITLE} AS t").select(
             "p_partkey", T.title_rank("t").alias("rank"), T.is_leadership("t").alias("leads"), T.normalize_title("t").alias("plain"),
