@@ -103,7 +103,7 @@ def prepare_snapshots(scrapes: DataFrame, as_of) -> DataFrame:
 
 
 #: Letters of the pieces by which homepages are found inside document URLs.
-GRAM = 6
+GRAM = 10
 
 
 def _grams(text: str | Column, sizes: str | Column) -> Column:
@@ -118,15 +118,16 @@ def containing(docs: DataFrame, homepages: DataFrame, url: str = "url", homepage
 
     Each homepage is looked up by its rarest part of ``GRAM`` letters (shorter ones by themselves), so
     what is common to many, such as a scheme or a host's ending, makes no candidates; a candidate
-    is then compared whole.
+    is then compared whole. Exploded parts are many times what their files let Spark expect, so
+    their joins are sorted ones, which no side is broadcast for.
     """
     short = F.least(F.length(homepage), F.lit(GRAM))
     parts = homepages.select(homepage, F.explode(_grams(homepage, F.array(short))).alias("__gram"))
     rarity = parts.groupBy("__gram").agg(F.count("*").alias("__n"))
-    index = parts.join(rarity, "__gram").groupBy(homepage).agg(F.min(F.struct("__n", "__gram"))["__gram"].alias("__gram"))
+    index = parts.join(rarity.hint("merge"), "__gram").groupBy(homepage).agg(F.min(F.struct("__n", "__gram"))["__gram"].alias("__gram"))
     sizes = homepages.agg(F.collect_set(short).alias("sizes")).scalar()  # at most GRAM + 1 numbers
     pieces = docs.withColumn("__sizes", sizes).filter(F.length(url) > 0).select(url, F.explode(_grams(url, "__sizes")).alias("__gram"))
-    return pieces.join(index, "__gram").filter(F.contains(F.col(url), F.col(homepage))).select(url, homepage)
+    return pieces.join(index.hint("merge"), "__gram").filter(F.contains(F.col(url), F.col(homepage))).select(url, homepage)
 
 
 def match_documents(docs: DataFrame, companies: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,19 +138,19 @@ def match_documents(docs: DataFrame, companies: DataFrame, url: str = "url") ->
     """
     wanted = companies.filter("homepage_url is not null").groupBy("homepage_url").agg(
         F.max("id").alias("__company"), F.min("id").alias("__order"))
-    exact = docs.join(wanted.select(F.col("homepage_url").alias(url), F.col("__company").alias("company_id")), url, "left")
+    exact = docs.join(wanted.select(F.col("homepage_url").alias(url), F.col("__company").alias("company_id")).hint("merge"), url, "left")
     rest = exact.filter("company_id is null").select(url).distinct()
     parts = containing(rest.filter(F.col(url).isNotNull()), wanted.select("homepage_url"), url)
-    first = parts.join(wanted, "homepage_url").groupBy(url).agg(
+    first = parts.join(wanted.hint("merge"), "homepage_url").groupBy(url).agg(
         F.min(F.struct("__order", "__company", "homepage_url")).alias("__hit"))
-    joined = exact.join(first, url, "left")
+    joined = exact.join(first.hint("merge"), url, "left")
     found = joined.select(
         *docs.columns, F.coalesce("company_id", F.col("__hit.__company")).alias("company_id"),
         F.when(F.col("company_id").isNotNull(), F.col(url)).otherwise(F.col("__hit.homepage_url")).alias("matched_url"))
     matched = found.filter("company_id is not null")
     unmatched = found.filter("company_id is null").drop("company_id", "matched_url")
     seen = matched.select(F.col("matched_url").alias("homepage_url")).distinct()
-    missing = companies.filter("homepage_url is not null").join(seen, "homepage_url", "left_anti").select("id", "name", "homepage_url")
+    missing = companies.filter("homepage_url is not null").join(seen.hint("merge"), "homepage_url", "left_anti").select("id", "name", "homepage_url")
     return matched, unmatched, missing
 
 

@@ -109,6 +109,14 @@ def test_any_homepage_is_found_inside_a_url(spark):
     assert X.match_documents(docs, everywhere)[0].count() == len(urls)
 
 
+def test_nothing_that_grows_with_homepages_is_broadcast(spark):
+    companies = spark.range(50).selectExpr("id", "'N' AS name", "concat('https://c', id, '.example.com') AS homepage_url")
+    docs = spark.range(200).selectExpr("concat('https://r.net/?u=https://c', id, '.example.com/x') AS url")
+    for result, rows in zip(X.match_documents(docs, companies), (50, 150, 0)):
+        assert result.count() == rows
+        assert "Broadcast" not in result._jdf.queryExecution().executedPlan().toString()
+
+
 SNAPSHOT = "id long, company_id long, captured_at timestamp_ntz, content_markdown string, content_checksum string, error_message string"
 
 
