@@ -64,6 +64,14 @@ def test_matching_and_ingest(spark):
     assert {r.company_id: (r.found, r.verified, r.stored) for r in counts.collect()} == {1: (4, 2, 2), 2: (1, 1, 0)}
 
 
+def test_counting_news_matches_once_and_judges_nothing(spark):
+    companies, articles = news_input(spark)
+    existing = spark.createDataFrame([("https://n.org/0",)], "content_url string")
+    stored, counts = N.ingest_news(articles, companies, existing, AS_OF)
+    generators = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate ")
+    assert generators(counts) == 1 and generators(stored) > 1
+
+
 @pytest.mark.parametrize(("text", "found"), [
     ("CEO: John Smith", [("John Smith", "CEO", 1)]), ("Our ceo, Jane O'Brien-Doe", [("Jane O'Brien-Doe", "CEO", 1), ("Jane O'Brien-Doe", "CEO", 1)]),
     ("our founder Jane Doe", [("Jane Doe", "Founder", 1)]), ("**John Smith**, [President](u)", [("John Smith", "President", 2)]),
