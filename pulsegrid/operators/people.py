@@ -310,19 +310,21 @@ def store_ceo_profiles(found: DataFrame, leaders: DataFrame, links: DataFrame, a
         F.lit(True).alias("is_current"), now.alias("discovered_at"), now.alias("last_verified_at"), "position")
     added = new_rows(leaders, rows, keys, ["position"]).drop("position")
     seen = clean.select(*keys).distinct().withColumn("last_verified_at", now)
-    known = clean.join(leaders.select(*keys).distinct(), keys, "left_semi")
     verified = update_by_key(leaders, seen, keys, ["last_verified_at"])
     link_rows = clean.select(
         "company_id", F.lit("linkedin").alias("platform"), F.col("linkedin_profile_url").alias("profile_url"),
         F.lit(method).alias("discovery_method"), F.lit("unverified").alias("verification_status"),
         now.alias("discovered_at"), "position")
     fresh_links = new_rows(links, link_rows, ["company_id", "profile_url"], ["position"]).drop("position")
+    # Profiles are parsed once for all counts: a row per company and profile, and where it is known.
+    held = leaders.select(*keys).distinct().withColumn("__held", F.lit(True))
+    linked = links.select("company_id", F.col("profile_url").alias("linkedin_profile_url")).distinct().withColumn("__linked", F.lit(True))
     counts = (
-        clean.groupBy("company_id").agg(F.count("*").alias("profiles"))
-        .join(added.groupBy("company_id").agg(F.count("*").alias("profiles_found")), "company_id", "left")
-        .join(known.groupBy("company_id").agg(F.count("*").alias("reverified")), "company_id", "left")
-        .join(fresh_links.groupBy("company_id").agg(F.count("*").alias("links_added")), "company_id", "left")
-        .fillna(0, ["profiles_found", "reverified", "links_added"])
+        clean.groupBy(*keys).agg(F.count("*").alias("__n")).join(held, keys, "left").join(linked, keys, "left")
+        .groupBy("company_id").agg(
+            F.sum("__n").alias("profiles"), F.count_if(F.col("__held").isNull()).alias("profiles_found"),
+            F.sum(F.when(F.col("__held"), F.col("__n")).otherwise(0)).alias("reverified"),
+            F.count_if(F.col("__linked").isNull()).alias("links_added"))
         .withColumn("already_existed", F.col("profiles") - F.col("links_added"))
     )
     return (verified.unionByName(added, allowMissingColumns=True),

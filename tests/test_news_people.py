@@ -130,3 +130,17 @@ def test_titles(rows):
     assert rows(given, T.is_leadership("t")) == [True, True, True, True, True, False, True]
     assert rows(given, T.classify_role("t")) == ["ceo", "other_executive", "other_executive", "co_founder", "other_executive", "other", "other"]
     assert rows(given, T.extract_title("t")) == ["CEO", "chief happiness officer", "VP", "Co Founder", "general manager", None, "President"]
+
+
+def test_profiles_are_read_once_for_their_counts(spark):
+    schema = "company_id long, position long, name string, title string, profile_url string"
+    found = spark.createDataFrame([
+        (1, 1, "A", "CEO", "https://linkedin.com/in/a"), (1, 2, "A", "CEO", "https://www.linkedin.com/in/a/?x=1"),
+        (1, 3, "B", "CEO", "https://linkedin.com/in/b"), (1, 4, "C", "CEO", "https://linkedin.com/in/c"), (2, 5, "A", "CEO", "https://linkedin.com/in/a")], schema)
+    leaders = spark.createDataFrame([(1, "A", "CEO", "https://linkedin.com/in/a", True, None)],
+                                    "company_id long, person_name string, title string, linkedin_profile_url string, is_current boolean, last_verified_at timestamp_ntz")
+    links = spark.createDataFrame([(1, "linkedin", "https://linkedin.com/in/b")] * 2, "company_id long, platform string, profile_url string")
+    calls = found.withColumn("name", F.concat(F.lit("once-"), "name")).hint("rebalance")
+    counts = P.store_ceo_profiles(calls, leaders, links, AS_OF)[2]
+    assert {tuple(r) for r in counts.collect()} == {(1, 4, 2, 2, 2, 2), (2, 1, 1, 0, 1, 0)}
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("RebalancePartitions") == 1
