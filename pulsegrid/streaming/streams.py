@@ -122,11 +122,14 @@ class UrlMemory:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
+    def bucketed(self, rows: DataFrame) -> DataFrame:
+        """``url, bucket``, a row for each of ``rows``."""
+        return rows.select(self.url, F.pmod(F.xxhash64(F.col(self.url)), F.lit(self.buckets)).cast("int").alias("bucket"))
+
     def placed(self, rows: DataFrame) -> DataFrame:
         """``url, bucket, place`` for both places of each URL; places count bits, in chunks of 32768."""
-        h = F.xxhash64(F.col(self.url))
         places = F.array(*(F.pmod(F.xxhash64(F.col(self.url), F.lit(k)), F.lit(self.bits)) for k in (1, 2)))
-        return rows.select(self.url, F.pmod(h, F.lit(self.buckets)).cast("int").alias("bucket"), F.explode(places).alias("place"))
+        return self.bucketed(rows).withColumn("place", F.explode(places))
 
     def _filters(self, batch_id: int) -> DataFrame | None:
         """``bucket, chunk, bits`` as of the batches before ``batch_id``."""
@@ -160,7 +163,7 @@ class UrlMemory:
     def add(self, rows: DataFrame, batch_id: int) -> None:
         """Remembers the URLs of ``rows`` as brought by ``batch_id``."""
         placed = self.placed(rows)
-        urls = placed.select(self.url, "bucket").distinct().withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
+        urls = self.bucketed(rows).distinct().withColumn("batch", F.lit(batch_id)).hint("rebalance", "bucket")
         urls.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{self.path}/urls")
         made = placed.groupBy("bucket", F.floor(F.col("place") / 32768).alias("chunk")).agg(
             F.bitmap_construct_agg(F.pmod("place", F.lit(32768))).alias("bits"))

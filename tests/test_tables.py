@@ -209,3 +209,13 @@ def test_a_batch_reads_little_of_a_grown_memory(spark, place):
     for n in range(batch + 1, batch + 4):  # past a compaction of the filters
         memory.add(frame([f"late{n}"]), n)
     assert {r.content_url for r in memory.known(frame(["x", f"late{n}", "none"]), n + 1).collect()} == {"x", f"late{n}"}
+
+
+def test_remembered_urls_are_not_doubled_by_their_filter_places(spark, tmp_path):
+    from pulsegrid.streaming.streams import UrlMemory
+
+    memory = UrlMemory(spark, f"file:{tmp_path}/known", buckets=4, bits=1 << 16)
+    rows = spark.range(500).selectExpr("concat('https://n.org/', id) AS content_url")
+    one, two = memory.bucketed(rows), memory.placed(rows)
+    assert one.count() == 500 and two.count() == 1000
+    assert one.join(two, ["content_url", "bucket"]).count() == 1000
