@@ -113,6 +113,16 @@ def with_texts(pairs: DataFrame, snapshots: DataFrame, keys: Sequence[str]) -> D
     return grouped.select("pair.*", "old_text", "new_text")
 
 
+def latest_pairs(snapshots: DataFrame, exclude: DataFrame | None = None, policy: Policy = HOMEPAGE) -> DataFrame:
+    """The newest two versions of each key, without texts, as ``change_records`` takes them."""
+    slim = snapshots.select(
+        *policy.keys, "id", "captured_at", "content_checksum", "error_message", *policy.carried,
+        F.col("content_markdown").isNotNull().alias("has_content"))
+    if exclude is not None:
+        slim = slim.join(exclude.select("company_id").distinct(), "company_id", "left_anti")
+    return snapshot_pairs(slim, list(policy.keys), "latest", carry=("content_checksum", "error_message", "has_content", *policy.carried))
+
+
 def change_records(
     snapshots: DataFrame,
     as_of,

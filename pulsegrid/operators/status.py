@@ -219,15 +219,17 @@ def analyze_status(
     social_snapshots: DataFrame | None = None,
     news: DataFrame | None = None,
     leadership_changes: DataFrame | None = None,
+    history: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New status rows, and all indicator rows behind them.
 
     Companies set by hand, and those whose newest snapshot has no text, are left out. A status
-    row counts its signals; the signals themselves are rows of the second table.
+    row counts its signals; the signals themselves are rows of the second table. ``history`` is the
+    ``capture_history`` of the snapshots where it has been made already.
     """
     latest = current_status(statuses.select("id", "company_id", "status", "is_manual_override")).select(
         "company_id", "status", F.coalesce("is_manual_override", F.lit(False)).alias("manual"))
-    history = capture_history(snapshots)
+    history = capture_history(snapshots) if history is None else history
     newest = history.select("company_id", F.col("newest_id").alias("id"))
     pages = snapshots.join(newest, ["company_id", "id"], "left_semi").filter(F.coalesce("content_markdown", F.lit("")) != "")
     if "http_last_modified" not in pages.columns:

@@ -42,16 +42,16 @@ def new_rows(target: DataFrame, incoming: DataFrame, keys: Sequence[str], order:
     return first_per_key(fresh, keys, order)
 
 
-def with_ids(target: DataFrame, rows: DataFrame) -> DataFrame:
+def with_ids(target: DataFrame, rows: DataFrame, kept: bool = False) -> DataFrame:
     """``rows`` with ids of their own above all ids of ``target``, without gaps.
 
-    The rows are written to the shared folder first, so that their partitions, and with them the
-    ids, stay the same however often they are read. A row's id counts the rows of the partitions
+    The rows are written to the shared folder first (unless they are ``kept`` there already), so that their
+    partitions, and with them the ids, stay the same however often they are read. A row's id counts the rows of the partitions
     before its own (one number for each partition is added up) and its place in it.
     """
-    kept = cut_lineage(rows.drop("id")).withColumn("__row", F.monotonically_increasing_id())
+    lasting = (rows.drop("id") if kept else cut_lineage(rows.drop("id"))).withColumn("__row", F.monotonically_increasing_id())
     part, place = F.shiftright("__row", 33), F.col("__row").bitwiseAND((1 << 33) - 1)
-    placed = kept.withColumn("__part", part).withColumn("__place", place)
+    placed = lasting.withColumn("__part", part).withColumn("__place", place)
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("__part").agg(F.count("*").alias("__n")).select(
         "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -94,13 +94,14 @@ def upsert_companies(target: DataFrame, incoming: DataFrame, as_of, order: Seque
     return updated.unionByName(added, allowMissingColumns=True)
 
 
-def append_log(target: DataFrame, rows: DataFrame, performed_by: str) -> DataFrame:
+def append_log(target: DataFrame, rows: DataFrame, performed_by: str, kept: bool = False) -> DataFrame:
     """``target`` plus stamped rows (statuses, leadership changes and errors are only appended).
 
-    "Latest" is by id in these tables, so every appended row gets an id above those there are.
+    "Latest" is by id in these tables, so every appended row gets an id above those there are. ``kept``
+    rows have had their lineage cut and aren't written again for that.
     """
     if "id" in target.columns:
-        rows = with_ids(target, rows)
+        rows = with_ids(target, rows, kept)
     return target.unionByName(rows.withColumn("performed_by", F.lit(performed_by)), allowMissingColumns=True)
 
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from py4j.protocol import Py4JJavaError
 
-from ..operators.changes import change_records
+from ..operators.changes import change_records, latest_pairs
 from ..operators.latest import skippable
 from ..operators.news import ingest_news
-from ..operators.status import analyze_status
+from ..operators.status import analyze_status, capture_history
 from ..operators.tables import NATURAL_KEYS, append_log, new_rows
-from ..session import cut_lineage
+from ..session import cut_lineage, sized
 from ..sources.feeds import match_documents, prepare_articles, prepare_snapshots
 
 Tables = Mapping[str, DataFrame]
@@ -31,7 +31,10 @@ def stages(as_of) -> dict[str, tuple[str, Stage]]:
         return prepare_snapshots(scrapes, as_of)
 
     def changes(t: Tables) -> DataFrame:
-        records = change_records(t["snapshots"], as_of, skippable(t["company_statuses"]))
+        # Pairs are narrow; once their size is known, page texts meet them where they lie if they are few.
+        pairs = sized(latest_pairs(t["snapshots"], skippable(t["company_statuses"])))
+        ids = pairs.select("company_id", F.explode(F.array("old_id", "new_id")).alias("id"))
+        records = change_records(t["snapshots"].join(ids, ["company_id", "id"], "left_semi"), as_of, pairs=pairs)
         return new_rows(t["change_records"], records, NATURAL_KEYS["change_records"], ["detected_at"])
 
     def news(t: Tables) -> DataFrame:
@@ -40,7 +43,8 @@ def stages(as_of) -> dict[str, tuple[str, Stage]]:
     def status(t: Tables) -> DataFrame:
         return analyze_status(
             t["companies"], t["snapshots"], t["company_statuses"], as_of, t.get("social_media_snapshots"),
-            t.get("news_articles"), t.get("leadership_changes"))[0]
+            t.get("news_articles"), t.get("leadership_changes"),
+            sized(capture_history(t["snapshots"])))[0]
 
     return {
         "captures": ("snapshots", captures), "changes": ("change_records", changes),
@@ -70,7 +74,7 @@ def full_scan(tables: Tables, as_of, performed_by: str = "scan", without: Collec
         except (PySparkException, Py4JJavaError) as error:
             summary.append((name, "failure", 0, str(error)))
             continue
-        state[table] = append_log(state[table], added, performed_by)
+        state[table] = append_log(state[table], added, performed_by, kept=True)
         summary.append((name, "success", rows, ""))
     spark = state["companies"].sparkSession
     return state, spark.createDataFrame(summary, "stage string, outcome string, rows bigint, error string")

@@ -53,7 +53,7 @@ def stored_scan(
             try:
                 added = cut_lineage(stage(state).drop("id").withColumn("performed_by", F.lit(performed_by)))
                 rows = added.count()
-                entry = tables[table].append(f"{run}-{name}", added, {"rows": rows, "read": dict(versions)})
+                entry = tables[table].append(f"{run}-{name}", added, {"rows": rows, "read": dict(versions)}, kept=True)
             except (PySparkException, Py4JJavaError) as error:
                 summary.append((name, "failure", None, None, str(error)))
                 broken = True

@@ -134,7 +134,7 @@ def resumed(b):
     tables = {n: BucketedTable(b.spark, f"{place}/{n}", n, 8) for n in frames}
     for name, df in frames.items():
         if df is not None:
-            tables[name].append("start", df)
+            tables[name].append("start", df, spread=True)
     lost = {n: (t, (lambda state: state["companies"].select(F.raise_error(F.lit("lost")).alias("x"))) if n == "status" else s)
             for n, (t, s) in stages(CAPTURES_AS_OF).items()}
     for given in (lost, None):

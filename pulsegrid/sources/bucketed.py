@@ -81,13 +81,15 @@ class BucketedTable:
             raise RuntimeError(f"{self.table}: another batch was written meanwhile; run {batch} again")
         return entry
 
-    def _stage(self, batch: str, base: int, rows: DataFrame) -> dict[int, str]:
-        """``rows`` in a folder of the batch, by bucket. Splits buckets that are too large for a task."""
+    def _stage(self, batch: str, base: int, rows: DataFrame, spread: bool = False) -> dict[int, str]:
+        """``rows`` in a folder of the batch, by bucket. Splits buckets that are too large for a task; leaves ``spread`` rows in their tasks."""
         if not re.fullmatch(r"[\w.-]+", batch):
             raise ValueError("a batch is named by letters, digits, dots and dashes")
         folder = f"data/{base + 1:012d}-{batch}"
         declared = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema]
-        dealt = rows.select(*declared, self.bucket_of(F.col(self.owner)).alias(BUCKET)).hint("rebalance", BUCKET)
+        dealt = rows.select(*declared, self.bucket_of(F.col(self.owner)).alias(BUCKET))
+        if not spread:
+            dealt = dealt.hint("rebalance", BUCKET)
         dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         found = [n for n in self._names(folder) if n.startswith(f"{BUCKET}=")]
         return {int(n.partition("=")[2]): f"{folder}/{n}" for n in found}
@@ -115,14 +117,18 @@ class BucketedTable:
 
     # ---- writing ----------------------------------------------------------------------------
 
-    def append(self, batch: str, rows: DataFrame, notes: Mapping | None = None) -> dict:
-        """Adds ``rows``; those that come without an id get one above all there are."""
+    def append(self, batch: str, rows: DataFrame, notes: Mapping | None = None, kept: bool = False, spread: bool = False) -> dict:
+        """Adds ``rows``; those that come without an id get one above all there are.
+
+        ``kept`` rows have had their lineage cut. ``spread`` is for first loads of much: rows aren't
+        shuffled by bucket, every task writes files of its own for each.
+        """
         base, found = self.version(), self.done(batch)
         if found is not None:
             return found
         if "id" in self.schema.names and "id" not in rows.columns:
-            rows = with_ids(self.read(version=base), rows)
-        return self._commit(batch, base, [], self._stage(batch, base, rows), notes)
+            rows = with_ids(self.read(version=base), rows, kept)
+        return self._commit(batch, base, [], self._stage(batch, base, rows, spread), notes)
 
     def insert_ignore(self, batch: str, incoming: DataFrame, keys: Sequence[str], order: Sequence[str | Column], notes: Mapping | None = None) -> dict:
         """Adds the rows whose key isn't there yet, the first of equal ones."""

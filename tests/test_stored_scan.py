@@ -106,3 +106,37 @@ def test_skips(spark, tmp_path):
     made = tables(spark, f"file:{tmp_path}", frames)
     said = outcomes(stored_scan(made, {}, AS_OF, "r", without=("status",)))
     assert said == [("captures", "skip"), ("changes", "success"), ("news", "skip"), ("status", "skip")]
+
+
+def test_page_texts_are_not_shuffled_for_few_companies(spark):
+    """The newest pairs are few and their size is known, so texts meet them where they lie."""
+    frames, _ = beginning(spark)
+    full = {n: spark.createDataFrame([], schemas.schema(n)).unionByName(df, allowMissingColumns=True) for n, df in frames.items()}
+    state = {**{n: schemas.empty(spark, n) for n in GROWING if n not in frames}, **full}
+    for name in ("changes", "status"):
+        plan = stages(AS_OF)[name][1](state)._jdf.queryExecution().optimizedPlan()
+        joins = [line for line in plan.toString().split("\n") if "Join LeftSemi" in line and "(company_id" in line]
+        assert joins
+        sizes = [int(p.stats().sizeInBytes()) for p in _right_sides(plan)]
+        assert sizes and max(sizes) < 10 << 20
+
+
+def _right_sides(plan):
+    """What semi joins on a company and an id look rows up in."""
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Join" and node.joinType().toString() == "LeftSemi" and "id#" in node.condition().toString().replace("company_id#", ""):
+            found.append(node.right())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_first_loads_are_not_shuffled(spark, tmp_path):
+    """Each task writes its own files for each bucket, and rows are the same as dealt anew."""
+    rows = spark.range(0, 400, 1, 4).selectExpr("id", "id % 40 AS company_id", "concat('u', id) AS url")
+    whole, spread = (BucketedTable(spark, f"file:{tmp_path}/{n}", "snapshots", 2) for n in ("whole", "spread"))
+    whole.append("start", rows)
+    spread.append("start", rows, spread=True)
+    assert content(whole) == content(spread)
+    assert [len(list(tmp_path.glob(f"{n}/**/*.parquet"))) for n in ("whole", "spread")] == [2, 8]
