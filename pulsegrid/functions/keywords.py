@@ -46,6 +46,11 @@ def _anchor(keyword: str) -> str:
     return max(re.findall(r"[a-z0-9_]+", keyword.lower()), key=len, default="")
 
 
+def _any_of(texts: Sequence[str]) -> str:
+    """A regular expression for any of some literal texts."""
+    return "|".join(rf"\Q{t}\E" for t in texts)
+
+
 TERM = "struct<keyword:string,category:string,polarity:string,anchor:string,pattern:string>"
 
 
@@ -99,19 +104,13 @@ def keyword_hits(
         scored = term["polarity"] != "insignificant"
 
         def negated(before: Column) -> Column:
-            words = F.concat(F.lit(" "), before, F.lit(" "))
-            hit = F.lit(False)
-            for word in negation_words:
-                hit = hit | words.contains(f" {word} ")
-                if not strict:
-                    hit = hit | before.endswith(word)
-            return hit
+            if not negation_words:
+                return F.lit(False)
+            word = rf"(?:{_any_of(negation_words)})"
+            return before.rlike(rf"(?:\A| ){word}(?: |\z)" if strict else rf"(?:\A| ){word} |{word}\z")
 
         def suffixed(after: Column) -> Column:
-            hit = F.lit(False)
-            for suffix in negation_suffixes:
-                hit = hit | after.startswith(suffix)
-            return hit
+            return after.rlike(rf"\A(?:{_any_of(negation_suffixes)})") if negation_suffixes else F.lit(False)
 
         def described(around: Column) -> Column:
             # ``around`` is the only cut out of the whole text; the rest cuts it further.
@@ -133,17 +132,12 @@ def keyword_hits(
     def phrase_spans(low: Column) -> Column:
         if not false_positives:
             return F.expr("cast(array() as array<struct<start:int,width:int>>)")
+        # Looking for bytes is much cheaper than counting characters, and few phrases are there.
+        there = F.filter(text_array(false_positives), lambda p: F.contains(low, p))
         if strict:
-            return F.flatten(F.transform(
-                F.filter(text_array(false_positives), lambda p: F.contains(low, p)),
-                lambda p: F.transform(_occurrences(low, p), lambda s: F.struct(
-                    s.alias("start"), F.length(p).alias("width"))),
-            ))
-        spans = F.transform(text_array(false_positives), lambda p: F.struct(
-            (F.position(p, low) - 1).alias("start"),
-            F.length(p).alias("width"),
-        ))
-        return F.filter(spans, lambda s: s["start"] >= 0)
+            return F.flatten(F.transform(there, lambda p: F.transform(_occurrences(low, p), lambda s: F.struct(
+                s.alias("start"), F.length(p).alias("width")))))
+        return F.transform(there, lambda p: F.struct((F.position(p, low) - 1).alias("start"), F.length(p).alias("width")))
 
     def scan(doc: Column) -> Column:
         return F.flatten(F.transform(
